@@ -40,14 +40,17 @@ def read_csv_raw(spark: SparkSession, path: str, header: bool = True) -> DataFra
     return df.select(*[raw_cell(F.col(f"_{i}")).alias(name) for i, name in enumerate(names)])
 
 
-def read_csv_typed(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, header: bool = True, multiline: bool = False) -> DataFrame:
     """Columns with inferred types; text columns that hold only dates become dates.
 
-    A column keeps its time of day when any value has one.
+    A column keeps its time of day when any value has one. ``multiline`` admits line breaks inside
+    quoted cells, at the price that a file can no longer be split between tasks.
     """
     if spark.read.text(path).first() is None:
         raise EmptyFileError(path)
-    df = spark.read.option("header", header).option("inferSchema", True).option("escape", '"').csv(path)
+    df = (spark.read.option("header", header).option("inferSchema", True).option("escape", '"')
+          .option("multiLine", multiline).option("nullValue", "NULL")
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     if not header:
         df = df.toDF(*[f"column_{i}" for i in range(len(df.columns))])
     return _narrow_times(_promote_dates(df))
