@@ -97,12 +97,15 @@ def histogram_int(t):
     return profile.histogram(t.part, "p_size")
 
 
+# Each edge is the one before plus the width, so that rounding adds up as in a walk.
 GREEDY = """
-    WITH f AS (SELECT min({c})::DOUBLE AS lo, (max({c})::DOUBLE - min({c})) / 10 AS w FROM {t}),
-    s AS (SELECT floor(({c} - lo) / w) AS t, row_number() OVER (ORDER BY {c}) - 1 AS i FROM {t}, f),
+    WITH RECURSIVE f AS (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, (max({c})::DOUBLE - min({c})) / 10 AS w
+      FROM {t}),
+    e(bin, a, b) AS (SELECT 0, lo, lo + w FROM f UNION ALL SELECT bin + 1, b, b + w FROM e, f WHERE b <= hi),
+    s AS (SELECT bin AS t, row_number() OVER (ORDER BY {c}) - 1 AS i FROM {t} JOIN e ON {c} >= a AND {c} < b),
     g AS (SELECT (i + min(t - i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))::INT AS bin FROM s)
-    SELECT bin, '(' || ceil(lo + bin * w)::BIGINT || ', ' || floor(lo + (bin + 1) * w)::BIGINT || ')' AS label,
-      count(*) AS frequency FROM g, f GROUP BY 1, 2"""
+    SELECT bin, '(' || ceil(a)::BIGINT || ', ' || floor(b)::BIGINT || ')' AS label, count(*) AS frequency
+    FROM g JOIN e USING (bin) GROUP BY 1, 2"""
 
 
 @query("histogram_greedy", GREEDY.format(t="part", c="p_size"))

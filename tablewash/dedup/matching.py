@@ -108,7 +108,7 @@ def matched_edges(found: Candidates, decision: Decision | None) -> DataFrame:
             for left, right in _pairs(group):
                 keep = _matching(books, left, right, decision)
                 if len(keep):
-                    a, b = _stars(ids, left[keep], right[keep])
+                    a, b = stars(ids[left[keep]], ids[right[keep]])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     links = _arranged(found).mapInArrow(link, "a long, b long")
@@ -240,9 +240,9 @@ def _matching(books: list[Codebook], left: np.ndarray, right: np.ndarray, decisi
     return keep[score > decision.bound]
 
 
-def _stars(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id and other members of each connected group of the given pairs."""
-    members, where = np.unique(np.concatenate([ids[left], ids[right]]), return_inverse=True)
+def stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id and other members of each connected group of the given pairs of ids."""
+    members, where = np.unique(np.concatenate([left, right]), return_inverse=True)
     a, b = where[:len(left)], where[len(left):]
     label = np.arange(len(members))
     while True:

@@ -25,7 +25,7 @@ INSERT = r'(?is)^\s*insert\s+into\s+"?([^"\s(]+)"?\s*(?:\(([^)]*)\))?\s*values\s
 # One row in parentheses and one cell of it. Text in quotes is taken as a whole and without
 # backtracking, so that long texts need no stack.
 ROW = r"\(((?:'[^']*+'|[^'()]++)*+)\)"
-CELL = r"((?:'[^']*+')++|[^,'\s](?:[^,']*+[^,'\s])?+)"
+CELL = r"((?:'[^']*+')++|[^,'\s]++(?:\s++[^,'\s]++)*+)"
 
 
 def read_sql_dump(spark: SparkSession, path: str, statement_end: str = ";") -> dict[str, DataFrame]:
