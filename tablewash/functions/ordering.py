@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from ..types import number
+from ..types import col, is_number
 from .trees import by_edges
 
-GRID_STEPS = 1000
+# Ranks of sketched quantiles are off by at most one in this many rows.
 ACCURACY = 10_000
 # Most rows of one value range that are ranked in one task.
 LEAF_ROWS = 1_000_000
@@ -28,82 +28,69 @@ class _Range:
     before: int
     rows: int
     ranks: list[int]
-    grid: list | None = None
 
     def holds(self, value: Column) -> Column:
-        test = F.lit(True)
-        if self.low is not None:
-            test = test & (value > F.lit(self.low))
-        if self.high is not None:
-            test = test & (value < F.lit(self.high))
-        return test
+        tests = [value > F.lit(self.low)] if self.low is not None else []
+        tests += [value < F.lit(self.high)] if self.high is not None else []
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
 
-    def pivots(self) -> set:
-        """Grid values around each wanted rank; they only steer the search, counts decide."""
-        found = set()
-        for rank in self.ranks:
-            step = (rank - self.before) * GRID_STEPS // self.rows
-            found.add(self.grid[max(step - 1, 0)])
-            found.add(self.grid[min(step + 2, GRID_STEPS)])
-        return found
-
-
-def _grid(value: Column) -> Column:
-    return F.percentile_approx(value, [step / GRID_STEPS for step in range(GRID_STEPS + 1)], ACCURACY)
+    def quantiles(self, value: Column) -> Column:
+        """Sketched values just below and above each wanted rank."""
+        shares = [min(max((rank - self.before) / self.rows + margin / ACCURACY, 0.0), 1.0)
+                  for rank in self.ranks for margin in (-1.5, 1.5)]
+        bounded = self.low is not None or self.high is not None
+        return F.percentile_approx(F.when(self.holds(value), value) if bounded else value, sorted(set(shares)), ACCURACY)
 
 
 def order_statistics(df: DataFrame, column: str, ranks_for: Callable[[int], Iterable[int]]) -> tuple[int, dict]:
     """Count n of non-null values and the exact values at the 0-based sorted positions ``ranks_for(n)``.
 
-    A sketch proposes pivots near each rank, one counting pass places the ranks between
-    pivots, and only the narrow ranges left are grouped by value and ranked. Every pass scans
-    one column and shuffles either a few counters or a small part of the values.
+    A sketch proposes pivots close to each rank, one counting pass places the ranks between
+    the pivots, and only the narrow ranges left are grouped by value and ranked. Pivots merely
+    steer the search, the counts decide. Every pass scans one column and shuffles a few counters
+    or a small part of the values.
     """
     value = F.col("v")
-    values = df.select(number(df, column).alias("v")).where(value.isNotNull())
-    total, grid = values.agg(F.count("v"), _grid(value)).first()
+    values = df.where(is_number(df, column)).select(col(column).alias("v"))
+    total = values.count()
     if not total:
         return 0, {}
     found: dict[int, object] = {}
     leaves: list[_Range] = []
-    ranges = [_Range(None, None, 0, total, sorted(set(ranks_for(total))), list(grid))]
+    ranges = [_Range(None, None, 0, total, sorted(set(ranks_for(total))))]
     while ranges:
-        ranges = _split(values, ranges, found, leaves)
-        if ranges:
-            grids = values.agg(*[_grid(F.when(r.holds(value), value)).alias(f"g{i}")
-                                 for i, r in enumerate(ranges)]).first()
-            for piece, points in zip(ranges, grids):
-                piece.grid = list(points)
+        sketches = values.agg(*[r.quantiles(value).alias(f"q{i}") for i, r in enumerate(ranges)]).first()
+        pivots = {pivot for sketch in sketches for pivot in sketch}
+        ranges = _split(values, ranges, pivots, found, leaves)
     if leaves:
         found.update(_rank_leaves(values, leaves))
     return total, found
 
 
-def _split(values: DataFrame, ranges: list[_Range], found: dict, leaves: list[_Range]) -> list[_Range]:
+def _split(values: DataFrame, ranges: list[_Range], pivots: set, found: dict, leaves: list[_Range]) -> list[_Range]:
     """Place the wanted ranks between counted pivots; returns the ranges that are still too long."""
     value = F.col("v")
-    bounds = {b for r in ranges for b in (r.low, r.high) if b is not None}
-    pivots = sorted(bounds.union(*(r.pivots() for r in ranges)))
+    edges = sorted(pivots.union(b for r in ranges for b in (r.low, r.high) if b is not None))
 
     def place(count: int) -> Column:
-        # Odd classes hold the pivot itself, even classes the open range behind it.
+        # Odd places hold an edge itself, even places the open range behind it.
         if count == 0:
             return F.lit(0)
-        return F.when(value == F.lit(pivots[count - 1]), 2 * count - 1).otherwise(2 * count)
+        return F.when(value == F.lit(edges[count - 1]), 2 * count - 1).otherwise(2 * count)
 
-    rows = values.groupBy(by_edges(value, pivots, place).alias("place")).count().collect()
+    rows = values.groupBy(by_edges(value, edges, place).alias("place")).count().collect()
     sizes = {row["place"]: row["count"] for row in rows}
     open_ranges, start = [], 0
     wanted = sorted(rank for r in ranges for rank in r.ranks)
     longest = max(r.rows for r in ranges)
-    for spot in range(2 * len(pivots) + 1):
+    for spot in range(2 * len(edges) + 1):
         size = sizes.get(spot, 0)
         inside = [rank for rank in wanted if start <= rank < start + size]
         if inside and spot % 2:
-            found.update({rank: pivots[spot // 2] for rank in inside})
+            found.update({rank: edges[spot // 2] for rank in inside})
         elif inside:
-            low = pivots[spot // 2 - 1] if spot else None
-            high = pivots[spot // 2] if spot // 2 < len(pivots) else None
+            low = edges[spot // 2 - 1] if spot else None
+            high = edges[spot // 2] if spot // 2 < len(edges) else None
             piece = _Range(low, high, start, size, inside)
             settled = size <= LEAF_ROWS or size >= longest
             (leaves if settled else open_ranges).append(piece)
@@ -113,22 +100,21 @@ def _split(values: DataFrame, ranges: list[_Range], found: dict, leaves: list[_R
 
 def _rank_leaves(values: DataFrame, leaves: list[_Range]) -> dict[int, object]:
     value = F.col("v")
-    leaf = reduce(lambda rest, pair: F.when(pair[1].holds(value), pair[0]).otherwise(rest),
-                  enumerate(leaves), F.lit(None).cast("int"))
-    counts = values.select(leaf.alias("leaf"), "v").where("leaf IS NOT NULL").groupBy("leaf", "v").count()
-    before = reduce(lambda rest, pair: F.when(F.col("leaf") == pair[0], F.lit(pair[1].before)).otherwise(rest),
-                    enumerate(leaves), F.lit(0))
+    edges = sorted({b for r in leaves for b in (r.low, r.high) if b is not None})
+    behind = {r.low: i for i, r in enumerate(leaves)}
+
+    def leaf(count: int) -> Column:
+        index = behind.get(edges[count - 1] if count else None)
+        return F.lit(-1 if index is None else index)
+
+    inside = reduce(lambda a, b: a | b, [r.holds(value) for r in leaves])
+    counts = values.where(inside).groupBy(by_edges(value, edges, leaf).alias("leaf"), "v").count()
+    before = F.element_at(F.array(*[F.lit(r.before) for r in leaves]), F.col("leaf") + 1)
     upto = F.sum("count").over(Window.partitionBy("leaf").orderBy("v")) + before
-    ranked = counts.withColumn("upto", upto)
-    hit = reduce(lambda a, b: a | b,
-                 [(F.col("leaf") == i) & (F.col("upto") - F.col("count") <= rank) & (F.lit(rank) < F.col("upto"))
-                  for i, r in enumerate(leaves) for rank in r.ranks])
-    result = {}
-    for row in ranked.where(hit).collect():
-        for rank in leaves[row["leaf"]].ranks:
-            if row["upto"] - row["count"] <= rank < row["upto"]:
-                result[rank] = row["v"]
-    return result
+    ranks = F.element_at(F.array(*[F.array(*map(F.lit, r.ranks)) for r in leaves]), F.col("leaf") + 1)
+    hits = (counts.withColumn("upto", upto).withColumn("rank", F.explode(ranks))
+            .where((F.col("upto") - F.col("count") <= F.col("rank")) & (F.col("rank") < F.col("upto"))))
+    return {row["rank"]: row["v"] for row in hits.select("rank", "v").collect()}
 
 
 def with_neighbours(df: DataFrame, order: str, carry: list[str]) -> DataFrame:

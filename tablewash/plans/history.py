@@ -8,9 +8,10 @@ snapshot of ``origin_table``.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +78,7 @@ SENTENCES = {
 
 # Ids of one table that are folded in one task; a longer log is folded piecewise.
 PIECE = 20_000
+TABLES_PER_BATCH = 5_000
 
 
 def _parameter(name: str) -> Column:
@@ -185,12 +187,16 @@ def snapshot_steps(log: DataFrame) -> DataFrame:
     that many end values, one per start value. The pieces of a table are chained through their
     tables, and each piece is then walked once more from its true start.
     """
-    pieces = steps(log).select("table_name", "transformation_id", "transformation_type", cost().alias("cost"), _piece())
     keys = ["table_name", "piece"]
-    tables = pieces.groupBy(*keys).applyInPandas(_piece_table, "table_name string, piece long, ends array<int>")
-    starts = tables.groupBy("table_name").applyInPandas(_chain, "table_name string, piece long, start int")
-    return (pieces.join(starts, keys).groupBy(*keys)
-            .applyInPandas(_walk, "table_name string, transformation_id long"))
+    pieces = (steps(log).select(*keys[:1], _piece(), "transformation_id", "transformation_type", cost().alias("cost"))
+              .repartition(*keys))
+    tables = (pieces.sortWithinPartitions(*keys, "transformation_id")
+              .mapInArrow(_piece_tables, "table_name string, piece long, ends array<int>"))
+    chain = F.sort_array(F.collect_list(F.struct("piece", "ends")))
+    started = F.aggregate(chain, F.struct(F.lit(0).alias("state"), F.array().cast(_STARTS).alias("starts")), _link)
+    starts = tables.groupBy("table_name").agg(started["starts"].alias("starts")).select("table_name", F.inline("starts"))
+    return (pieces.join(starts, keys).sortWithinPartitions(*keys, "transformation_id")
+            .mapInArrow(_walk, "table_name string, transformation_id long"))
 
 
 def kept_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -221,33 +227,57 @@ def _piece() -> Column:
     return F.floor(F.col("transformation_id") / PIECE).alias("piece")
 
 
-def _after(state, kind: int, price: int):
-    state = state + price
-    return state * 0 if kind == COPY else state * (state < SNAPSHOT_COST)
+_STARTS = "array<struct<piece:bigint,start:int>>"
 
 
-def _piece_table(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("transformation_id")
-    ends = np.arange(SNAPSHOT_COST)
-    for kind, price in zip(rows["transformation_type"], rows["cost"]):
-        ends = _after(ends, kind, price)
-    return pd.DataFrame({"table_name": rows["table_name"].iloc[:1], "piece": rows["piece"].iloc[:1],
-                         "ends": [ends.tolist()]})
+def _link(done: Column, piece: Column) -> Column:
+    """Start value of one more piece, and the value it ends with."""
+    start = F.struct(piece["piece"].alias("piece"), done["state"].alias("start"))
+    return F.struct(F.element_at(piece["ends"], done["state"] + 1).alias("state"),
+                    F.concat(done["starts"], F.array(start)).alias("starts"))
 
 
-def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
-    pieces = pieces.sort_values("piece")
-    starts, state = [], 0
-    for ends in pieces["ends"]:
-        starts.append(state)
-        state = int(ends[state])
-    return pd.DataFrame({"table_name": pieces["table_name"], "piece": pieces["piece"], "start": starts})
+def _after(state, kind: int, price: int):
+    state = state + price
+    return state * 0 if kind == COPY else state * (state < SNAPSHOT_COST)
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("transformation_id")
-    state, due = int(rows["start"].iloc[0]), []
-    for kind, price in zip(rows["transformation_type"], rows["cost"]):
-        state = _after(state, kind, price)
-        due.append(state == 0)
-    return rows.loc[due, ["table_name", "transformation_id"]]
+def _piece_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """End value of every piece for each start value; pieces come one after the other."""
+    here, ends, done = None, None, []
+    for batch in batches:
+        for table, piece, kind, price in _columns(batch, "table_name", "piece", "transformation_type", "cost"):
+            if (table, piece) != here:
+                if here is not None:
+                    done.append((*here, ends.tolist()))
+                if len(done) == TABLES_PER_BATCH:
+                    yield _table_batch(done)
+                    done = []
+                here, ends = (table, piece), np.arange(SNAPSHOT_COST)
+            ends = _after(ends, kind, price)
+    if here is not None:
+        yield _table_batch([*done, (*here, ends.tolist())])
+
+
+def _table_batch(done: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.string(), pa.int64(), pa.list_(pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*done), kinds)],
+                                      names=["table_name", "piece", "ends"])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps after which the cost falls back to zero, walking each piece from its start value."""
+    here, state = None, 0
+    for batch in batches:
+        due = []
+        for table, piece, start, kind, price in _columns(batch, "table_name", "piece", "start", "transformation_type",
+                                                         "cost"):
+            if (table, piece) != here:
+                here, state = (table, piece), start
+            state = _after(state, kind, price)
+            due.append(state == 0)
+        yield batch.select(["table_name", "transformation_id"]).filter(pa.array(due, pa.bool_()))
+
+
+def _columns(batch: pa.RecordBatch, *names: str):
+    return zip(*[batch.column(name).to_pylist() for name in names])

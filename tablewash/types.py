@@ -150,6 +150,13 @@ def number(df: DataFrame, column: str) -> Column:
     return col(column)
 
 
+def is_number(df: DataFrame, column: str) -> Column:
+    """Neither NULL nor NaN."""
+    if isinstance(type_of(df, column), (T.FloatType, T.DoubleType)):
+        return col(column).isNotNull() & ~F.isnan(col(column))
+    return col(column).isNotNull()
+
+
 def python_value(data_type: T.DataType, value):
     """``value`` (often text from a form) as a Python value of the column's type."""
     if value is None:
