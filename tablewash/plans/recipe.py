@@ -110,7 +110,7 @@ def fit(df: DataFrame, plan: Iterable[Step]) -> list[Step]:
 
 
 def replay(base: DataFrame, plan: Iterable[Step]) -> DataFrame:
-    """Fold fitted steps over a table: one lazy plan whose projections Spark merges."""
+    """Fold fitted steps over a table: one lazy plan; row-wise steps share a stage and move no data."""
     return reduce(apply_step, plan, base)
 
 
