@@ -15,8 +15,15 @@ from ..session import checkpoint
 from ..types import InvalidValueError
 from .candidates import CELL, Candidates, cells
 
-# Pairs compared in one step of a task.
-STEP_PAIRS = 1_000_000
+# Rows handled together in a task: small cells are joined up to this number.
+STEP_ROWS = 2048
+# Pairs compared in one step: all combinations of values are counted in long steps, links are
+# looked for in short ones, because pairs already linked are not compared any more.
+COUNT_PAIRS, LINK_PAIRS = 1_000_000, 65_536
+# Combinations of similarities that are counted in a plain table.
+COUNT_TABLE = 4_000_000
+# Partitions of cells per shuffle partition: few bytes make much work, so they must not be merged.
+CELL_SPREAD = 4
 # Rounding slack of sums of similarities.
 SLACK = 1e-9
 # Starting centres of the two groups of pairs, in every dimension.
@@ -53,7 +60,7 @@ def similarity_vectors(found: Candidates) -> DataFrame:
         for group in _whole_cells(batches):
             books = _codebooks(group, texts)
             copies = group["copies"].to_numpy()
-            for left, right in _pairs(group):
+            for left, right in _pairs(group, COUNT_PAIRS):
                 yield _vector_counts(books, left, right, copies[left] * copies[right], names)
 
     pairs = _arranged(found).mapInArrow(count, schema)
@@ -104,12 +111,16 @@ def matched_edges(found: Candidates, decision: Decision | None) -> DataFrame:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_cells(batches):
             books = _codebooks(group, texts)
-            ids = group["sid"].to_numpy()
-            for left, right in _pairs(group):
-                keep = _matching(books, left, right, decision)
-                if len(keep):
-                    a, b = stars(ids[left[keep]], ids[right[keep]])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            label = np.arange(group.num_rows)
+            for left, right in _pairs(group, LINK_PAIRS):
+                apart = np.flatnonzero(label[left] != label[right])
+                keep = apart[_matching(books, left[apart], right[apart], decision)]
+                label = _merged(label, left[keep], right[keep])
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            if len(linked):
+                ids = group["sid"].to_numpy()
+                a, b = stars(ids[label[linked]], ids[linked])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     links = _arranged(found).mapInArrow(link, "a long, b long")
     alike = F.lit(True) if decision is None else _score(decision, _self_similarity(found)) > decision.bound
@@ -137,21 +148,28 @@ def _self_similarity(found: Candidates) -> list[Column]:
 
 
 def _arranged(found: Candidates) -> DataFrame:
-    return cells(found).repartition(*CELL[:-1]).sortWithinPartitions(*CELL)
+    placed = cells(found)
+    partitions = CELL_SPREAD * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(partitions, *CELL[:-1]).sortWithinPartitions(*CELL)
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of complete cells; the last cell of a batch waits for its continuation."""
+    """Tables of complete cells, as many as fit; the last cell of a batch waits for its continuation."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if rest is not None:
             table = pa.concat_tables([rest, table])
         starts = _cell_starts(table)
-        cut = int(starts[-1]) if len(starts) else 0
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-        rest = table.slice(cut)
+        begin = 0
+        for start, end in zip(starts[:-1], starts[1:]):
+            if end - begin > STEP_ROWS and start > begin:
+                yield table.slice(begin, start - begin).combine_chunks()
+                begin = int(start)
+        if len(starts) and starts[-1] > begin:
+            yield table.slice(begin, starts[-1] - begin).combine_chunks()
+            begin = int(starts[-1])
+        rest = table.slice(begin)
     if rest is not None and rest.num_rows:
         yield rest.combine_chunks()
 
@@ -166,7 +184,7 @@ def _cell_starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-def _pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(table: pa.Table, step_pairs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row positions of the pairs of all cells in the table, in steps of bounded size."""
     rows = table.num_rows
     starts = _cell_starts(table)
@@ -182,7 +200,7 @@ def _pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     row = 0
     while row < rows:
         done = upto[row - 1] if row else 0
-        stop = max(int(np.searchsorted(upto, done + STEP_PAIRS, side="right")), row + 1)
+        stop = max(int(np.searchsorted(upto, done + step_pairs, side="right")), row + 1)
         step = counts[row:stop]
         left = np.repeat(position[row:stop], step)
         if len(left):
@@ -204,21 +222,23 @@ def _codebooks(table: pa.Table, texts: list[str]) -> list[Codebook]:
 
 def _vector_counts(books: list[Codebook], left: np.ndarray, right: np.ndarray, weights: np.ndarray,
                    names: list[str]) -> pa.RecordBatch:
-    key = np.zeros(len(left), dtype=np.int64)
-    columns = []
-    for book in books:
-        values, where = book.similarities(left, right)
-        values, merged = np.unique(values, return_inverse=True)
-        columns.append(values)
-        # Re-number after each column so that the combined key cannot overflow.
-        _, key = np.unique(key * len(values) + merged[where], return_inverse=True)
-    _, sample, group = np.unique(key, return_index=True, return_inverse=True)
-    totals = np.bincount(group, weights=weights, minlength=len(sample)).astype(np.int64)
-    arrays = []
-    for book in books:
-        values, where = book.similarities(left[sample], right[sample])
-        arrays.append(pa.array(values[where]))
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(totals)], names=[*names, "pair_count"])
+    seen = [book.similarities(left, right) for book in books]
+    sizes = [len(values) for values, _ in seen]
+    if np.prod(sizes, dtype=float) <= COUNT_TABLE:
+        totals = np.bincount(np.ravel_multi_index([where for _, where in seen], sizes), weights=weights)
+        used = np.flatnonzero(totals)
+        places = np.unravel_index(used, sizes)
+        totals = totals[used]
+    else:
+        key = np.zeros(len(left), dtype=np.int64)
+        for values, where in seen:
+            # Re-numbered after each column so that the combined key cannot overflow.
+            _, key = np.unique(key * len(values) + where, return_inverse=True)
+        _, sample, group = np.unique(key, return_index=True, return_inverse=True)
+        places = [where[sample] for _, where in seen]
+        totals = np.bincount(group, weights=weights)
+    arrays = [pa.array(values[place]) for (values, _), place in zip(seen, places)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(totals.astype(np.int64))], names=[*names, "pair_count"])
 
 
 def _matching(books: list[Codebook], left: np.ndarray, right: np.ndarray, decision: Decision | None) -> np.ndarray:
@@ -226,7 +246,7 @@ def _matching(books: list[Codebook], left: np.ndarray, right: np.ndarray, decisi
     keep = np.arange(len(left))
     if decision is None:
         return keep
-    order = sorted(range(len(books)), key=lambda i: sum(map(len, books[i].texts)) / max(len(books[i].texts), 1))
+    order = sorted(range(len(books)), key=lambda i: books[i].lengths.mean())
     score = np.zeros(len(left))
     still = sum(max(w, 0.0) for w in decision.weights)
     for i in order:
@@ -240,21 +260,22 @@ def _matching(books: list[Codebook], left: np.ndarray, right: np.ndarray, decisi
     return keep[score > decision.bound]
 
 
-def stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id and other members of each connected group of the given pairs of ids."""
-    members, where = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = where[:len(left)], where[len(left):]
-    label = np.arange(len(members))
+def _merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels after linking pairs of positions: each the smallest position of its group."""
     while True:
-        low = np.minimum(label[a], label[b])
+        low = np.minimum(label[left], label[right])
         fresh = label.copy()
-        np.minimum.at(fresh, label[a], low)
-        np.minimum.at(fresh, label[b], low)
-        np.minimum.at(fresh, a, low)
-        np.minimum.at(fresh, b, low)
+        for side in (label[left], label[right], left, right):
+            np.minimum.at(fresh, side, low)
         fresh = fresh[fresh]
         if np.array_equal(fresh, label):
-            break
+            return label
         label = fresh
+
+
+def stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id and other members of each connected group of the given pairs of ids."""
+    members, where = np.unique(np.concatenate([left, right]), return_inverse=True)
+    label = _merged(np.arange(len(members)), where[:len(left)], where[len(left):])
     other = np.flatnonzero(label != np.arange(len(members)))
     return members[label[other]], members[other]

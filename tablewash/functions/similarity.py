@@ -6,109 +6,159 @@ from collections.abc import Sequence
 
 import numpy as np
 
-# Cells (pairs x length) of one work array.
-BUDGET = 2_000_000
+# Entries (pairs x length) of one work array; small enough to stay in a processor cache.
+BUDGET = 160_000
+# Texts up to this length are handled with two-byte distances.
+SHORT = 10_000
 
 
-def damerau_levenshtein(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distance of each pair.
+class Texts:
+    """Texts as numbers, one after the other in a single array."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+        known, signs = np.unique(signs, return_inverse=True)
+        self.signs = signs.astype(np.int16 if len(known) < SHORT else np.int32)
+
+    def padded(self, which: np.ndarray, pad: int) -> np.ndarray:
+        """Matrix with one column per chosen text, filled up with ``pad``."""
+        lengths = self.lengths[which]
+        position = np.arange(lengths.max(initial=0))[:, None]
+        inside = position < lengths
+        rows = np.full(inside.shape, pad, dtype=self.signs.dtype)
+        rows[inside] = self.signs[(self.starts[which] + position)[inside]]
+        return rows
+
+
+def distances(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distance of pairs of texts given by their positions.
 
     The linear-space recurrence of Zhao and Sahni (2019), run for a whole batch of pairs per
     step; pairs are sorted by length so that batches hardly pad.
     """
-    a = np.array([len(s) for s in left], dtype=np.int64)
-    b = np.array([len(s) for s in right], dtype=np.int64)
-    result = np.empty(len(a), dtype=np.int64)
-    order = np.lexsort((a, b))
+    longer = np.maximum(texts.lengths[left], texts.lengths[right])
+    order = np.argsort(longer, kind="stable")
+    result = np.empty(len(left), dtype=np.int64)
     start = 0
     while start < len(order):
-        longest = int(b[order[start]]) + 2
-        stop = start
-        while stop < len(order):
-            # Lengths ascend: grow the batch in steps while its padded size stays in the budget.
-            step = min(stop + 4096, len(order))
-            width = int(max(b[order[step - 1]], a[order[stop:step]].max())) + 2
-            if stop > start and (step - start) * max(longest, width) > BUDGET:
-                break
-            longest, stop = max(longest, width), step
+        # Lengths ascend: halve the batch until its padded size fits.
+        stop = min(start + BUDGET, len(order))
+        while stop > start + 1 and (stop - start) * (longer[order[stop - 1]] + 2) > BUDGET:
+            stop = start + (stop - start + 1) // 2
         batch = order[start:stop]
-        result[batch] = _batch([left[i] for i in batch], [right[i] for i in batch])
+        result[batch] = _batch(texts, left[batch], right[batch])
         start = stop
     return result
 
 
-def _codes(strings: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(s) for s in strings], dtype=np.int32)
-    codes = np.full((len(strings), int(lengths.max(initial=0))), pad, dtype=np.int32)
-    filled = np.arange(codes.shape[1]) < lengths[:, None]
-    codes[filled] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
-    return np.ascontiguousarray(codes.T), lengths
-
-
-def _batch(left: list[str], right: list[str]) -> np.ndarray:
-    a, a_len = _codes(left, -1)
-    b, b_len = _codes(right, -2)
+def _batch(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    a, b = texts.padded(left, -1), texts.padded(right, -2)
+    a_len, b_len = texts.lengths[left], texts.lengths[right]
     pairs, height, width = len(left), a.shape[0], b.shape[0]
-    far = np.int32(max(height, width) + 1)
+    kind = np.int16 if max(height, width) < SHORT else np.int32
+    far = kind(max(height, width) + 1)
     # Row r of these arrays is column r - 1 of the distance matrix.
-    now = np.empty((width + 2, pairs), dtype=np.int32)
+    now = np.empty((width + 2, pairs), dtype=kind)
     now[0] = far
-    now[1:] = np.arange(width + 1, dtype=np.int32)[:, None]
-    above = np.full((width + 2, pairs), far, dtype=np.int32)
-    saved = np.full((width + 2, pairs), far, dtype=np.int32)
-    last_row = np.full((width, pairs), -1, dtype=np.int32)
-    result = np.where(a_len == 0, b_len, 0).astype(np.int64)
-    every = np.arange(pairs)
+    now[1:] = np.arange(width + 1, dtype=kind)[:, None]
+    above = np.full((width + 2, pairs), far, dtype=kind)
+    saved = np.full((width + 2, pairs), far, dtype=kind)
+    last_row = np.full((width, pairs), -1, dtype=kind)
+    last_col, two_back, crossing, best, other, rows, cols, mask = (np.empty(pairs, dtype=kind) for _ in range(8))
+    result = np.where(a_len == 0, b_len, 0)
+    every, one = np.arange(pairs), kind(1)
+
+    def put(target: np.ndarray, value) -> None:
+        """Assign where ``mask`` has all bits set; much faster than a masked copy."""
+        np.bitwise_xor(target, value, out=other)
+        np.bitwise_and(other, mask, out=other)
+        np.bitwise_xor(target, other, out=target)
+
     for i in range(1, height + 1):
         now, above = above, now
-        char = a[i - 1]
-        last_col = np.full(pairs, -1, dtype=np.int32)
-        two_back = now[1].copy()
+        last_col.fill(-1)
+        two_back[:] = now[1]
         now[1] = i
-        crossing = np.full(pairs, far, dtype=np.int32)
+        crossing.fill(far)
         for j in range(1, width + 1):
-            same = char == b[j - 1]
-            best = np.minimum(above[j] + ~same, np.minimum(now[j], above[j + 1]) + 1)
-            rows = i - last_row[j - 1]
-            cols = j - last_col
-            swap = np.where(cols == 1, saved[j + 1] + rows, np.where(rows == 1, crossing + cols, far + far))
-            best = np.where(same, best, np.minimum(best, swap))
-            last_col[same] = j
-            saved[j + 1] = np.where(same, above[j - 1], saved[j + 1])
-            crossing = np.where(same, two_back, crossing)
-            two_back = now[j + 1].copy()
+            np.negative(a[i - 1] == b[j - 1], out=mask, dtype=kind, casting="unsafe")
+            # Replace or keep; insert or delete.
+            np.add(above[j], mask, out=best)
+            np.minimum(best, now[j], out=best)
+            np.minimum(best, above[j + 1], out=best)
+            best += one
+            # Swap with the last earlier match in this row or in this column.
+            np.subtract(kind(i), last_row[j - 1], out=rows)
+            np.subtract(kind(j), last_col, out=cols)
+            np.multiply(rows != one, far, out=other, dtype=kind, casting="unsafe")
+            other += crossing
+            other += cols
+            np.minimum(best, other, out=best)
+            np.multiply(cols != one, far, out=other, dtype=kind, casting="unsafe")
+            other += saved[j + 1]
+            other += rows
+            np.minimum(best, other, out=best)
+            put(last_col, kind(j))
+            put(saved[j + 1], above[j - 1])
+            put(crossing, two_back)
+            two_back[:] = now[j + 1]
             now[j + 1] = best
-        last_row[b == char] = i
+        found = np.negative(b == a[i - 1], dtype=kind, casting="unsafe")
+        last_row ^= (last_row ^ kind(i)) & found
         done = a_len == i
-        result[done] = now[b_len[done] + 1, every[done]]
+        if done.any():
+            result[done] = now[b_len[done] + 1, every[done]]
     return result
 
 
-def similarity(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    """1 - distance / longer length; 0 for two empty texts."""
-    longer = np.maximum([len(s) for s in left], [len(s) for s in right]).astype(float)
-    distance = damerau_levenshtein(left, right)
-    return np.where(longer > 0, 1 - distance / np.maximum(longer, 1), 0.0)
+def damerau_levenshtein(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Distance of each pair of texts."""
+    position = np.arange(len(left))
+    return distances(Texts([*left, *right]), position, position + len(left))
+
+
+def similarity(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """1 - distance / longer length of pairs of texts that are not both empty."""
+    return 1 - distances(texts, left, right) / np.maximum(texts.lengths[left], texts.lengths[right])
 
 
 class Codebook:
-    """Texts of one column of one batch, coded; similarities are computed once per pair of texts."""
+    """Texts of one column of some rows, coded; similarities are computed once per pair of texts."""
 
     def __init__(self, codes: np.ndarray, texts: list[str]):
-        self.codes = codes
-        self.texts = texts
-        self.empty = np.array([not t for t in texts] + [True])
+        # An empty text behind the last one stands for NULL.
+        self.texts = Texts([*texts, ""])
+        self.lengths = self.texts.lengths
+        self.codes = np.where(codes < 0, len(texts), codes)
+        self.values = np.array([0.0, 1.0])
+        self.places: np.ndarray | None = None
 
     def similarities(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct similarities, and for each pair of rows the position of its own among them."""
+        """Some similarities, and for each pair of rows the position of its own among them."""
         a, b = self.codes[left], self.codes[right]
-        missing = (a < 0) | (b < 0)
         low, high = np.minimum(a, b), np.maximum(a, b)
-        size = len(self.texts) + 1
-        key, where = np.unique(np.where(missing, -1, low * size + high), return_inverse=True)
-        low, high = key // size, key % size
-        values = np.where((key >= 0) & (low == high) & ~self.empty[high], 1.0, 0.0)
-        apart = np.flatnonzero((key >= 0) & (low != high))
+        size = len(self.lengths)
+        if self.places is None and size * size > 4 * len(low):
+            # Few pairs: not worth a table of all pairs of texts.
+            key, where = np.unique(low * size + high, return_inverse=True)
+            return self._compare(key // size, key % size), where
+        if self.places is None:
+            self.places = np.full((size, size), -1, dtype=np.int32)
+        asked = np.zeros((size, size), dtype=bool)
+        asked[low, high] = True
+        fresh_low, fresh_high = np.nonzero(asked & (self.places < 0))
+        if len(fresh_low):
+            found, where = np.unique(self._compare(fresh_low, fresh_high), return_inverse=True)
+            self.places[fresh_low, fresh_high] = len(self.values) + where
+            self.values = np.concatenate([self.values, found])
+        return self.values, self.places[low, high]
+
+    def _compare(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        filled = (self.lengths[low] > 0) & (self.lengths[high] > 0)
+        values = np.where(filled & (low == high), 1.0, 0.0)
+        apart = np.flatnonzero(filled & (low != high))
         if len(apart):
-            values[apart] = similarity([self.texts[i] for i in low[apart]], [self.texts[i] for i in high[apart]])
-        return values, where
+            values[apart] = similarity(self.texts, low[apart], high[apart])
+        return values

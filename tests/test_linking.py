@@ -1,13 +1,14 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablewash.dedup import candidates as cand
 from tablewash.dedup import clusters as link
 from tablewash.dedup import matching
-from tablewash.functions.similarity import damerau_levenshtein, similarity
+from tablewash.functions.similarity import Codebook, damerau_levenshtein
 from tablewash.types import AttrTypeError, InvalidValueError, TableTooLargeError
 
 
@@ -58,7 +59,17 @@ def test_distance():
     pairs = [(rand.choice(words), rand.choice(words)) for _ in range(2000)] + [("ca", "abc"), ("Jonh", "John"), ("", "")]
     left, right = zip(*pairs)
     assert damerau_levenshtein(left, right).tolist() == [distance(a, b) for a, b in pairs]
-    assert similarity(["Jonh", "", ""], ["John", "", "x"]).tolist() == [0.75, 0.0, 0.0]
+
+
+def test_codebook():
+    texts = ["Jonh", "John", "", "x"]
+    rows = np.array([0, 1, 2, 3, -1, 0])
+    book = Codebook(rows, texts)
+    for pairs in (1, 15, 15):
+        left, right = map(np.array, zip(*list(itertools.combinations(range(6), 2))[-pairs:]))
+        values, where = book.similarities(left, right)
+        want = [sim(*("" if rows[i] < 0 else texts[rows[i]] for i in pair)) for pair in zip(left, right)]
+        assert values[where].tolist() == want
 
 
 PEOPLE = [
