@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
+from ..plans import history as h
+from ..plans.recipe import Step
 from ..sources import csv, dump
 from ..sources.dataset import Dataset
 from .registry import query
@@ -66,3 +68,19 @@ def dataset_copy(t):
     dataset = Dataset(t.spark, scratch_folder(t.spark))
     dataset.add("part", t.part)
     return dataset.table(dataset.copy("part", "part"))
+
+
+@query("dataset_undo", """
+    SELECT p_partkey, p_name, p_brand, p_type, CASE WHEN p_size > 40 THEN 40 ELSE p_size END AS p_size, p_retailprice,
+      CASE WHEN p_size < 20 THEN '[0 , 20[' ELSE '[20 , 60[' END AS p_size_categorical
+    FROM part WHERE p_type <> 'PROMO'""")
+def dataset_undo(t):
+    """Four steps, the last one taken back."""
+    dataset = Dataset(t.spark, scratch_folder(t.spark))
+    dataset.add("part", t.part)
+    for step in (Step(h.OUTLIERS, "p_size", {"larger": True, "value": 40, "replacement": 40}),
+                 Step(h.CUSTOM_RANGES, "p_size", {"edges": [0, 20, 60]}),
+                 Step(h.DELETE_ROWS, "", {"clauses": ["p_type", "=", "PROMO"]}),
+                 Step(h.ONE_HOT, "p_type")):
+        dataset.apply("part", step)
+    return dataset.undo("part")

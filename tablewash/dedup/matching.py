@@ -251,6 +251,9 @@ def _matching(books: list[Codebook], left: np.ndarray, right: np.ndarray, decisi
     still = sum(max(w, 0.0) for w in decision.weights)
     for i in order:
         still -= max(decision.weights[i], 0.0)
+        if decision.weights[i] > 0:
+            possible = score + decision.weights[i] * books[i].ceiling(left[keep], right[keep]) + still > decision.bound - SLACK
+            keep, score = keep[possible], score[possible]
         values, where = books[i].similarities(left[keep], right[keep])
         score = score + decision.weights[i] * values[where]
         possible = score + still > decision.bound - SLACK

@@ -56,8 +56,8 @@ def order_statistics(df: DataFrame, column: str, ranks_for: Callable[[int], Iter
     if not total:
         return 0, {}
     found: dict[int, object] = {}
-    leaves: list[_Range] = []
-    ranges = [_Range(None, None, 0, total, sorted(set(ranks_for(total))))]
+    whole = _Range(None, None, 0, total, sorted(set(ranks_for(total))))
+    leaves, ranges = ([whole], []) if total <= LEAF_ROWS else ([], [whole])
     while ranges:
         sketches = values.agg(*[r.quantiles(value).alias(f"q{i}") for i, r in enumerate(ranges)]).first()
         pivots = {pivot for sketch in sketches for pivot in sketch}

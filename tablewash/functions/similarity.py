@@ -155,6 +155,11 @@ class Codebook:
             self.values = np.concatenate([self.values, found])
         return self.values, self.places[low, high]
 
+    def ceiling(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What the lengths alone allow: a distance is no smaller than the difference in length."""
+        a, b = self.lengths[self.codes[left]], self.lengths[self.codes[right]]
+        return np.where((a > 0) & (b > 0), np.minimum(a, b) / np.maximum(np.maximum(a, b), 1), 0.0)
+
     def _compare(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         filled = (self.lengths[low] > 0) & (self.lengths[high] > 0)
         values = np.where(filled & (low == high), 1.0, 0.0)
