@@ -39,9 +39,8 @@ def connected_components(edges: DataFrame, few_links: int = FEW_LINKS) -> DataFr
         if now == state:
             break
         state = now
-    members = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    return (members.unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
-            .unionByName(loops).groupBy("id").agg(F.min("label").alias("label")))
+    star = F.array(*[F.struct(F.col(c).alias("id"), F.col("b").alias("label")) for c in ("a", "b")])
+    return links.select(F.inline(star)).unionByName(loops).groupBy("id").agg(F.min("label").alias("label"))
 
 
 def _small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ COUNT_PAIRS, LINK_PAIRS = 1_000_000, 65_536
 # Combinations of similarities that are counted in a plain table.
 COUNT_TABLE = 4_000_000
 # Partitions of cells per shuffle partition: few bytes make much work, so they must not be merged.
-CELL_SPREAD = 4
+CELL_SPREAD = 2
 # Rounding slack of sums of similarities.
 SLACK = 1e-9
 # Starting centres of the two groups of pairs, in every dimension.

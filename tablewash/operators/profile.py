@@ -123,11 +123,11 @@ def histogram(df: DataFrame, column: str, bins: int = 10, compat: str | None = N
     else:
         place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
         edges = [low + i * width for i in range(bins)] + [high]
-    frame = spark.createDataFrame(_labels(edges), "bin int, label string")
     counts = df.where(value.isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("frequency"))
-    return (frame.join(counts, "bin", "left")
-            .select("bin", "label", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
-            .orderBy("bin"))
+    every = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("long").alias("frequency"))
+    label = F.element_at(F.array(*[F.lit(text) for _, text in _labels(edges)]), F.col("bin") + 1)
+    return (counts.unionByName(every).groupBy("bin").agg(F.sum("frequency").alias("frequency"))
+            .select("bin", label.alias("label"), "frequency").orderBy("bin"))
 
 
 def _greedy_histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:

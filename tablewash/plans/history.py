@@ -82,7 +82,7 @@ TABLES_PER_BATCH = 5_000
 
 
 def _parameter(name: str) -> Column:
-    return F.coalesce(F.get_json_object("parameters", f"$.{name}"), F.lit(""))
+    return F.coalesce(F.col("_read")[name], F.lit(""))
 
 
 def _wording() -> dict[str, Column]:
@@ -116,7 +116,9 @@ def describe(log: DataFrame) -> DataFrame:
             if name:
                 pieces.append(wording[name] if name in wording else _parameter(name))
         sentence = sentence.when(F.col("transformation_type") == code, F.concat(*pieces))
-    return steps(log).select("transformation_id", "transformation_date", sentence.alias("sentence"))
+    # The parameters are parsed once per row; nested values come as their JSON text.
+    read = steps(log).withColumn("_read", F.from_json("parameters", "map<string,string>"))
+    return read.select("transformation_id", "transformation_date", sentence.alias("sentence"))
 
 
 def history_page(log: DataFrame, offset: int, limit: int, newest_first: bool = True,
