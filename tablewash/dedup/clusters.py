@@ -26,21 +26,25 @@ def connected_components(edges: DataFrame, few_links: int = FEW_LINKS) -> DataFr
     stars. The rounds grow with the logarithm of the longest chain, and a hub is only ever
     met as a minimum or as one side of a join. A counted small number of links needs no rounds.
     """
+    edges = checkpoint(edges)
     loops = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("label"))
-    links = checkpoint(edges.where("a <> b")
-                       .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if edges.count() <= few_links:
+        links = links.coalesce(1).mapInArrow(_small_components, "a long, b long")
+    else:
+        links = _star_rounds(checkpoint(links.distinct()))
+    star = F.array(*[F.struct(F.col(c).alias("id"), F.col("b").alias("label")) for c in ("a", "b")])
+    return links.select(F.inline(star)).unionByName(loops).groupBy("id").agg(F.min("label").alias("label"))
+
+
+def _star_rounds(links: DataFrame) -> DataFrame:
     state = _fingerprint(links)
-    if state[0] <= few_links:
-        links = links.coalesce(1).mapInArrow(_small_components, links.schema)
-        state = None
-    while state:
+    while True:
         links = checkpoint(_small_star(_large_star(links)))
         now = _fingerprint(links)
         if now == state:
-            break
+            return links
         state = now
-    star = F.array(*[F.struct(F.col(c).alias("id"), F.col("b").alias("label")) for c in ("a", "b")])
-    return links.select(F.inline(star)).unionByName(loops).groupBy("id").agg(F.min("label").alias("label"))
 
 
 def _small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
