@@ -86,7 +86,8 @@ def find_clusters(df: DataFrame, id_column: str, exact: Sequence[str] = (), igno
     else:
         decision = threshold_decision(len(found.columns), threshold)
     labels = connected_components(matched_edges(found, decision))
-    return _row_clusters(df, id_column, exact, prefix, found, labels)
+    # Clusters are read several times afterwards: to review, to decide, to remove.
+    return checkpoint(_row_clusters(df, id_column, exact, prefix, found, labels))
 
 
 def _row_clusters(df: DataFrame, id_column: str, exact: Sequence[str], prefix: Mapping[str, int] | None,

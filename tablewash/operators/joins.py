@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,13 +25,13 @@ def normal_join(left: DataFrame, right: DataFrame, left_columns: Sequence[str],
     if clash:
         raise ColumnNameClashError(f"both tables have columns {sorted(clash)}")
     pairs = list(zip(left_columns, right_columns))
-    joined = left.join(right, _equal(pairs), "inner")
+    joined = _keyed(left, left_columns).join(_keyed(right, right_columns), _equal(pairs), "inner")
     columns = left.columns + right.columns
     parts = [joined]
     if how in ("left", "full"):
-        parts.append(_unmatched(left, right, pairs))
+        parts += _unmatched(left, right, pairs)
     if how in ("right", "full"):
-        parts.append(_unmatched(right, left, [(b, a) for a, b in pairs]))
+        parts += _unmatched(right, left, [(b, a) for a, b in pairs])
     return _stacked(parts, columns)
 
 
@@ -43,12 +43,13 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
         raise NoJoinColumnsError("the tables have no column name in common")
     for c in common:
         _check_same_type(left, c, right, c)
-    joined = left.join(right, on=common, how="inner")
+    joined = _keyed(left, common).join(_keyed(right, common), on=common, how="inner")
+    pairs = [(c, c) for c in common]
     parts = [joined]
     if how in ("left", "full"):
-        parts.append(left.join(right.select(common).distinct(), on=common, how="left_anti"))
+        parts += _unmatched(left, right, pairs)
     if how in ("right", "full"):
-        parts.append(right.join(left.select(common).distinct(), on=common, how="left_anti"))
+        parts += _unmatched(right, left, pairs)
     return _stacked(parts, joined.columns)
 
 
@@ -59,14 +60,22 @@ def semi_join(left: DataFrame, right: DataFrame, left_column: str, right_column:
     return left.join(keys, col(left_column) == F.col("_key"), "left_semi")
 
 
-def _unmatched(df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Rows of ``df`` without partner.
+def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.where(_all(col(c).isNotNull() for c in columns))
+
+
+def _unmatched(df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]) -> list[DataFrame]:
+    """Rows of ``df`` without partner: those whose key is unknown on the other side or NULL.
 
     An outer join cannot split a hot key on the side that supplies the NULLs, nor on either side of a
-    full join. Inner and anti joins can: the anti join only meets the distinct keys of the other side.
+    full join. Inner and anti joins can: the anti join only meets the distinct keys of the other
+    side. Its input is the same as that of the inner join, so that both read one shuffle; rows with
+    a NULL key are not shuffled at all.
     """
-    keys = other.select(*[col(b) for _, b in pairs]).distinct()
-    return df.join(keys, _equal(pairs), "left_anti")
+    own, their = [a for a, _ in pairs], [b for _, b in pairs]
+    keys = _keyed(other, their).select(*[col(b).alias(f"_key{i}") for i, b in enumerate(their)]).distinct()
+    strange = _keyed(df, own).join(keys, _equal([(a, f"_key{i}") for i, a in enumerate(own)]), "left_anti")
+    return [strange, df.where(~_all(col(a).isNotNull() for a in own))]
 
 
 def _stacked(parts: list[DataFrame], columns: list[str]) -> DataFrame:
@@ -75,7 +84,11 @@ def _stacked(parts: list[DataFrame], columns: list[str]) -> DataFrame:
 
 
 def _equal(pairs: list[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [col(a) == col(b) for a, b in pairs])
+    return _all(col(a) == col(b) for a, b in pairs)
+
+
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def _check_type(how: str) -> None:
