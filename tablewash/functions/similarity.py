@@ -22,25 +22,44 @@ class Texts:
         known, signs = np.unique(signs, return_inverse=True)
         self.signs = signs.astype(np.int16 if len(known) < SHORT else np.int32)
 
-    def padded(self, which: np.ndarray, pad: int) -> np.ndarray:
-        """Matrix with one column per chosen text, filled up with ``pad``."""
-        lengths = self.lengths[which]
+    def padded(self, starts: np.ndarray, lengths: np.ndarray, pad: int) -> np.ndarray:
+        """Matrix with one column per stretch of signs, filled up with ``pad``."""
         position = np.arange(lengths.max(initial=0))[:, None]
         inside = position < lengths
         rows = np.full(inside.shape, pad, dtype=self.signs.dtype)
-        rows[inside] = self.signs[(self.starts[which] + position)[inside]]
+        rows[inside] = self.signs[(starts + position)[inside]]
         return rows
 
+    def common(self, left: np.ndarray, right: np.ndarray, limit: np.ndarray, step: int) -> np.ndarray:
+        """How many signs are equal from the given positions on (``step`` 1) or backwards (-1)."""
+        count = np.zeros(len(left), dtype=np.int64)
+        active = np.flatnonzero(limit > 0)
+        done = 0
+        while len(active):
+            active = active[self.signs[left[active] + done * step] == self.signs[right[active] + done * step]]
+            count[active] += 1
+            done += 1
+            active = active[limit[active] > done]
+        return count
+
 
 def distances(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Unrestricted Damerau-Levenshtein distance of pairs of texts given by their positions.
 
-    The linear-space recurrence of Zhao and Sahni (2019), run for a whole batch of pairs per
-    step; pairs are sorted by length so that batches hardly pad.
+    What both texts begin and end with does not matter and is cut off. For the rest the linear-space
+    recurrence of Zhao and Sahni (2019) is run for a whole batch of pairs per step; pairs are
+    sorted by length so that batches hardly pad.
     """
-    longer = np.maximum(texts.lengths[left], texts.lengths[right])
-    order = np.argsort(longer, kind="stable")
-    result = np.empty(len(left), dtype=np.int64)
+    a, b = texts.starts[left], texts.starts[right]
+    a_len, b_len = texts.lengths[left], texts.lengths[right]
+    head = texts.common(a, b, np.minimum(a_len, b_len), 1)
+    tail = texts.common(a + a_len - 1, b + b_len - 1, np.minimum(a_len, b_len) - head, -1)
+    a, b, a_len, b_len = a + head, b + head, a_len - head - tail, b_len - head - tail
+    longer = np.maximum(a_len, b_len)
+    # With nothing left on one side the distance is the length of the other.
+    result = longer.copy()
+    order = np.flatnonzero(np.minimum(a_len, b_len) > 0)
+    order = order[np.argsort(longer[order], kind="stable")]
     start = 0
     while start < len(order):
         # Lengths ascend: halve the batch until its padded size fits.
@@ -48,15 +67,14 @@ def distances(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         while stop > start + 1 and (stop - start) * (longer[order[stop - 1]] + 2) > BUDGET:
             stop = start + (stop - start + 1) // 2
         batch = order[start:stop]
-        result[batch] = _batch(texts, left[batch], right[batch])
+        result[batch] = _batch(texts, a[batch], a_len[batch], b[batch], b_len[batch])
         start = stop
     return result
 
 
-def _batch(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    a, b = texts.padded(left, -1), texts.padded(right, -2)
-    a_len, b_len = texts.lengths[left], texts.lengths[right]
-    pairs, height, width = len(left), a.shape[0], b.shape[0]
+def _batch(texts: Texts, a_start: np.ndarray, a_len: np.ndarray, b_start: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    a, b = texts.padded(a_start, a_len, -1), texts.padded(b_start, b_len, -2)
+    pairs, height, width = len(a_len), a.shape[0], b.shape[0]
     kind = np.int16 if max(height, width) < SHORT else np.int32
     far = kind(max(height, width) + 1)
     # Row r of these arrays is column r - 1 of the distance matrix.
@@ -67,7 +85,7 @@ def _batch(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     saved = np.full((width + 2, pairs), far, dtype=kind)
     last_row = np.full((width, pairs), -1, dtype=kind)
     last_col, two_back, crossing, best, other, rows, cols, mask = (np.empty(pairs, dtype=kind) for _ in range(8))
-    result = np.where(a_len == 0, b_len, 0)
+    result = np.zeros(pairs, dtype=np.int64)
     every, one = np.arange(pairs), kind(1)
 
     def put(target: np.ndarray, value) -> None:

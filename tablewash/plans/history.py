@@ -77,7 +77,7 @@ SENTENCES = {
 }
 
 # Ids of one table that are folded in one task; a longer log is folded piecewise.
-PIECE = 20_000
+PIECE = 100_000
 TABLES_PER_BATCH = 5_000
 
 

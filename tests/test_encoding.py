@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablewash.functions import ordering
-from tablewash.operators import discretize, encode
+from tablewash.operators import discretize, encode, impute, profile, rows
 from tablewash.types import AttrTypeError, InvalidValueError
 
 
@@ -115,3 +115,16 @@ def test_neighbours_across_ranges(spark):
     assert len(found) == len(keys)
     assert all(r["next_k"] == (k + 3 if k + 3 < 4000 else None) for k, r in found.items())
     assert all(r["prev_w"] == (3 - k if k else None) for k, r in found.items())
+
+
+@pytest.mark.parametrize("kind", ["smallint", "bigint", "float", "decimal(10,2)"])
+def test_every_numeric_type(spark, kind):
+    df = spark.createDataFrame([(i * 3,) for i in range(40)] + [(None,)], "v long").select(F.col("v").cast(kind).alias("v"))
+    assert discretize.bin_equal_width(df, "v", 4).where("v_categorical IS NULL").count() == 1
+    assert discretize.bin_equal_frequency(df, "v").where("v_categorical IS NULL").count() == 1
+    assert discretize.bin_custom(df, "v", [0, 30, 300]).where("v_categorical IS NULL").count() == 1
+    assert impute.fill_median(df, "v").dtypes == df.dtypes and impute.fill_mean(df, "v").where("v IS NULL").count() == 0
+    assert round(encode.zscore_normalize(df, "v").agg(F.avg("v")).first()[0], 6) == 0.5
+    assert rows.replace_outliers(df, "v", True, "100.5", 7).agg(F.max("v")).first()[0] == 99
+    assert profile.histogram(df, "v", 4).agg(F.sum("frequency")).first()[0] == 40
+    assert profile.histogram(df, "v", 4, "greedy").agg(F.sum("frequency")).first()[0] == 40

@@ -58,7 +58,7 @@ def test_log_queries(spark):
     assert h.history_size(log, "t").first()[0] == 4
 
 
-@pytest.mark.parametrize("piece", [3, 7, 20_000])
+@pytest.mark.parametrize("piece", [3, 7, 100_000])
 def test_snapshots_and_running_distance(spark, monkeypatch, piece):
     monkeypatch.setattr(h, "PIECE", piece)
     rand = random.Random(8)
