@@ -20,10 +20,14 @@ PART_PAIRS = f"""pairs AS (SELECT a.p_partkey AS a, b.p_partkey AS b, {_similar(
       {_similar('a.p_retailprice::VARCHAR', 'b.p_retailprice::VARCHAR')} AS s2
     FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)"""
 
-COMPONENTS = """links AS (SELECT a, b FROM matches UNION ALL SELECT b, a FROM matches),
+COMPONENTS = """links AS MATERIALIZED (SELECT a, b FROM matches UNION ALL SELECT b, a FROM matches),
     reach(id, seen) AS (SELECT DISTINCT a, a FROM links UNION SELECT id, b FROM reach JOIN links ON seen = a),
     clusters AS (SELECT id AS p_partkey, min(seen) AS cluster_id FROM reach GROUP BY 1)"""
 
+# Rows c with the rank r of their key, paired within a rank and with the next one.
+NEIGHBOURS = """c a CROSS JOIN (VALUES (0), (1)) AS s(d) JOIN c b ON b.r = a.r + d
+      WHERE (d = 1 OR a.c_custkey < b.c_custkey)"""
+
 THRESHOLD = f"""{PART_PAIRS}, matches AS (SELECT a, b FROM pairs WHERE (s0 + s1 + s2) / 3 >= 0.6 - 1e-9), {COMPONENTS}"""
 
 
@@ -66,7 +70,7 @@ def dedup_similarity(t):
         {_similar('a.c_nationkey::VARCHAR', 'b.c_nationkey::VARCHAR')} AS s1,
         {_similar('a.c_acctbal::VARCHAR', 'b.c_acctbal::VARCHAR')} AS s2,
         {_similar('a.c_mktsegment', 'b.c_mktsegment')} AS s3
-      FROM c a JOIN c b ON (a.r = b.r AND a.c_custkey < b.c_custkey) OR a.r + 1 = b.r)
+      FROM {NEIGHBOURS})
     SELECT round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, round(s3, 6) AS s3, count(*) AS pair_count
     FROM pairs GROUP BY 1, 2, 3, 4""")
 def dedup_similarity_neighbours(t):
@@ -120,8 +124,7 @@ def dedup_kmeans(t):
 @query("dedup_clusters_neighbours", f"""
     WITH RECURSIVE c AS (SELECT *, dense_rank() OVER (ORDER BY c_acctbal) AS r FROM customer),
     matches AS (SELECT a.c_custkey AS a, b.c_custkey AS b
-      FROM c a JOIN c b ON (a.r = b.r AND a.c_custkey < b.c_custkey) OR a.r + 1 = b.r
-      WHERE ({_similar('a.c_name', 'b.c_name')} + {_similar('a.c_nationkey::VARCHAR', 'b.c_nationkey::VARCHAR')}
+      FROM {NEIGHBOURS} AND ({_similar('a.c_name', 'b.c_name')} + {_similar('a.c_nationkey::VARCHAR', 'b.c_nationkey::VARCHAR')}
         + {_similar('a.c_acctbal::VARCHAR', 'b.c_acctbal::VARCHAR')}
         + {_similar('a.c_mktsegment', 'b.c_mktsegment')}) / 4 >= 0.75 - 1e-9),
     {COMPONENTS} SELECT p_partkey AS c_custkey, cluster_id FROM clusters""")

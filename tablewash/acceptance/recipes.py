@@ -181,7 +181,7 @@ def undo(t):
     return undo_last(t.orders, RECIPE)
 
 
-REVENUE = """SELECT o_orderpriority, year(o_orderdate) AS order_year, count(*) AS n,
+REVENUE = """SELECT o_orderpriority, CAST(year(o_orderdate) AS INT) AS order_year, count(*) AS n,
       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
     GROUP BY o_orderpriority, year(o_orderdate)"""

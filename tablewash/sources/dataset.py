@@ -162,7 +162,8 @@ class Dataset:
                 raise InvalidValueError("an INSERT from a query cannot be replayed; insert its rows")
             changed.setdefault(statement.table, []).append(statement_record(statement))
         for table in changed:
-            state[table].schema
+            # An expression that fails on some row must fail here, before anything is logged.
+            state[table].write.format("noop").mode("overwrite").save()
         for table, records in changed.items():
             text = "; ".join(f"{r['kind'].upper()} {table}" for r in records)
             self._record(table, table, Step(h.STATEMENTS, "", {"statements": records, "query": text, "table": table}),

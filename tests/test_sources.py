@@ -186,6 +186,8 @@ def test_dataset_scripts_and_dedup(spark, companies, tmp_path):
     data.add("t", companies.select(F.monotonically_increasing_id().alias("id"), "string", "number"))
     with pytest.raises(Exception):
         data.execute([sql.Delete("t", "number > 0"), sql.Update("t", {"number": "nonsense"})])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        data.execute([sql.Delete("t", "number > 0"), sql.Update("t", {"number": "CAST(string AS INT)"})])
     assert data.table("t").count() == 16 and data.history().count() == 0
     result = data.execute([sql.Delete("t", "number < 0"), sql.Select("SELECT count(*) AS n FROM t")])
     assert rows(result) == [(14,)] and data.table("t").count() == 14
