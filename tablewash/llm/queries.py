@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, toxicity
+from . import language, mixing, packing, pii, simhash, toxicity
 
 # A score from here on counts as toxic.
 TOXIC_FROM = 0.3
@@ -77,3 +77,11 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
+
+
+@_query()
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    model = language.fit_languages(documents.where(~in_fold(F.col("doc_id"), 3, 1)))
+    return (language.predict_languages(documents.select("doc_id", "text"), model)
+            .select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score"))
