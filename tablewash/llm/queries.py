@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, pii, simhash, toxicity
+from . import covertree, language, mixing, packing, pii, simhash, toxicity
 
 # A score from here on counts as toxic.
 TOXIC_FROM = 0.3
@@ -85,3 +85,8 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit_languages(documents.where(~in_fold(F.col("doc_id"), 3, 1)))
     return (language.predict_languages(documents.select("doc_id", "text"), model)
             .select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score"))
+
+
+@_query(covertree.ORACLE)
+def op3_covertree(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.exact_top(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
