@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, language, mixing, packing, pii, simhash, toxicity
+from . import covertree, crosspolytope, language, mixing, packing, pii, simhash, toxicity
 
 # A score from here on counts as toxic.
 TOXIC_FROM = 0.3
@@ -90,3 +90,8 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 @_query(covertree.ORACLE)
 def op3_covertree(spark: SparkSession, folder: str) -> DataFrame:
     return covertree.exact_top(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@_query()
+def op10_crosspolytope(spark: SparkSession, folder: str) -> DataFrame:
+    return crosspolytope.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
