@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, crosspolytope, katz, language, mixing, packing, pii, simhash, toxicity
+from . import covertree, crosspolytope, katz, language, mixing, packing, paragraphs, pii, simhash, toxicity
 
 # A score from here on counts as toxic.
 TOXIC_FROM = 0.3
@@ -101,3 +101,8 @@ def op10_crosspolytope(spark: SparkSession, folder: str) -> DataFrame:
 def op9_katz(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return katz.Katz(documents.select("doc_id", "text", in_fold(F.col("doc_id"), 7, 2).alias("held_out"))).scores()
+
+
+@_query()
+def op8_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_table(spark, folder, "documents"))
