@@ -16,8 +16,11 @@ from tablewash.session import scratch_folder
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; empty texts score like no words and stay unless most labels are toxic."""
-    scored = toxicity.score_toxicity(docs, toxicity_model(spark, sf_dir), "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+    score = "_toxicity"
+    while score in docs.columns:
+        score += "_"
+    scored = toxicity.score_toxicity(docs, toxicity_model(spark, sf_dir), score)
+    return scored.where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,10 +110,10 @@ def mix(documents: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     sized = checkpoint(documents.select("source", words(F.col("text")).alias("size"),
                                         draw(F.col("doc_id"), seed).alias("part")))
     rates = source_rates(sized, **shares).select("source", "copies", "parts")
-    names = documents.columns
-    inner = documents.select("*", draw(F.col("doc_id"), seed).alias("part"))
-    return (taken(inner, rates).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
-            .select(*names))
+    # Columns of the documents travel inside one, so that none clashes with those used here.
+    inner = documents.select(F.struct("*").alias("row"), "source", draw(F.col("doc_id"), seed).alias("part"))
+    times = F.array_repeat(F.lit(1), F.col("times").cast("int"))
+    return taken(inner, rates).select("row", F.explode(times)).select("row.*")
 
 
 ORACLE = f"""

@@ -278,7 +278,9 @@ def drop_repeated(documents: DataFrame, **options) -> DataFrame:
     """
     gone = (repeated_paragraphs(documents, **options).where("removed").groupBy("doc_id")
             .agg(F.collect_set(F.col("paragraph").cast("int")).alias("_gone")).withColumnRenamed("doc_id", "_doc"))
-    lines = F.filter(F.split("text", "\n", -1), lambda line, n: ~F.array_contains("_gone", n))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return (documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-            .withColumn("text", text).select(*documents.columns))
+    lines = F.filter(F.split("row.text", "\n", -1), lambda line, n: ~F.array_contains("_gone", n))
+    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
+    # Columns of the documents travel inside one, so that none clashes with those used here.
+    return (documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"))
+            .join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
+            .select(F.col("row").withField("text", text).alias("row")).select("row.*"))

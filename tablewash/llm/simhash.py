@@ -284,8 +284,10 @@ def drop_near_copies(documents: DataFrame, **options) -> DataFrame:
     found = near_copies(documents, **options)
     stay = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_stay")).distinct())
-    names = documents.columns
-    rest = [F.col(name) for name in names if name not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce(F.col("text"), F.lit(""))), *rest)
-    return (documents.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")))
-            .withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*names))
+    # Columns of the documents travel inside one, so that none clashes with those used here.
+    plain = [F.col(f"row.`{name}`") for name, kind in documents.dtypes
+             if name not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
+    order = Window.partitionBy("id").orderBy(F.md5(F.coalesce(F.col("row.text"), F.lit(""))), *plain)
+    return (documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+            .join(stay, F.col("id").eqNullSafe(F.col("_stay"))).withColumn("n", F.row_number().over(order))
+            .where("n = 1").select("row.*"))
