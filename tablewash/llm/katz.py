@@ -130,6 +130,10 @@ class _Piece:
         distinct, place = np.unique(hashed, return_inverse=True)
         return cls(starts, place[codes] if len(codes) else codes.astype(np.int64), distinct)
 
+    def check(self) -> np.ndarray:
+        """A sum of the distinct words, by which two reads of a piece are compared."""
+        return np.array([xxhash.xxh64_intdigest(self.hashes.tobytes()) >> 1], dtype=np.int64)
+
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     part = TaskContext.get().partitionId()
@@ -147,7 +151,8 @@ class Katz:
     """A bigram model of the rows of ``documents(doc_id, text, held_out)`` that are not held out, and scores of all rows.
 
     Tokens are words, lower-cased by A-Z, and one end for each text; a null text has the end only. Counts are
-    gathered from all training rows. ``words`` and ``bigrams`` hold the model's tables, dealt by shard, in
+    gathered from all training rows. The documents are read twice and must be dealt alike both times, as files and
+    checkpoints are; this is checked. ``words`` and ``bigrams`` hold the model's tables, dealt by shard, in
     the checkpoint folder: counts of words, of bigrams, and backoff weights.
     """
 
@@ -179,7 +184,7 @@ class Katz:
                 edges = np.searchsorted(_shard(found.hashes, shards), np.arange(shards + 1))
                 texts = int(trained.sum())
                 rows = [(shard, piece, texts if not shard else 0,
-                         _pack(found.hashes[a:b].view(np.int64), counts[a:b]))
+                         _pack(found.hashes[a:b].view(np.int64), counts[a:b], found.check()))
                         for shard, (a, b) in enumerate(zip(edges, edges[1:])) if b > a or not shard]
                 yield _rows(rows, ["shard", "piece", "texts", "blob"])
 
@@ -191,7 +196,7 @@ class Katz:
             counts = np.bincount(place, np.concatenate([p[1] for p in parts]), minlength=len(distinct)).astype(np.int64)
             numbers = np.arange(len(distinct)) * shards + shard
             ends = np.cumsum([len(p[0]) for p in parts])
-            out = [("answer", int(piece), _pack(numbers[place[b - len(p[0]):b]], counts[place[b - len(p[0]):b]]))
+            out = [("answer", int(piece), _pack(numbers[place[b - len(p[0]):b]], counts[place[b - len(p[0]):b]], p[2]))
                    for piece, p, b in zip(frame["piece"], parts, ends)]
             known = counts > 0
             out.append(("table", -1, _pack(distinct[known].view(np.int64), numbers[known], counts[known])))
@@ -200,7 +205,7 @@ class Katz:
             out.append(("stats", -1, _pack(sums, rare)))
             return pd.DataFrame([(shard, *row) for row in out], columns=["shard", "kind", "piece", "blob"])
 
-        return (self.documents.select("text", "held_out").mapInArrow(sent, "shard long, piece long, texts long, blob binary")
+        return (self.documents.mapInArrow(sent, "shard long, piece long, texts long, blob binary")
                 .groupBy("shard").applyInPandas(gathered, "shard long, kind string, piece long, blob binary"))
 
     def scores(self) -> DataFrame:
@@ -219,7 +224,8 @@ class Katz:
 
         def summed(frame: pd.DataFrame) -> pd.DataFrame:
             known = frame["kind"] == "doc"
-            ids, empty, held, count, seen, base, score = _unpack(frame["blob"][known].iloc[0])
+            ids, empty, held, count, seen, base, start = _unpack(frame["blob"][known].iloc[0])
+            score = start.astype(float)
             for blob in frame["blob"][~known]:
                 row, part, rare_row, rare, times, late_row, late, late_times, own, *sums = _unpack(blob)
                 score += np.bincount(row, part, minlength=len(score))
@@ -258,7 +264,7 @@ class Katz:
                 ids = batch["doc_id"]
                 blob = _pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False),
                              batch["held_out"].to_numpy(zero_copy_only=False), np.diff(found.starts), found.codes,
-                             np.array([len(found.hashes)]))
+                             found.check())
                 yield _rows([(piece, blob)], ["piece", "blob"])
 
         return self.documents.mapInArrow(coded, "piece long, blob binary")
@@ -301,12 +307,13 @@ def _runs(key: np.ndarray) -> np.ndarray:
 
 def _piece_bigrams(piece: int, state: list[np.ndarray], answers: list, shards: int, unigrams: Unigrams, hot: int,
                    texts: int) -> list[tuple]:
-    ids, empty, held, lengths, codes, (words,) = state
+    ids, empty, held, lengths, codes, check = state
     none = np.zeros(0, dtype=np.int64)
     numbers = np.concatenate([none, *[a[0] for a in answers]])
     counts = np.concatenate([none, *[a[1] for a in answers]])
-    if len(numbers) != words:
-        raise RuntimeError("the documents changed between two reads")
+    if any(a[2] != check for a in answers) or codes.max(initial=-1) >= len(numbers):
+        raise RuntimeError("the documents were not dealt alike in two reads; read them from files or a checkpoint")
+    words = len(numbers)
     docs = len(ids)
     # Codes after those of words: the end, the beginning, unknown words.
     end, begin, unknown = words, words + 1, words + 2
@@ -326,7 +333,7 @@ def _piece_bigrams(piece: int, state: list[np.ndarray], answers: list, shards: i
     alone = counts[context] == 0
     with np.errstate(divide="ignore"):
         log_word = np.log10(unigrams.probability(counts))
-    score = np.bincount(row[alone], log_word[follower[alone]], minlength=docs)
+    score = np.bincount(row[alone], log_word[follower[alone]], minlength=docs).astype(float)
     out = [(piece % shards, "doc", piece, _pack(ids, empty, held, lengths + 1, seen, base, score))]
     width = words + 3
     key = np.sort((context[~alone] * width + follower[~alone]) * docs + row[~alone])
