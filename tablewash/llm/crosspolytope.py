@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .vectors import SAMPLE, Best, best_rows, clean_vectors, matrix, same_width, some_rows, with_bytes
+from .vectors import Best, best_rows, clean_vectors, matrix, same_width, some_rows, with_bytes
 
 TABLES = 8
 # Queries whose true neighbours the number of probes is fitted on, and the share of them that must be found.
@@ -201,9 +201,6 @@ def _probe(vectors: DataFrame, asked: DataFrame, index: CrossPolytope, probes: i
     spark = vectors.sparkSession
     # Looking into all buckets needs one table only.
     tables = range(1 if probes >= index.buckets else index.tables)
-    sample = some_rows(vectors, SAMPLE).collect()
-    sample_ids, sample_points = np.array([r.vec_id for r in sample]), _points([r.raw for r in sample])
-
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _unit(_points(batch["raw"].to_pylist()))
@@ -212,18 +209,15 @@ def _probe(vectors: DataFrame, asked: DataFrame, index: CrossPolytope, probes: i
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, points = batch["vec_id"].to_numpy(), _points(batch["raw"].to_pylist())
-            best = _best(points, ids, np.full(len(ids), -np.inf), sample_points, sample_ids, k)
-            floor = best.worst - 1e-9 * np.abs(best.worst)
-            chosen = np.stack([index.probes(_unit(points), table, probes) for table in tables], axis=1)
-            yield (batch.append_column("floor", pa.array(floor))
-                   .append_column("places", pa.array(chosen.tolist(), pa.list_(pa.list_(pa.int64())))))
+            points = _unit(_points(batch["raw"].to_pylist()))
+            chosen = np.stack([index.probes(points, table, probes) for table in tables], axis=1)
+            yield batch.append_column("places", pa.array(chosen.tolist(), pa.list_(pa.list_(pa.int64()))))
 
     rows = (vectors.mapInArrow(placed, "vec_id long, raw binary, places array<long>")
             .select("vec_id", "raw", F.posexplode("places").alias("table", "bucket")))
-    looks = (asked.mapInArrow(looked, "vec_id long, raw binary, floor double, places array<array<long>>")
-             .select("vec_id", "raw", "floor", F.posexplode("places").alias("table", "chosen"))
-             .select("vec_id", "raw", "floor", "table", F.explode("chosen").alias("bucket")))
+    looks = (asked.mapInArrow(looked, "vec_id long, raw binary, places array<array<long>>")
+             .select("vec_id", "raw", F.posexplode("places").alias("table", "chosen"))
+             .select("vec_id", "raw", "table", F.explode("chosen").alias("bucket")))
     counts = checkpoint(rows.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")))
     mean = counts.agg(F.avg("n")).first()[0]
     size = int(min(PIECE[1], max(PIECE[0], 2 * mean)))
@@ -234,13 +228,14 @@ def _probe(vectors: DataFrame, asked: DataFrame, index: CrossPolytope, probes: i
     rows = (rows.join(cut, ["table", "bucket"], "left")
             .select("table", "bucket", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), "vec_id", "raw"))
     looks = (looks.join(cut, ["table", "bucket"], "left")
-             .select("table", "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "vec_id", "raw", "floor"))
+             .select("table", "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "vec_id", "raw"))
 
     def searched(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int})
         query_ids = left["vec_id"].to_numpy()
-        best = _best(_points(left["raw"]), query_ids, left["floor"].to_numpy(), _points(right["raw"]),
+        # The k best of a group leave it, so that what travels grows with the queries and not with the rows.
+        best = _best(_points(left["raw"]), query_ids, np.full(len(left), -np.inf), _points(right["raw"]),
                      right["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": query_ids[best.query], "vec_id": best.id, "score": best.score})
 

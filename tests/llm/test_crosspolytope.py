@@ -70,7 +70,6 @@ def recall(found, want):
 
 @pytest.mark.parametrize("functions", [None, 2])
 def test_recall_on_uniform_and_clustered_vectors(spark, functions, monkeypatch):
-    monkeypatch.setattr(cp, "SAMPLE", 200)
     monkeypatch.setattr(cp, "PIECE", (64, 128))
     rng = np.random.default_rng(3)
     points = np.concatenate([sphere(1200, 12, 5), sphere(6, 12, 6)[rng.integers(0, 6, 800)]
