@@ -77,26 +77,42 @@ def dedup_similarity_neighbours(t):
     return _vectors(cand.candidates(t.customer, "c_custkey", ["c_acctbal"]))
 
 
+PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+ALL_PAIRS = f"""pairs AS (SELECT a.p_partkey AS a, b.p_partkey AS b,
+      {", ".join(f"{_similar(f'a.{c}::VARCHAR', f'b.{c}::VARCHAR')} AS s{i}" for i, c in enumerate(PART_COLUMNS))}
+    FROM part a JOIN part b ON a.p_partkey < b.p_partkey)"""
+
+
 @query("dedup_similarity_all", f"""
-    WITH d AS (SELECT p_type, p_size, count(*) AS n FROM part GROUP BY 1, 2),
-    pairs AS (SELECT {_similar('a.p_type', 'b.p_type')} AS s0,
-        {_similar('a.p_size::VARCHAR', 'b.p_size::VARCHAR')} AS s1, a.n * b.n AS n
-      FROM d a JOIN d b ON (a.p_type, a.p_size) < (b.p_type, b.p_size)
-      UNION ALL SELECT 1, 1, n * (n - 1) // 2 FROM d WHERE n > 1)
-    SELECT round(s0, 6) AS s0, round(s1, 6) AS s1, sum(n)::BIGINT AS pair_count FROM pairs GROUP BY 1, 2""")
+    WITH {ALL_PAIRS}
+    SELECT {", ".join(f"round(s{i}, 6) AS s{i}" for i in range(5))}, count(*) AS pair_count FROM pairs GROUP BY ALL""")
 def dedup_similarity_all(t):
-    """Every pair of rows: copies collapse to at most 300 different records first."""
-    return _vectors(cand.candidates(t.part, "p_partkey", ignore=["p_name", "p_brand", "p_retailprice"]))
-
-
-@query("dedup_similarity_prefix", f"""
-    WITH pairs AS (SELECT {_similar('a.p_type', 'b.p_type')} AS s0,
-        {_similar('a.p_retailprice::VARCHAR', 'b.p_retailprice::VARCHAR')} AS s1
-      FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_name[:3] = b.p_name[:3] AND a.p_partkey < b.p_partkey)
-    SELECT round(s0, 6) AS s0, round(s1, 6) AS s1, count(*) AS pair_count FROM pairs GROUP BY 1, 2""")
-def dedup_similarity_prefix(t):
-    return _vectors(cand.candidates(t.part, "p_partkey", ["p_size"], ignore=["p_name", "p_brand", "p_size"],
-                                    prefix={"p_name": 3}))
+    """Every pair of rows in all columns."""
+    return _vectors(cand.candidates(t.part, "p_partkey"))
+
+
+@query("dedup_full_clusters", f"""
+    WITH RECURSIVE {ALL_PAIRS}, matches AS (SELECT a, b FROM pairs WHERE (s0 + s1 + s2 + s3 + s4) / 5 >= 0.8 - 1e-9),
+    {COMPONENTS} SELECT * FROM clusters""")
+def dedup_full_clusters(t):
+    return link.find_clusters(t.part, "p_partkey", threshold=0.8)
+
+
+DOCUMENT_KEYS = ["lang", "source"]
+
+
+@query("dedup_documents", f"""
+    WITH RECURSIVE c AS (SELECT *, n_chars // 400 AS size FROM documents),
+    matches AS (SELECT a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b
+      ON a.lang = b.lang AND a.source = b.source AND a.size = b.size AND a.doc_id < b.doc_id
+      WHERE {_similar('a.text', 'b.text')} >= 0.7 - 1e-9), {COMPONENTS}
+    SELECT p_partkey AS doc_id, cluster_id FROM clusters""")
+def dedup_documents(t):
+    """Whole texts of thousands of characters, compared within blocks of one language, source and size."""
+    rows = t.documents.withColumn("size", F.expr("n_chars div 400"))
+    keys = [*DOCUMENT_KEYS, "size"]
+    return link.find_clusters(rows, "doc_id", keys, ignore=[*keys, "n_chars"], threshold=0.7)
 
 
 @query("dedup_clusters", f"WITH RECURSIVE {THRESHOLD} SELECT * FROM clusters")

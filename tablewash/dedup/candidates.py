@@ -8,7 +8,7 @@ Every candidate pair belongs to exactly one cell.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +17,10 @@ from pyspark.sql import types as T
 
 from ..functions.ordering import with_neighbours
 from ..functions.text import float_text
-from ..types import (AttrTypeError, InvalidValueError, TableTooLargeError, col, is_date, is_integer, is_numeric,
-                     type_of)
+from ..types import AttrTypeError, InvalidValueError, col, is_date, is_integer, type_of
 
 # Signatures per tile, on average.
 TILE = 1024
-# Signatures up to which every pair of the table is compared when no column has to match exactly.
-FULL_LIMIT = 20_000
 CELL = ["block", "kind", "row_tile", "col_tile", "side"]
 
 
@@ -53,28 +50,21 @@ def as_text(df: DataFrame, column: str) -> Column:
     return col(column).cast("string")
 
 
-def candidates(df: DataFrame, id_column: str, exact: Sequence[str] = (), ignore: Sequence[str] = (),
-               prefix: Mapping[str, int] | None = None) -> Candidates:
-    """Candidate pairs: every pair, neighbours by one exact column, or blocks of two and more.
-
-    ``prefix`` adds the first characters of columns to the blocking key, which makes blocks out of
-    a table that has no exact columns and is too large for comparing every pair.
-    """
+def candidates(df: DataFrame, id_column: str, exact: Sequence[str] = (), ignore: Sequence[str] = ()) -> Candidates:
+    """Candidate pairs: every pair, neighbours by one exact column, or blocks of two and more."""
     if not is_integer(type_of(df, id_column)):
         raise AttrTypeError(f'row id "{id_column}" must be an integer column')
     columns = compared_columns(df, id_column, ignore)
     if not columns:
         raise InvalidValueError("no column is left to compare")
     keys = [col(c).alias(f"_k{i}") for i, c in enumerate(exact)]
-    for c, length in (prefix or {}).items():
-        keys.append(F.substring(as_text(df, c), 1, length).alias(f"_k{len(keys)}"))
     names = [f"_k{i}" for i in range(len(keys))]
     texts = [as_text(df, c).alias(f"_s{i}") for i, c in enumerate(columns)]
     rows = df.select(col(id_column).cast("long").alias("sid"), *keys, *texts)
     grouped = (rows.dropna(subset=names or None, how="any") if names else rows)
     signatures = (grouped.groupBy(*names, *[f"_s{i}" for i in range(len(columns))])
                   .agg(F.min("sid").alias("sid"), F.count(F.lit(1)).alias("copies")))
-    index = "full" if not names else "neighbours" if len(names) == 1 and not prefix else "block"
+    index = "full" if not names else "neighbours" if len(names) == 1 else "block"
     return Candidates(signatures, names, columns, index)
 
 
@@ -107,8 +97,6 @@ def cells(found: Candidates) -> DataFrame:
     signatures = found.signatures
     if found.index == "full":
         block, size = signatures.agg(F.min("sid"), F.count(F.lit(1))).first()
-        if size > FULL_LIMIT:
-            raise TableTooLargeError(f"{size} different records: name columns that must match exactly, or a prefix")
         members = signatures.withColumns({"block": F.lit(block).cast("long"), "size": F.lit(size)})
         places = _own(_tiles("size"))
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,25 +14,22 @@ from .candidates import Candidates, as_text, candidates
 from .matching import matched_edges, similarity_vectors, stars, threshold_decision, two_means
 
 
-# Links up to which the components are found in one task; 16 bytes each.
-FEW_LINKS = 1_000_000
+# Links that a task contracts at a time; 16 bytes each.
+CONTRACT_LINKS = 1_000_000
 
 
-def connected_components(edges: DataFrame, few_links: int = FEW_LINKS) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, label)`` for every id in ``edges(a, b)``; the label is the smallest id of its component.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): every id links its larger
-    neighbours, then its smaller ones, to the smallest it knows, until all components are
-    stars. The rounds grow with the logarithm of the longest chain, and a hub is only ever
-    met as a minimum or as one side of a join. A counted small number of links needs no rounds.
+    Each task first replaces the links it holds by stars with the same components. Then alternating large-star and
+    small-star rounds (Kiveris et al. 2014): every id links its larger neighbours, then its smaller
+    ones, to the smallest it knows, until all components are stars. The rounds grow with the logarithm of the
+    longest chain, and a hub is only ever met as a minimum or as one side of a join.
     """
     edges = checkpoint(edges)
     loops = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("label"))
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    if edges.count() <= few_links:
-        links = links.coalesce(1).mapInArrow(_small_components, "a long, b long")
-    else:
-        links = _star_rounds(checkpoint(links.distinct()))
+    links = edges.where("a <> b").mapInArrow(_contracted, "a long, b long")
+    links = _star_rounds(checkpoint(links.distinct()))
     star = F.array(*[F.struct(F.col(c).alias("id"), F.col("b").alias("label")) for c in ("a", "b")])
     return links.select(F.inline(star)).unionByName(loops).groupBy("id").agg(F.min("label").alias("label"))
 
@@ -47,12 +44,23 @@ def _star_rounds(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = [pa.Table.from_batches([batch]) for batch in batches]
-    if tables:
-        links = pa.concat_tables(tables)
-        label, member = stars(links["a"].to_numpy(), links["b"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(member), pa.array(label)], names=["a", "b"])
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(member, smallest id)`` with the components of the links of this task, a bounded number at a time."""
+    waiting, rows = [], 0
+    for batch in batches:
+        waiting.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= CONTRACT_LINKS:
+            yield _stars_of(waiting)
+            waiting, rows = [], 0
+    if waiting:
+        yield _stars_of(waiting)
+
+
+def _stars_of(tables: list[pa.Table]) -> pa.RecordBatch:
+    links = pa.concat_tables(tables)
+    label, member = stars(links["a"].to_numpy(), links["b"].to_numpy())
+    return pa.RecordBatch.from_arrays([pa.array(member), pa.array(label)], names=["a", "b"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -73,13 +81,13 @@ def _fingerprint(links: DataFrame) -> tuple:
 
 
 def find_clusters(df: DataFrame, id_column: str, exact: Sequence[str] = (), ignore: Sequence[str] = (),
-                  threshold: float | None = None, prefix: Mapping[str, int] | None = None) -> DataFrame:
+                  threshold: float | None = None) -> DataFrame:
     """Clusters of rows that are probably the same: ``(row id, cluster_id)``, the smallest row id of each.
 
     Pairs are judged by ``threshold`` on their mean similarity, or else by splitting all
     candidate pairs into two groups.
     """
-    found = candidates(df, id_column, exact, ignore, prefix)
+    found = candidates(df, id_column, exact, ignore)
     found.signatures = checkpoint(found.signatures)
     if threshold is None:
         decision = two_means(similarity_vectors(found))
@@ -87,17 +95,15 @@ def find_clusters(df: DataFrame, id_column: str, exact: Sequence[str] = (), igno
         decision = threshold_decision(len(found.columns), threshold)
     labels = connected_components(matched_edges(found, decision))
     # Clusters are read several times afterwards: to review, to decide, to remove.
-    return checkpoint(_row_clusters(df, id_column, exact, prefix, found, labels))
+    return checkpoint(_row_clusters(df, id_column, exact, found, labels))
 
 
-def _row_clusters(df: DataFrame, id_column: str, exact: Sequence[str], prefix: Mapping[str, int] | None,
-                  found: Candidates, labels: DataFrame) -> DataFrame:
+def _row_clusters(df: DataFrame, id_column: str, exact: Sequence[str], found: Candidates,
+                  labels: DataFrame) -> DataFrame:
     """Spread the labels of signatures over their rows."""
     labelled = found.signatures.join(labels, F.col("sid") == F.col("id")).select(
         *found.keys, *found.texts, F.col("label").alias("cluster_id"))
     keys = [col(c).alias(k) for c, k in zip(exact, found.keys)]
-    keys += [F.substring(as_text(df, c), 1, n).alias(k)
-             for (c, n), k in zip((prefix or {}).items(), found.keys[len(exact):])]
     rows = df.select(col(id_column), *keys, *[as_text(df, c).alias(t) for c, t in zip(found.columns, found.texts)])
     same = F.lit(True)
     for name in found.keys:
@@ -137,10 +143,9 @@ def remove_rows(df: DataFrame, id_column: str, removed: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, id_column: str, exact: Sequence[str] = (), ignore: Sequence[str] = (),
-                threshold: float | None = None, prefix: Mapping[str, int] | None = None,
-                keep: DataFrame | None = None) -> DataFrame:
+                threshold: float | None = None, keep: DataFrame | None = None) -> DataFrame:
     """Find clusters and keep the first row of each, or the rows named by ``keep``."""
-    clusters = find_clusters(df, id_column, exact, ignore, threshold, prefix)
+    clusters = find_clusters(df, id_column, exact, ignore, threshold)
     return remove_rows(df, id_column, rows_to_remove(clusters, id_column, keep))
 
 

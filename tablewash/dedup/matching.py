@@ -28,7 +28,6 @@ CELL_SPREAD = 2
 SLACK = 1e-9
 # Starting centres of the two groups of pairs, in every dimension.
 APART_START, ALIKE_START = 0.05, 0.95
-MAX_ROUNDS = 300
 
 
 @dataclass(frozen=True)
@@ -73,7 +72,8 @@ def similarity_vectors(found: Candidates) -> DataFrame:
 def two_means(vectors: DataFrame) -> Decision | None:
     """Split the candidate pairs into two groups by similarity; the upper one matches.
 
-    Lloyd's rounds over the counted vectors from fixed starting centres. ``None`` stands for
+    Lloyd's rounds over the counted vectors from fixed starting centres, until the centres stay or, for
+    centres that only differ by rounding, come back to where they were. ``None`` stands for
     "every candidate matches", the rule for fewer than two candidate pairs.
     """
     names = [c for c in vectors.columns if c != "pair_count"]
@@ -81,7 +81,8 @@ def two_means(vectors: DataFrame) -> Decision | None:
     if (vectors.agg(F.sum("pair_count")).first()[0] or 0) < 2:
         return None
     low, high = [APART_START] * len(names), [ALIKE_START] * len(names)
-    for _ in range(MAX_ROUNDS):
+    seen = set()
+    while True:
         decision = _between(low, high)
         alike = _score(decision, [F.col(n) for n in names]) > decision.bound
         weight = F.col("pair_count")
@@ -95,8 +96,9 @@ def two_means(vectors: DataFrame) -> Decision | None:
             moved.append([row[f"{label}{i + 1}"] / total for i in range(len(names))] if total else centre)
         shift = sum((a - b) ** 2 for old, new in zip((low, high), moved) for a, b in zip(old, new))
         low, high = moved
-        if shift < SLACK ** 2:
+        if shift < SLACK ** 2 or (state := (*low, *high)) in seen:
             break
+        seen.add(state)
     return _between(low, high)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -15,8 +16,10 @@ from .trees import by_edges
 
 # Ranks of sketched quantiles are off by at most one in this many rows.
 ACCURACY = 10_000
-# Most rows of one value range that are ranked in one task.
-LEAF_ROWS = 1_000_000
+# Quantiles that are sketched together with the count, before the wanted ranks are known.
+GRID = 500
+# Most rows of one value range that are ranked in one task; longer ranges are sketched again.
+LEAF_ROWS = 100_000
 
 
 @dataclass
@@ -45,19 +48,26 @@ class _Range:
 def order_statistics(df: DataFrame, column: str, ranks_for: Callable[[int], Iterable[int]]) -> tuple[int, dict]:
     """Count n of non-null values and the exact values at the 0-based sorted positions ``ranks_for(n)``.
 
-    A sketch proposes pivots close to each rank, one counting pass places the ranks between
-    the pivots, and only the narrow ranges left are grouped by value and ranked. Pivots merely
-    steer the search, the counts decide. Every pass scans one column and shuffles a few counters
-    or a small part of the values.
+    A sketch of evenly spaced quantiles, taken with the count, proposes pivots close to each rank; one
+    counting pass places the ranks between the pivots, and only the narrow ranges left are grouped by
+    value and ranked, or sketched again while they are long. Pivots merely steer the search, the counts
+    decide. Every pass scans one column and shuffles a few counters or a small part of the values.
     """
     value = F.col("v")
     values = df.where(is_number(df, column)).select(col(column).alias("v"))
-    total = values.count()
+    total, grid = values.agg(F.count(value), F.percentile_approx(value, [i / GRID for i in range(GRID + 1)],
+                                                                 ACCURACY)).first()
     if not total:
         return 0, {}
     found: dict[int, object] = {}
-    whole = _Range(None, None, 0, total, sorted(set(ranks_for(total))))
-    leaves, ranges = ([whole], []) if total <= LEAF_ROWS else ([], [whole])
+    ranks = sorted(set(ranks_for(total)))
+    if not ranks:
+        return total, {}
+    margin = 1.5 * GRID / ACCURACY
+    places = [(math.floor(GRID * rank / total - margin), math.ceil(GRID * (rank + 1) / total + margin)) for rank in ranks]
+    pivots = {grid[min(max(place, 0), GRID)] for pair in places for place in pair}
+    leaves: list[_Range] = []
+    ranges = _split(values, [_Range(None, None, 0, total, ranks)], pivots, found, leaves)
     while ranges:
         sketches = values.agg(*[r.quantiles(value).alias(f"q{i}") for i, r in enumerate(ranges)]).first()
         pivots = {pivot for sketch in sketches for pivot in sketch}
@@ -92,8 +102,10 @@ def _split(values: DataFrame, ranges: list[_Range], pivots: set, found: dict, le
             low = edges[spot // 2 - 1] if spot else None
             high = edges[spot // 2] if spot // 2 < len(edges) else None
             piece = _Range(low, high, start, size, inside)
-            settled = size <= LEAF_ROWS or size >= longest
-            (leaves if settled else open_ranges).append(piece)
+            if size > LEAF_ROWS and size >= longest:
+                # Every pivot is a value of its range and leaves it, so that ranges must shrink.
+                raise RuntimeError("the values changed between two passes")
+            (leaves if size <= LEAF_ROWS else open_ranges).append(piece)
         start += size
     return open_ranges
 

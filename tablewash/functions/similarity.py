@@ -10,6 +10,8 @@ import numpy as np
 BUDGET = 160_000
 # Texts up to this length are handled with two-byte distances.
 SHORT = 10_000
+# Pairs with more signs on the longer side are compared one by one, a whole row of the matrix at a time.
+LONG = 200
 
 
 class Texts:
@@ -47,8 +49,8 @@ def distances(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Unrestricted Damerau-Levenshtein distance of pairs of texts given by their positions.
 
     What both texts begin and end with does not matter and is cut off. For the rest the linear-space
-    recurrence of Zhao and Sahni (2019) is run for a whole batch of pairs per step; pairs are
-    sorted by length so that batches hardly pad.
+    recurrence of Zhao and Sahni (2019) is run: cell by cell for a whole batch of short pairs, sorted by length
+    so that batches hardly pad, and row by row for each long pair.
     """
     a, b = texts.starts[left], texts.starts[right]
     a_len, b_len = texts.lengths[left], texts.lengths[right]
@@ -59,6 +61,9 @@ def distances(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     # With nothing left on one side the distance is the length of the other.
     result = longer.copy()
     order = np.flatnonzero(np.minimum(a_len, b_len) > 0)
+    for pair in order[longer[order] > LONG]:
+        result[pair] = _long(texts.signs[a[pair]:a[pair] + a_len[pair]], texts.signs[b[pair]:b[pair] + b_len[pair]])
+    order = order[longer[order] <= LONG]
     order = order[np.argsort(longer[order], kind="stable")]
     start = 0
     while start < len(order):
@@ -131,6 +136,52 @@ def _batch(texts: Texts, a_start: np.ndarray, a_len: np.ndarray, b_start: np.nda
     return result
 
 
+def _long(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two texts with array operations along the longer one.
+
+    Within a row only insertion looks at the cell before; as it costs one per step, a running minimum of the
+    other costs less their place settles it. All else comes from the rows before.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    width = len(b)
+    far = np.int32(len(a) + width + 1)
+    place = np.arange(width + 1, dtype=np.int32)
+    above, two_above = place.copy(), np.full(width + 1, far)
+    # For each column: the last row with its sign, and the cell before the one it crosses in the row above that.
+    last_row, saved = np.full(width, -1, dtype=np.int32), np.full(width, far)
+    signs, codes = np.unique(a, return_inverse=True)
+    where = [np.flatnonzero(b == sign) for sign in signs]
+    two_left = np.full(width, far)
+    for i, code in enumerate(codes, 1):
+        found = where[code]
+        best = np.minimum(above[:-1], above[1:])
+        best += 1
+        best[found] = np.minimum(above[found], best[found])
+        if len(found):
+            # Swap with the last match in this row, if either is next to the other.
+            matched = np.zeros(width, dtype=np.int32)
+            matched[found] = found + 1
+            last_col = np.empty(width, dtype=np.int32)
+            last_col[0] = 0
+            np.maximum.accumulate(matched[:-1], out=last_col[1:])
+            beside = found[:-1] + 1 if found[-1] == width - 1 else found + 1
+            beside = beside[(matched[beside] == 0) & (last_row[beside] > 0)]
+            best[beside] = np.minimum(best[beside], saved[beside] + i - last_row[beside])
+            under = np.flatnonzero((last_row == i - 1) & (matched == 0) & (last_col > 0))
+            best[under] = np.minimum(best[under], two_above[last_col[under] - 1] + place[under + 1] - last_col[under])
+        now = np.empty(width + 1, dtype=np.int32)
+        now[0] = i
+        np.subtract(best, place[1:], out=now[1:])
+        np.minimum.accumulate(now, out=now)
+        now += place
+        two_left[1:] = above[:-2]
+        saved[found] = two_left[found]
+        last_row[found] = i
+        two_above, above = above, now
+    return int(above[-1])
+
+
 def damerau_levenshtein(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     """Distance of each pair of texts."""
     position = np.arange(len(left))

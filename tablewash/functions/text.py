@@ -13,7 +13,10 @@ def float_text(value: Column, keep_point: bool = False, plain_below: float = 1e1
     """
     size = F.abs(value)
     short = value.cast("string")
-    spelled = F.regexp_replace(short.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1")
+    # Seventeen digits after up to four zeros, or before the point and a few after it.
+    plain = F.when(size < 1, short.cast("decimal(38,22)").cast("string")).otherwise(
+        short.cast("decimal(38,18)").cast("string"))
+    spelled = F.regexp_replace(plain, r"(\.\d*?)0+$", "$1")
     spelled = F.regexp_replace(spelled, r"\.$", ".0")
     mantissa = F.regexp_replace(F.substring_index(short, "E", 1), r"\.0$", "")
     power = F.substring_index(short, "E", -1)

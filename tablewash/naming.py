@@ -5,12 +5,30 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from pyspark.sql import SparkSession
+
 from .types import InvalidValueError
 
 
+def case_matters() -> bool:
+    """Whether the session takes names that differ by case only for different ones."""
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.caseSensitive") == "true"
+
+
+def clashing_names(existing: Iterable[str], names: Iterable[str]) -> list[str]:
+    """Those of ``names`` that the session takes for existing ones."""
+    fold = str if case_matters() else str.lower
+    taken = {fold(name) for name in existing}
+    return sorted(name for name in set(names) if fold(name) in taken)
+
+
 def unique_name(existing: Iterable[str], name: str) -> str:
-    """``name`` if neither it nor a numbered variant exists, else the next numbered variant."""
-    pattern = re.compile(re.escape(name) + r"(?:_(\d+))?")
+    """``name`` if neither it nor a numbered variant exists, else the next numbered variant.
+
+    Names are compared by the session's case rule.
+    """
+    pattern = re.compile(re.escape(name) + r"(?:_(\d+))?", 0 if case_matters() else re.IGNORECASE)
     taken = [match for match in map(pattern.fullmatch, existing) if match]
     if not taken:
         return name

@@ -42,7 +42,8 @@ def drop_column(df: DataFrame, column: str) -> DataFrame:
 def rename_column(df: DataFrame, column: str, new_name: str) -> DataFrame:
     """Rename, numbering the new name when the table already uses it."""
     type_of(df, column)
-    return df.withColumnRenamed(column, unique_name(df.columns, new_name))
+    others = [c for c in df.columns if c != column or c == new_name]
+    return df.withColumnRenamed(column, unique_name(others, new_name))
 
 
 def nullify_empty(df: DataFrame, column: str) -> DataFrame:
@@ -80,16 +81,16 @@ def convert(df: DataFrame, column: str, to_type: str, data_format: str = "", len
 
 
 def force_convert(df: DataFrame, column: str, to_type: str, data_format: str = "", length: int | None = None,
-                  mode: str = "SET_NULL", compat_regex: bool = False) -> DataFrame:
+                  mode: str = "SET_NULL", compat_regex: bool = False, validate: bool = True) -> DataFrame:
     """Conversion of text that turns bad values into NULL, or deletes their rows.
 
-    Other columns than text are converted strictly. ``compat_regex`` decides by the shape of
+    Other columns than text are converted strictly, with or without a look at the data first (``validate``). ``compat_regex`` decides by the shape of
     the text alone, which refuses some valid numbers, instead of by the conversion itself.
     """
     if mode not in ("SET_NULL", "DELETE_ROW"):
         raise InvalidValueError("mode is SET_NULL or DELETE_ROW")
     if not is_string(type_of(df, column)):
-        return convert(df, column, to_type, data_format, length)
+        return convert(df, column, to_type, data_format, length, validate)
     raw = col(column)
     converted, good = _conversion(df, column, to_type, data_format, length)
     if to_type in ("INTEGER", "FLOAT", "DATE", "TIME", "TIMESTAMP"):

@@ -29,16 +29,26 @@ def fit_equal_width(df: DataFrame, column: str, bins: int) -> dict:
     if low is None:
         raise InvalidValueError(f'column "{column}" holds no number')
     if is_integer(kind):
-        low, step = int(low), math.ceil(_width(int(low), int(high), bins))
+        # Whole numbers only: the smallest width with which the last edge lies above the maximum.
+        low, step = int(low), (int(high) - int(low)) // int(bins) + 1
         return {"edges": [low + i * step for i in range(bins + 1)]}
+    if math.isinf(low) or math.isinf(high):
+        raise InvalidValueError(f'column "{column}" holds an infinite number')
     left = math.floor(float(low) * 1000) / 1000
     step = round(_width(left, float(high), bins), 3)
     edges = [left]
     for _ in range(bins):
-        edges.append(float(f"{edges[-1] + step:.3f}"))
+        edges.append(max(float(f"{edges[-1] + step:.3f}"), _above(edges[-1])))
+    # Far from zero a thousandth vanishes in rounding; the maximum must lie below the last edge all the same.
+    edges[-1] = max(edges[-1], _above(float(high)))
     return {"edges": edges}
 
 
+def _above(value: float) -> float:
+    """The next larger number there is."""
+    return math.nextafter(value, math.inf)
+
+
 def _width(left, high, bins: int) -> float:
     """Width that covers the range up to just above its maximum, rounded up to a thousandth."""
     right = math.ceil((high + 0.0001) * 1000) / 1000
@@ -54,7 +64,14 @@ def fit_equal_frequency(df: DataFrame, column: str) -> dict:
     ranks = _edge_ranks(total)
     numbers = [values[rank] if is_integer(kind) else float(values[rank]) for rank in ranks]
     shares = not isinstance(kind, T.IntegerType) and numbers[-1] < SHARE_LIMIT
-    upper = [round(v + 0.05, 1) if shares else math.ceil(v + 0.0001) for v in numbers[1:]]
+    if is_integer(kind):
+        upper = [v + 1 for v in numbers[1:]]
+    elif any(math.isinf(v) for v in numbers):
+        raise InvalidValueError(f'column "{column}" holds an infinite number')
+    elif shares:
+        upper = [round(v + 0.05, 1) for v in numbers[1:]]
+    else:
+        upper = [max(math.ceil(v + 0.0001), _above(v)) for v in numbers[1:]]
     return {"edges": sorted({numbers[0], *upper})}
 
 

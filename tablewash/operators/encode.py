@@ -5,37 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..naming import unique_name
-from ..types import InvalidValueError, col, number, require_numeric, type_of
+from ..naming import clashing_names, unique_name
+from ..types import InvalidValueError, col, is_numeric, number, require_numeric, type_of
 
-# A table has no room for more columns than this; a key column is no category.
-MAX_CATEGORIES = 1600
 
-
-def fit_one_hot(df: DataFrame, column: str, max_categories: int = MAX_CATEGORIES) -> dict:
-    """The distinct values in ascending order."""
-    type_of(df, column)
-    rows = (df.select(col(column).alias("v")).where("v IS NOT NULL").distinct()
-            .orderBy("v").limit(max_categories + 1).collect())
-    if len(rows) > max_categories:
+def fit_one_hot(df: DataFrame, column: str, max_categories: int | None = None) -> dict:
+    """The distinct values in ascending order; NaN counts as NULL. More than ``max_categories``, if given, are refused."""
+    value = number(df, column) if is_numeric(type_of(df, column)) else col(column)
+    distinct = df.select(value.alias("v")).where("v IS NOT NULL").distinct().orderBy("v")
+    rows = (distinct if max_categories is None else distinct.limit(max_categories + 1)).collect()
+    if max_categories is not None and len(rows) > max_categories:
         raise InvalidValueError(f'column "{column}" has more than {max_categories} distinct values')
     return {"categories": [row["v"] for row in rows]}
 
 
 def apply_one_hot(df: DataFrame, column: str, params: dict) -> DataFrame:
-    """Replace the column by one 0/1 column per value, named by the value."""
+    """Replace the column by one 0/1 column per value, named by the value.
+
+    Values that the session's case rule takes for one name get numbered names, in their order.
+    """
     kept = [c for c in df.columns if c != column]
-    names = [str(value) for value in params["categories"]]
-    clash = set(names) & set(kept)
+    clash = clashing_names(kept, [str(value) for value in params["categories"]])
     if clash:
-        raise InvalidValueError(f"columns {sorted(clash)} exist already")
+        raise InvalidValueError(f"columns {clash} exist already")
+    names: list[str] = []
+    for value in params["categories"]:
+        names.append(unique_name([*kept, *names], str(value)))
     kind = type_of(df, column)
     flags = [F.coalesce((col(column) == F.lit(value).cast(kind)).cast("int"), F.lit(0)).alias(name)
              for value, name in zip(params["categories"], names)]
     return df.select(*[col(c) for c in kept], *flags)
 
 
-def one_hot_encode(df: DataFrame, column: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+def one_hot_encode(df: DataFrame, column: str, max_categories: int | None = None) -> DataFrame:
     return apply_one_hot(df, column, fit_one_hot(df, column, max_categories))
 
 

@@ -25,14 +25,14 @@ def normal_join(left: DataFrame, right: DataFrame, left_columns: Sequence[str],
     if clash:
         raise ColumnNameClashError(f"both tables have columns {sorted(clash)}")
     pairs = list(zip(left_columns, right_columns))
-    joined = _keyed(left, left_columns).join(_keyed(right, right_columns), _equal(pairs), "inner")
     columns = left.columns + right.columns
-    parts = [joined]
-    if how in ("left", "full"):
-        parts += _unmatched(left, right, pairs)
-    if how in ("right", "full"):
-        parts += _unmatched(right, left, [(b, a) for a, b in pairs])
-    return _stacked(parts, columns)
+    if how != "full":
+        # A row without partner needs no look at the other side's NULL keys, nor does the other side's half.
+        left = left if how == "left" else _keyed(left, left_columns)
+        right = right if how == "right" else _keyed(right, right_columns)
+        return left.join(right, _equal(pairs), how).select(*[col(c) for c in columns])
+    joined = _keyed(left, left_columns).join(_keyed(right, right_columns), _equal(pairs), "left")
+    return _stacked([joined, *_unmatched(right, left, [(b, a) for a, b in pairs]), _keyless(left, left_columns)], columns)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -43,14 +43,14 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
         raise NoJoinColumnsError("the tables have no column name in common")
     for c in common:
         _check_same_type(left, c, right, c)
-    joined = _keyed(left, common).join(_keyed(right, common), on=common, how="inner")
     pairs = [(c, c) for c in common]
-    parts = [joined]
-    if how in ("left", "full"):
-        parts += _unmatched(left, right, pairs)
-    if how in ("right", "full"):
-        parts += _unmatched(right, left, pairs)
-    return _stacked(parts, joined.columns)
+    if how != "full":
+        left = left if how == "left" else _keyed(left, common)
+        right = right if how == "right" else _keyed(right, common)
+        joined = left.join(right, on=common, how=how)
+        return joined.select(*common, *[col(c) for c in [*left.columns, *right.columns] if c not in common])
+    joined = _keyed(left, common).join(_keyed(right, common), on=common, how="left")
+    return _stacked([joined, *_unmatched(right, left, pairs), _keyless(left, common)], joined.columns)
 
 
 def semi_join(left: DataFrame, right: DataFrame, left_column: str, right_column: str) -> DataFrame:
@@ -67,15 +67,18 @@ def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _unmatched(df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]) -> list[DataFrame]:
     """Rows of ``df`` without partner: those whose key is unknown on the other side or NULL.
 
-    An outer join cannot split a hot key on the side that supplies the NULLs, nor on either side of a
-    full join. Inner and anti joins can: the anti join only meets the distinct keys of the other
-    side. Its input is the same as that of the inner join, so that both read one shuffle; rows with
-    a NULL key are not shuffled at all.
+    A full join can split a hot key on neither side. A left join and an anti join can, on the side whose rows all
+    stay; the anti join only meets the distinct keys of the other side. Its input is the same as that of
+    the left join, so that both read one shuffle; rows with a NULL key are not shuffled at all.
     """
     own, their = [a for a, _ in pairs], [b for _, b in pairs]
     keys = _keyed(other, their).select(*[col(b).alias(f"_key{i}") for i, b in enumerate(their)]).distinct()
     strange = _keyed(df, own).join(keys, _equal([(a, f"_key{i}") for i, a in enumerate(own)]), "left_anti")
-    return [strange, df.where(~_all(col(a).isNotNull() for a in own))]
+    return [strange, _keyless(df, own)]
+
+
+def _keyless(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.where(~_all(col(c).isNotNull() for c in columns))
 
 
 def _stacked(parts: list[DataFrame], columns: list[str]) -> DataFrame:

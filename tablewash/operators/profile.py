@@ -115,6 +115,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10, compat: str | None = N
     low, high = df.agg(F.min(value), F.max(value)).first()
     if low is None:
         return spark.createDataFrame([], shape)
+    if math.isinf(low) or math.isinf(high):
+        raise InvalidValueError(f'column "{column}" holds an infinite number')
     if compat == "greedy" and high > low:
         return _greedy_histogram(df, value, low, high, bins)
     width = (high - low) / bins
@@ -140,7 +142,8 @@ def _greedy_histogram(df: DataFrame, value: Column, low: float, high: float, bin
     width = (high - low) / bins
     edges = [low + width]
     while edges[-1] <= high:
-        edges.append(edges[-1] + width)
+        # Far from zero the width can vanish in rounding; the walk goes on to the next number there is.
+        edges.append(max(edges[-1] + width, math.nextafter(edges[-1], math.inf)))
     counts = (df.where(value.isNotNull())
               .groupBy(by_edges(value, edges, lambda count: F.lit(count)).alias("run")).count().collect())
     sizes: dict[int, int] = {}

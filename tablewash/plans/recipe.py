@@ -78,7 +78,8 @@ APPLY = {
     h.RENAME: lambda df, a, p: columns.rename_column(df, a, p["new_name"]),
     h.DEDUPLICATE: lambda df, a, p: redo_removal(df, df.sparkSession.read.parquet(p["removed"])),
     h.FORCE_CONVERT: lambda df, a, p: columns.force_convert(
-        df, a, p["to_type"], p.get("data_format", ""), p.get("length"), p.get("mode", "SET_NULL")),
+        df, a, p["to_type"], p.get("data_format", ""), p.get("length"), p.get("mode", "SET_NULL"),
+        validate=p.get("validate", False)),
 }
 
 # Steps that look at one row at a time once they are fitted.

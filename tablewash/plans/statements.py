@@ -46,10 +46,25 @@ Statement = Insert | Update | Delete | Select
 
 
 def select(spark: SparkSession, tables: Mapping[str, DataFrame], query: str) -> DataFrame:
-    """Result of a query in Spark SQL over the named tables."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    """Result of a query in Spark SQL over the named tables.
+
+    The names are views for as long as the query is analysed; the caller's views of these names come back.
+    """
+    before = {name: spark.table(name) for name in tables if _is_view(spark, name)}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(query)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return bool(spark.catalog._jcatalog.tableExists(name)) and spark.catalog.getTable(name).isTemporary
 
 
 def insert(spark: SparkSession, tables: Mapping[str, DataFrame], statement: Insert) -> DataFrame:

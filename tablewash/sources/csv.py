@@ -35,8 +35,9 @@ def read_csv_raw(spark: SparkSession, path: str, header: bool = True) -> DataFra
         raise EmptyFileError(path)
     names = column_names(first["value"], header)
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    # Rows of another width are only noticed while no column is pruned from the parser.
     df = (spark.read.schema(schema).option("quote", "").option("mode", "FAILFAST").option("header", header)
-          .option("enforceSchema", True).csv(path))
+          .option("enforceSchema", True).option("columnPruning", False).csv(path))
     return df.select(*[raw_cell(F.col(f"_{i}")).alias(name) for i, name in enumerate(names)])
 
 

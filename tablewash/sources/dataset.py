@@ -132,18 +132,24 @@ class Dataset:
 
     def drop(self, name: str) -> None:
         """Remove a table with its original, its snapshots and its log."""
-        self._publish([e for e in self._entries() if name not in (e["table_name"], e["origin_table"])
-                       or (e["table_name"] != name and e["transformation_type"] == h.COPY)])
+        self._publish([e for e in self._entries() if not self._belongs(e, name)])
         self._delete("original", name)
         self._delete("snapshots", name)
 
+    @staticmethod
+    def _belongs(entry, name: str) -> bool:
+        """Whether an entry is part of a table's log; a snapshot names its step where others name their table."""
+        if entry["transformation_type"] == h.SNAPSHOT:
+            return entry["origin_table"] == name
+        return entry["table_name"] == name or (entry["origin_table"] == name and entry["transformation_type"] != h.COPY)
+
     # Steps
 
     def apply(self, name: str, step: Step) -> DataFrame:
         """Fit the step, log it, and return the new state of the table."""
         df = self.table(name)
         fitted = fit_step(df, step)
-        if step.code == h.CONVERT:
+        if step.code in (h.CONVERT, h.FORCE_CONVERT):
             # Bad values are reported now; the replay trusts this check.
             apply_step(df, Step(step.code, step.attribute, {**step.params, "validate": True}))
         result = apply_step(df, fitted)

@@ -58,10 +58,6 @@ class NoTablesInDumpError(CleaningError):
     """An SQL dump creates no table."""
 
 
-class TableTooLargeError(CleaningError):
-    """Comparing every pair of records is not feasible for this table."""
-
-
 INTEGERS = (T.ShortType, T.IntegerType, T.LongType)
 NUMBERS = INTEGERS + (T.FloatType, T.DoubleType, T.DecimalType)
 DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)

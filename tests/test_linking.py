@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from tablewash.dedup import candidates as cand
 from tablewash.dedup import clusters as link
 from tablewash.dedup import matching
 from tablewash.functions.similarity import Codebook, damerau_levenshtein
-from tablewash.types import AttrTypeError, InvalidValueError, TableTooLargeError
+from tablewash.types import AttrTypeError, InvalidValueError
 
 
 def distance(a, b):
@@ -158,9 +159,38 @@ def test_hot_block_of_different_records(spark, monkeypatch):
     assert clusters.count() == 300 and clusters.agg(F.max("cluster_id")).first()[0] == 0
 
 
-def test_prefix_blocks(people):
-    got = link.find_clusters(people, "id", prefix={"last": 2}, ignore=["age", "city"], threshold=0.85)
-    assert rows_of(got) == {10: 10, 11: 10, 12: 10, 13: 13, 14: 13, 15: 13, 18: 18, 19: 18}
+def test_long_texts_against_short_form(monkeypatch):
+    from tablewash.functions import similarity as sim
+
+    rand = random.Random(11)
+    left, right = [], []
+    for _ in range(300):
+        text = [rand.choice("abcd") for _ in range(rand.randrange(1, 30))]
+        other = text[:]
+        for _ in range(rand.randrange(9)):
+            at = rand.randrange(len(other) + 1)
+            move = rand.randrange(4)
+            if move == 0:
+                other.insert(at, rand.choice("abcde"))
+            elif move == 1 and at < len(other) and len(other) > 1:
+                other.pop(at)
+            elif at + 1 < len(other):
+                other[at], other[at + 1] = other[at + 1], other[at]
+        left.append("".join(text))
+        right.append("".join(other))
+    want = sim.damerau_levenshtein(left, right)
+    monkeypatch.setattr(sim, "LONG", 0)
+    assert (sim.damerau_levenshtein(left, right) == want).all()
+
+
+def test_long_texts_take_seconds():
+    from tablewash.functions import similarity as sim
+
+    rand = random.Random(12)
+    texts = ["".join(rand.choice("abcdefgh ") for _ in range(2000)) for _ in range(8)]
+    begin = time.perf_counter()
+    found = sim.damerau_levenshtein(texts[:4], texts[4:])
+    assert time.perf_counter() - begin < 10 and (found > 500).all()
 
 
 def test_two_groups(people):
@@ -176,10 +206,7 @@ def test_fewer_than_two_pairs_all_match(spark):
     assert link.find_clusters(df.where("id <> 2"), "id", ["a", "b"]).count() == 0
 
 
-def test_limits(people, spark, monkeypatch):
-    monkeypatch.setattr(cand, "FULL_LIMIT", 5)
-    with pytest.raises(TableTooLargeError):
-        link.find_clusters(people, "id", threshold=0.9)
+def test_refusals(people):
     with pytest.raises(AttrTypeError):
         link.find_clusters(people, "first", threshold=0.9)
     with pytest.raises(InvalidValueError):
@@ -188,15 +215,16 @@ def test_limits(people, spark, monkeypatch):
         link.find_clusters(people, "id", ["city", "age"], threshold=2)
 
 
-@pytest.mark.parametrize("few", [0, 1_000_000])
-def test_components(spark, few):
+@pytest.mark.parametrize("at_once", [3, 1_000_000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(link, "CONTRACT_LINKS", at_once)
     rand = random.Random(3)
     chain = list(range(120))
     rand.shuffle(chain)
     for edges in (list(zip(chain, chain[1:])), [(5, i) for i in range(6, 99)] + [(7, 7), (200, 200), (201, 300)],
                   [(rand.randrange(200), rand.randrange(200)) for _ in range(120)]):
         df = spark.createDataFrame(edges, "a long, b long")
-        got = {r["id"]: r["label"] for r in link.connected_components(df, few).collect()}
+        got = {r["id"]: r["label"] for r in link.connected_components(df).collect()}
         assert got == components(edges)
 
 
