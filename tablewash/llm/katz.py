@@ -24,7 +24,7 @@ from ..session import checkpoint
 from .tokens import in_pieces, row_of, split_words
 
 # Bytes of text of a piece and, about, of a shard; and the fewest shards.
-PIECE = 12 << 20
+PIECE = 8 << 20
 SHARD = 12 << 20
 SHARDS = 32
 # Counts up to this one are discounted by Good-Turing estimates.
@@ -184,22 +184,27 @@ class Katz:
                 edges = np.searchsorted(_shard(found.hashes, shards), np.arange(shards + 1))
                 texts = int(trained.sum())
                 rows = [(shard, piece, texts if not shard else 0,
-                         _pack(found.hashes[a:b].view(np.int64), counts[a:b], found.check()))
+                         _pack(np.diff(found.hashes[a:b], prepend=np.uint64(0)).view(np.int64), counts[a:b], found.check()))
                         for shard, (a, b) in enumerate(zip(edges, edges[1:])) if b > a or not shard]
                 yield _rows(rows, ["shard", "piece", "texts", "blob"])
 
         def gathered(frame: pd.DataFrame) -> pd.DataFrame:
             shard = int(frame["shard"].iloc[0])
             parts = [_unpack(blob) for blob in frame["blob"]]
-            hashes = np.concatenate([p[0].view(np.uint64) for p in parts])
+            hashes = np.concatenate([np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts])
             distinct, place = np.unique(hashes, return_inverse=True)
             counts = np.bincount(place, np.concatenate([p[1] for p in parts]), minlength=len(distinct)).astype(np.int64)
-            numbers = np.arange(len(distinct)) * shards + shard
+            # Words of one count are numbered from 0, so that frequent words have small numbers; number and
+            # count together tell words apart.
+            order = np.argsort(counts, kind="stable")
+            edges = np.searchsorted(counts[order], counts[order])
+            numbers = np.empty(len(distinct), dtype=np.int64)
+            numbers[order] = (np.arange(len(distinct)) - edges) * shards + shard
             ends = np.cumsum([len(p[0]) for p in parts])
             out = [("answer", int(piece), _pack(numbers[place[b - len(p[0]):b]], counts[place[b - len(p[0]):b]], p[2]))
                    for piece, p, b in zip(frame["piece"], parts, ends)]
             known = counts > 0
-            out.append(("table", -1, _pack(distinct[known].view(np.int64), numbers[known], counts[known])))
+            out.append(("table", -1, _pack(np.diff(distinct[known], prepend=np.uint64(0)).view(np.int64), numbers[known], counts[known])))
             sums = np.array([frame["texts"].sum(), counts.sum(), known.sum()])
             rare = np.bincount(np.minimum(counts, GOOD_TURING + 2), minlength=GOOD_TURING + 3)
             out.append(("stats", -1, _pack(sums, rare)))
@@ -300,6 +305,13 @@ def _mixed(numbers: np.ndarray) -> np.ndarray:
     return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
 
 
+def _name(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One number for a word's number and count; the few bits of both are spread over 63."""
+    mixed = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + counts.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
 def _runs(key: np.ndarray) -> np.ndarray:
     """Where a new value begins in sorted keys, and the end."""
     return np.append(np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1])), len(key))
@@ -334,9 +346,12 @@ def _piece_bigrams(piece: int, state: list[np.ndarray], answers: list, shards: i
     with np.errstate(divide="ignore"):
         log_word = np.log10(unigrams.probability(counts))
     score = np.bincount(row[alone], log_word[follower[alone]], minlength=docs).astype(float)
+    del is_word, codes
     out = [(piece % shards, "doc", piece, _pack(ids, empty, held, lengths + 1, seen, base, score))]
     width = words + 3
-    key = np.sort((context[~alone] * width + follower[~alone]) * docs + row[~alone])
+    key = (context[~alone] * width + follower[~alone]) * docs + row[~alone]
+    del context, follower, row, alone
+    key.sort()
     edges = _runs(key)
     key, times = key[edges[:-1]], np.diff(edges)
     doc, key = key % docs, key // docs
@@ -345,7 +360,8 @@ def _piece_bigrams(piece: int, state: list[np.ndarray], answers: list, shards: i
     trained = np.add.reduceat(times * (held[doc] == 0), edges[:-1]) if len(key) else none
     context, follower = key // width, key % width
     parts = np.where(counts[context] > hot, -(-counts[context] // hot), 1).astype(np.uint64)
-    shard = ((_mixed(numbers[context]) + _mixed(numbers[follower]) % parts) % np.uint64(shards)).astype(np.int64)
+    names = _name(numbers, counts)
+    shard = ((_mixed(names[context]) + _mixed(names[follower]) % parts) % np.uint64(shards)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     fields = [numbers[context], numbers[follower], counts[context], counts[follower], trained, many]
     fields = [field[order] for field in fields]
@@ -368,6 +384,11 @@ def _shard_bigrams(frame: pd.DataFrame, unigrams: Unigrams, hot: int) -> list[tu
         return out
     parts = [_unpack(blob) for blob in grams["blob"]]
     context, follower, times_context, times_word, trained = (np.concatenate([p[n] for p in parts]) for n in range(5))
+    # Of what came, only the lists of documents are needed again.
+    sizes = [len(p[0]) for p in parts]
+    parts = [[a.astype(np.int32) for a in p[5:8]] for p in parts]
+    spelled = context, follower
+    context, follower = _name(context, times_context), _name(follower, times_word)
     order = np.lexsort((follower, context))
     edges = np.flatnonzero(np.append(True, (context[order][1:] != context[order][:-1])
                                      | (follower[order][1:] != follower[order][:-1])))
@@ -387,15 +408,18 @@ def _shard_bigrams(frame: pd.DataFrame, unigrams: Unigrams, hot: int) -> list[tu
     cut = whole > hot
     out.append(("hot", -1, _pack(names[cut], *[s[cut] for s in sums])))
     out.append(("stats", -1, _pack(np.bincount(np.minimum(count, GOOD_TURING + 2), minlength=GOOD_TURING + 3))))
-    out.append(("table", -1, _pack(np.diff(context[first][known], prepend=0), follower[first][known], count[known])))
+    # The table of bigrams: contexts and how many followers each has, then followers and their counts.
+    lead = np.searchsorted(owner, np.arange(len(names)))
+    out.append(("table", -1, _pack(spelled[0][first][lead], whole, np.bincount(owner[known], minlength=len(names)),
+                                   spelled[1][first][known], times_word[first][known], count[known])))
     value = np.where(known, np.log10(np.where(count > GOOD_TURING, count - HELD_BACK, np.maximum(count, 1))
                                      / times_context[first]), np.log10(words))
+    del context, follower, times_context, times_word, trained, order, spelled
     at = 0
-    for piece, part in zip(grams["piece"], parts):
-        mine = group[at:at + len(part[0])]
-        at += len(mine)
-        doc, times = part[6], part[7]
-        gram = np.repeat(mine, part[5])
+    for piece, size, (many, doc, times) in zip(grams["piece"], sizes, parts):
+        mine = group[at:at + size]
+        at += size
+        gram = np.repeat(mine, many)
         total = np.bincount(doc, times * value[gram])
         some = np.unique(doc)
         rare = (count[gram] > 0) & (count[gram] <= GOOD_TURING)
