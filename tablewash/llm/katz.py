@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .tokens import in_pieces, row_of, split_words
 
+# Level of compression of what travels: 6 saves 6 % over 1 for little time.
+LEVEL = 6
 # Bytes of text of a piece and, about, of a shard; and the fewest shards.
 PIECE = 8 << 20
 SHARD = 12 << 20
@@ -45,7 +47,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     body = b"".join(np.ascontiguousarray(a.astype("<f8" if a.dtype.kind == "f" else "<i8")).view(np.uint8)
                     .reshape(-1, 8).T.tobytes() for a in arrays)
     raw = head + kinds + body
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
