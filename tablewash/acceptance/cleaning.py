@@ -25,6 +25,13 @@ def rename_column_numbered(t):
     return columns.rename_column(t.customer, "c_name", "c_custkey")
 
 
+@query("rename_column_case", """
+    SELECT c_custkey, c_name, c_nationkey AS "C_NAME_1", c_acctbal, c_mktsegment FROM customer""")
+def rename_column_case(t):
+    """A name that differs from another column's by case only gets a number."""
+    return columns.rename_column(t.customer, "c_nationkey", "C_NAME")
+
+
 @query("nullify_empty", """
     SELECT p_partkey, nullif(replace(p_name, 'red plate', ''), '') AS p_name FROM part""")
 def nullify_empty(t):
@@ -45,6 +52,26 @@ def cast_float_to_text(t):
     return columns.convert(df, "price", "VARCHAR(255)")
 
 
+@query("cast_small_float_to_text", """
+    SELECT l_orderkey, l_linenumber, regexp_replace((l_extendedprice / 333333333)::VARCHAR, '\\.0$', '') AS share
+    FROM lineitem WHERE l_extendedprice / 333333333 >= 0.0001""")
+def cast_small_float_to_text(t):
+    share = F.col("l_extendedprice") / 333333333
+    df = t.lineitem.where(share >= 0.0001).select("l_orderkey", "l_linenumber", share.alias("share"))
+    return columns.convert(df, "share", "VARCHAR(255)")
+
+
+@query("cast_string_to_float", "SELECT l_orderkey, l_linenumber, l_extendedprice AS price FROM lineitem")
+def cast_string_to_float(t):
+    df = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("string").alias("price"))
+    return columns.convert(df, "price", "FLOAT")
+
+
+@query("cast_string_to_varchar", "SELECT c_custkey, c_mktsegment FROM customer")
+def cast_string_to_varchar(t):
+    return columns.convert(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", "VARCHAR(n)", length=12)
+
+
 @query("cast_int_to_float", "SELECT p_partkey, p_size::DOUBLE AS p_size FROM part")
 def cast_int_to_float(t):
     return columns.convert(t.part.select("p_partkey", "p_size"), "p_size", "FLOAT")

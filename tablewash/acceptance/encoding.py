@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import discretize, encode, impute
 from ..operators.profile import value_counts
+from ..session import scratch_folder
 from .registry import query
 
 PRICES = "l_orderkey, l_linenumber"
@@ -109,6 +110,43 @@ def bin_equal_freq_float(t):
                                           "l_extendedprice")
 
 
+EPOCH = "(SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)"
+
+
+def _epoch(t):
+    return t.events.select("event_id", F.expr("unix_micros(cast(ts AS timestamp)) div 1000").alias("ms"))
+
+
+@query("bin_equal_freq_epoch", _equal_frequency_sql(EPOCH, "event_id", "ms", "v + 1", "{e}::BIGINT"))
+def bin_equal_freq_epoch(t):
+    """Milliseconds since 1970: numbers beyond the reach of a small addition in floating point."""
+    return discretize.bin_equal_frequency(_epoch(t), "ms")
+
+
+@query("bin_equal_width_bigint", f"""
+    WITH e AS (SELECT event_id, ms * 100000 AS ms FROM {EPOCH}),
+    f AS (SELECT min(ms) AS lo, (max(ms) - min(ms)) // 9 + 1 AS w FROM e)
+    SELECT event_id, ms, '[' || (lo + ((ms - lo) // w) * w) || ' , ' || (lo + ((ms - lo) // w + 1) * w) || '['
+      AS ms_categorical FROM e, f""")
+def bin_equal_width_bigint(t):
+    return discretize.bin_equal_width(_epoch(t).withColumn("ms", F.col("ms") * 100000), "ms", 9)
+
+
+@query("one_hot_case", """
+    SELECT c_custkey, (s = 'BUILDING')::INT AS "BUILDING", (s = 'FURNITURE')::INT AS "FURNITURE",
+      (s = 'building')::INT AS "building_1" FROM (
+        SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0 THEN 'building'
+          WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE 'FURNITURE' END AS s FROM customer)""")
+def one_hot_case(t):
+    """Values that differ by case only, written to Parquet and read back."""
+    building = F.col("c_mktsegment") == "BUILDING"
+    segment = (F.when(building & (F.col("c_custkey") % 2 == 0), "building").when(building, "BUILDING")
+               .otherwise("FURNITURE"))
+    folder = f"{scratch_folder(t.spark)}/one_hot"
+    encode.one_hot_encode(t.customer.select("c_custkey", segment.alias("s")), "s").write.parquet(folder)
+    return t.spark.read.parquet(folder)
+
+
 @query("bin_custom_right_open", f"""
     SELECT {PRICES}, l_quantity, CASE WHEN l_quantity >= 5 AND l_quantity < 15 THEN '[5 , 15['
       WHEN l_quantity >= 15 AND l_quantity < 40 THEN '[15 , 40[' END AS l_quantity_categorical FROM lineitem""")

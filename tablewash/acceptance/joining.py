@@ -5,16 +5,19 @@ from pyspark.sql import functions as F
 from ..operators import joins
 from .registry import query
 
-BUILDING = "(SELECT * FROM customer WHERE c_mktsegment = 'BUILDING')"
-FINISHED = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
+# Whole tables; some keys on either side have no partner, and some are NULL.
+SOME_CUSTOMERS = """(SELECT * REPLACE (CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN -c_custkey
+  ELSE c_custkey END AS c_custkey) FROM customer)"""
+SOME_ORDERS = """(SELECT * REPLACE (CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS o_custkey) FROM orders)"""
 
 
-def _building(t):
-    return t.customer.where("c_mktsegment = 'BUILDING'")
+def _some_customers(t):
+    key = F.col("c_custkey")
+    return t.customer.withColumn("c_custkey", F.when(key % 11 != 0, F.when(key % 7 == 0, -key).otherwise(key)))
 
 
-def _finished(t):
-    return t.orders.where("o_orderstatus = 'F'")
+def _some_orders(t):
+    return t.orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_custkey")))
 
 
 def _named(orders):
@@ -26,19 +29,19 @@ def join_inner(t):
     return joins.normal_join(t.customer, t.orders, ["c_custkey"], ["o_custkey"])
 
 
-@query("join_left", f"SELECT * FROM {FINISHED} o LEFT JOIN {BUILDING} c ON o_custkey = c_custkey")
+@query("join_left", f"SELECT * FROM {SOME_ORDERS} o LEFT JOIN {SOME_CUSTOMERS} c ON o_custkey = c_custkey")
 def join_left(t):
-    return joins.normal_join(_finished(t), _building(t), ["o_custkey"], ["c_custkey"], "left")
+    return joins.normal_join(_some_orders(t), _some_customers(t), ["o_custkey"], ["c_custkey"], "left")
 
 
-@query("join_right", f"SELECT * FROM {BUILDING} c RIGHT JOIN {FINISHED} o ON o_custkey = c_custkey")
+@query("join_right", f"SELECT * FROM {SOME_CUSTOMERS} c RIGHT JOIN {SOME_ORDERS} o ON o_custkey = c_custkey")
 def join_right(t):
-    return joins.normal_join(_building(t), _finished(t), ["c_custkey"], ["o_custkey"], "right")
+    return joins.normal_join(_some_customers(t), _some_orders(t), ["c_custkey"], ["o_custkey"], "right")
 
 
-@query("join_full", f"SELECT * FROM {BUILDING} c FULL JOIN {FINISHED} o ON o_custkey = c_custkey")
+@query("join_full", f"SELECT * FROM {SOME_CUSTOMERS} c FULL JOIN {SOME_ORDERS} o ON o_custkey = c_custkey")
 def join_full(t):
-    return joins.normal_join(_building(t), _finished(t), ["c_custkey"], ["o_custkey"], "full")
+    return joins.normal_join(_some_customers(t), _some_orders(t), ["c_custkey"], ["o_custkey"], "full")
 
 
 @query("join_two_columns", """
@@ -56,23 +59,23 @@ def natural_inner(t):
 
 
 @query("natural_left", f"""
-    SELECT * FROM {BUILDING} c NATURAL LEFT JOIN (SELECT * RENAME (o_custkey AS c_custkey) FROM {FINISHED})""")
+    SELECT * FROM {SOME_CUSTOMERS} c NATURAL LEFT JOIN (SELECT * RENAME (o_custkey AS c_custkey) FROM {SOME_ORDERS})""")
 def natural_left(t):
-    return joins.natural_join(_building(t), _named(_finished(t)), "left")
+    return joins.natural_join(_some_customers(t), _named(_some_orders(t)), "left")
 
 
 @query("natural_right", f"""
-    SELECT * FROM {BUILDING} c NATURAL RIGHT JOIN (SELECT * RENAME (o_custkey AS c_custkey) FROM {FINISHED})""")
+    SELECT * FROM {SOME_CUSTOMERS} c NATURAL RIGHT JOIN (SELECT * RENAME (o_custkey AS c_custkey) FROM {SOME_ORDERS})""")
 def natural_right(t):
-    return joins.natural_join(_building(t), _named(_finished(t)), "right")
+    return joins.natural_join(_some_customers(t), _named(_some_orders(t)), "right")
 
 
 @query("natural_full", f"""
-    SELECT * FROM {BUILDING} c NATURAL FULL JOIN (SELECT * RENAME (o_custkey AS c_custkey) FROM {FINISHED})""")
+    SELECT * FROM {SOME_CUSTOMERS} c NATURAL FULL JOIN (SELECT * RENAME (o_custkey AS c_custkey) FROM {SOME_ORDERS})""")
 def natural_full(t):
-    return joins.natural_join(_building(t), _named(_finished(t)), "full")
+    return joins.natural_join(_some_customers(t), _named(_some_orders(t)), "full")
 
 
-@query("semi_join", f"SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {FINISHED})")
+@query("semi_join", f"SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {SOME_ORDERS})")
 def semi_join(t):
-    return joins.semi_join(t.customer, _finished(t), "c_custkey", "o_custkey")
+    return joins.semi_join(t.customer, _some_orders(t), "c_custkey", "o_custkey")

@@ -170,6 +170,15 @@ def dedup_keep_chosen(t):
     return link.remove_rows(t.part, "p_partkey", link.rows_to_remove(found, "p_partkey", keep))
 
 
+@query("dedup_yes_from", f"""
+    WITH RECURSIVE {THRESHOLD}
+    SELECT * FROM part WHERE p_partkey NOT IN (
+      SELECT p_partkey FROM clusters WHERE p_partkey <> cluster_id AND cluster_id >= 300)""")
+def dedup_yes_from(t):
+    found = _part_clusters(t)
+    return link.remove_rows(t.part, "p_partkey", link.rows_to_remove(found, "p_partkey", yes_from=300))
+
+
 @query("dedup_replay", """
     SELECT p_name, p_brand FROM part EXCEPT ALL SELECT p_name, p_brand FROM part WHERE p_size > 25""")
 def dedup_replay(t):

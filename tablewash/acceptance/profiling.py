@@ -118,16 +118,30 @@ def histogram_greedy_skewed(t):
     return profile.histogram(t.events, "value", compat="greedy")
 
 
-@query("profile_table", """
-    WITH m AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
-    s AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
-    SELECT 'p_brand' AS "column", count(*) AS row_count, 0::BIGINT AS null_count, 'N/A' AS min, 'N/A' AS max,
-      NULL::DOUBLE AS avg, (SELECT p_brand FROM m) AS most_frequent, (SELECT n FROM m) AS most_frequent_count FROM part
-    UNION ALL
-    SELECT 'p_size', count(*), 0, min(p_size)::VARCHAR, max(p_size)::VARCHAR, round(avg(p_size), 6),
-      (SELECT p_size::VARCHAR FROM s), (SELECT n FROM s) FROM part""")
+@query("histogram_greedy_narrow", """
+    SELECT 0 AS bin, '(' || 100000000000000000 || ', ' || 100000000000000016 || ')' AS label,
+      count(*) FILTER (event_id % 2 = 0) AS frequency FROM events
+    UNION ALL SELECT 1, '(' || 100000000000000016 || ', ' || 100000000000000032 || ')',
+      count(*) FILTER (event_id % 2 = 1) FROM events""")
+def histogram_greedy_narrow(t):
+    """Large keys whose spread is one step of a double: the width of a bin vanishes in rounding."""
+    key = (F.lit(10 ** 17) + (F.col("event_id") % 2) * 16).cast("long")
+    return profile.histogram(t.events.select(key.alias("key")), "key", compat="greedy")
+
+
+def _profile_sql(column: str, numeric: bool) -> str:
+    low, high, mean = ((f"min({column})::VARCHAR", f"max({column})::VARCHAR", f"round(avg({column}), 6)") if numeric
+                       else ("'N/A'", "'N/A'", "NULL::DOUBLE"))
+    mode = f"(SELECT {column} AS v, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"
+    return f"""SELECT '{column}' AS "column", count(*) AS row_count, 0::BIGINT AS null_count, {low} AS min, {high} AS max,
+      {mean} AS avg, (SELECT v::VARCHAR FROM {mode}) AS most_frequent, (SELECT n FROM {mode}) AS most_frequent_count
+      FROM part"""
+
+
+@query("profile_table", " UNION ALL ".join(_profile_sql(c, c in ("p_partkey", "p_size", "p_retailprice")) for c in (
+    "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")))
 def profile_table(t):
-    return profile.column_profile(t.part, ["p_brand", "p_size"]).withColumn("avg", F.round("avg", 6))
+    return profile.column_profile(t.part).withColumn("avg", F.round("avg", 6))
 
 
 @query("page_sorted", """

@@ -232,6 +232,21 @@ def sql_script(t):
     return sql.run(t.spark, {"customer": t.customer, "supplier": t.supplier}, script)[1]
 
 
+@query("sql_script_text", """
+    WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DE;BT' ELSE c_mktsegment END AS segment
+               FROM customer WHERE c_nationkey <> 3
+               UNION ALL SELECT s_suppkey, 'SUPPLIER' FROM supplier WHERE s_acctbal > 5000)
+    SELECT segment, count(*) AS n FROM c GROUP BY 1""")
+def sql_script_text(t):
+    script = """
+        DELETE FROM customer WHERE c_nationkey = 3; -- a remark; with a semicolon
+        UPDATE customer SET c_mktsegment = 'DE;BT' WHERE c_acctbal < 0;
+        INSERT INTO customer (c_custkey, c_mktsegment) SELECT s_suppkey, 'SUPPLIER' FROM supplier WHERE s_acctbal > 5000;
+        SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1;
+        """
+    return sql.run(t.spark, {"customer": t.customer, "supplier": t.supplier}, script)[1]
+
+
 @query("zscore_reused", """
     SELECT o_orderkey, round(CASE WHEN z > 2 OR z < -2 THEN 2 ELSE z END / 4 + 0.5, 6) AS o_totalprice
     FROM (SELECT o_orderkey, (o_totalprice - m) / s AS z FROM orders,

@@ -1,5 +1,9 @@
 """Sources and sinks, written to scratch folders and read back."""
 
+import io
+import zipfile
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
@@ -7,6 +11,7 @@ from ..plans import history as h
 from ..plans.recipe import Step
 from ..sources import csv, dump
 from ..sources.dataset import Dataset
+from ..sources.files import read_file
 from .registry import query
 
 CUSTOMER_TEXT = """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
@@ -20,6 +25,94 @@ def csv_roundtrip(t):
     return csv.read_csv_raw(t.spark, folder)
 
 
+@query("csv_raw_headerless", """
+    SELECT c_custkey::VARCHAR AS column_0, c_name AS column_1, c_nationkey::VARCHAR AS column_2 FROM customer""")
+def csv_raw_headerless(t):
+    folder = f"{scratch_folder(t.spark)}/customer"
+    t.customer.select("c_custkey", "c_name", "c_nationkey").write.csv(folder)
+    return csv.read_csv_raw(t.spark, folder, header=False)
+
+
+@query("csv_archive", """
+    SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def csv_archive(t):
+    """Two tables of one ZIP archive, joined. Whoever makes an archive holds its files, so only small tables are packed."""
+    folder = scratch_folder(t.spark)
+    members = [(name, ",".join(df.columns), df.select(F.concat_ws(",", *df.columns)))
+               for name, df in (("nation", t.nation), ("region", t.region))]
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        for name, header, lines in members:
+            archive.writestr(f"{name}.csv", "\n".join([header, *(row[0] for row in lines.toLocalIterator())]))
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables.zip")
+    out = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(path)
+    out.write(content.getvalue())
+    out.close()
+    tables = read_file(t.spark, f"{folder}/tables.zip")
+    return (tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("n_name", "r_name"))
+
+
+@query("dataset_export_csv", "SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part WHERE p_size <= 40")
+def dataset_export_csv(t):
+    dataset = Dataset(t.spark, scratch_folder(t.spark))
+    dataset.add("part", t.part)
+    dataset.apply("part", Step(h.DELETE_ROWS, "", {"clauses": ["p_size", ">", "40"]}))
+    folder = scratch_folder(t.spark)
+    dataset.export_csv(folder, original=True)
+    return csv.read_csv_raw(t.spark, f"{folder}/edited/part").select("p_partkey", "p_name")
+
+
+@query("dataset_export_dump", "SELECT * FROM part WHERE p_size > 40")
+def dataset_export_dump(t):
+    dataset = Dataset(t.spark, scratch_folder(t.spark))
+    dataset.add("part", t.part)
+    dataset.apply("part", Step(h.DELETE_ROWS, "", {"clauses": ["p_size", "<=", "40"]}))
+    folder = scratch_folder(t.spark)
+    dataset.export_dump(folder)
+    return dump.read_sql_dump(t.spark, f"{folder}/part/*", statement_end=";\n")["part"]
+
+
+@query("dataset_drop", "SELECT * FROM part")
+def dataset_drop(t):
+    """A table whose name is the number of another table's snapshot goes without harm to that."""
+    dataset = Dataset(t.spark, scratch_folder(t.spark))
+    dataset.add("part", t.part)
+    copy = dataset.copy("part", "c")
+    dataset.add("1", t.region)
+    dataset.drop("1")
+    dataset.drop("part")
+    return dataset.table(copy)
+
+
+@query("dataset_tables", """
+    SELECT 'nation' AS name, count(*) AS row_count FROM nation UNION ALL SELECT 'part', count(*) FROM part
+    UNION ALL SELECT 'part_1', count(*) FROM part""")
+def dataset_tables(t):
+    dataset = Dataset(t.spark, scratch_folder(t.spark))
+    for name in ("part", "nation", "region"):
+        dataset.add(name, getattr(t, name))
+    dataset.copy("part", "part")
+    dataset.drop("region")
+    counts = [dataset.table(name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"))
+              for name in dataset.tables()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("dataset_insert_select", """
+    SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal >= 0
+    UNION ALL SELECT s_suppkey, 'SUPPLIER;' FROM supplier WHERE s_acctbal > 5000""")
+def dataset_insert_select(t):
+    """An SQL text with an INSERT from a query, replayed after the queried table is gone."""
+    dataset = Dataset(t.spark, scratch_folder(t.spark))
+    dataset.add("customer", t.customer)
+    dataset.add("supplier", t.supplier)
+    dataset.execute("""DELETE FROM customer WHERE c_acctbal < 0;
+        INSERT INTO customer (c_custkey, c_mktsegment) SELECT s_suppkey, 'SUPPLIER;' FROM supplier WHERE s_acctbal > 5000;
+        DELETE FROM supplier""")
+    return dataset.table("customer").select("c_custkey", "c_mktsegment")
+
+
 @query("csv_null_roundtrip", """
     SELECT c_custkey::VARCHAR AS c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer""")
 def csv_null_roundtrip(t):

@@ -72,7 +72,8 @@ def frequent_values(df: DataFrame, column: str, having: Column) -> DataFrame:
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: row and NULL counts, minimum, maximum, mean and most frequent value as text.
 
-    All counts, extremes and means come from one aggregate; each most frequent value needs its own grouping.
+    All counts, extremes and means come from one aggregate. The most frequent values come from one more pass, in which a
+    row becomes one entry per column; entries are counted where they are before they move.
     """
     names = columns or df.columns
     measures = []
@@ -88,12 +89,16 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
             (F.avg(value).cast("double") if numeric else F.lit(None).cast("double")).alias("avg"),
         ).alias(f"m{i}"))
     summary = df.agg(F.array(*measures).alias("m")).select(F.inline("m"))
-    modes = None
-    for name in names:
-        mode = most_frequent_value(df, name).select(F.lit(name).alias("column"),
-                                                    F.col("value").cast("string").alias("most_frequent"),
-                                                    F.col("frequency").alias("most_frequent_count"))
-        modes = mode if modes is None else modes.unionByName(mode)
+    entries = F.array(*[F.struct(F.lit(name).alias("column"), col(name).cast("string").alias("value"),
+                                 (number(df, name).cast("double") if is_numeric(type_of(df, name))
+                                  else F.lit(None).cast("double")).alias("size")) for name in names])
+    counts = (df.select(F.explode(entries).alias("e")).groupBy("e.column", "e.value", "e.size")
+              .agg(F.count(F.lit(1)).alias("frequency")))
+    # The commonest value; of several the smallest, as a number or as text, NULL last.
+    first = F.min(F.struct(-F.col("frequency"), F.col("value").isNull(), F.isnan("size") | F.col("size").isNull(), "size",
+                           "value"))
+    modes = counts.groupBy("column").agg(first.alias("m")).select(
+        "column", F.col("m.value").alias("most_frequent"), (-F.col("m.col1")).alias("most_frequent_count"))
     return summary.join(modes, "column", "left")
 
 
@@ -140,7 +145,7 @@ def _greedy_histogram(df: DataFrame, value: Column, low: float, high: float, bin
     a run that starts at row s the bin rises by one per row from its start until it reaches t.
     """
     width = (high - low) / bins
-    edges = [low + width]
+    edges = [max(low + width, math.nextafter(low, math.inf))]
     while edges[-1] <= high:
         # Far from zero the width can vanish in rounding; the walk goes on to the next number there is.
         edges.append(max(edges[-1] + width, math.nextafter(edges[-1], math.inf)))

@@ -14,12 +14,13 @@ from ..types import InvalidValueError, col, type_of
 
 @dataclass(frozen=True)
 class Insert:
-    """Rows given as tuples, or as a query; ``columns`` defaults to all columns in order."""
+    """Rows given as tuples, as a query, or in a Parquet folder; ``columns`` defaults to all columns in order."""
 
     table: str
     rows: Sequence[Sequence] = ()
     query: str | None = None
     columns: Sequence[str] | None = None
+    folder: str | None = None
 
 
 @dataclass(frozen=True)
@@ -67,12 +68,55 @@ def _is_view(spark: SparkSession, name: str) -> bool:
     return bool(spark.catalog._jcatalog.tableExists(name)) and spark.catalog.getTable(name).isTemporary
 
 
+def parse(spark: SparkSession, text: str) -> list[Statement]:
+    """The statements of an SQL text, separated by semicolons, as Spark's own parser reads them.
+
+    UPDATE, DELETE and INSERT become statements over the named tables; any other text is a query.
+    """
+    script = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"BEGIN\n{text.rstrip().rstrip(';')};\nEND")
+    parts = script.collection()
+    return [_statement(parts.apply(n)) for n in range(parts.size())]
+
+
+def _statement(part) -> Statement:
+    if part.getClass().getSimpleName() != "SingleStatement":
+        raise InvalidValueError("only plain statements can be run")
+    plan = part.parsedPlan()
+    kind = plan.getClass().getSimpleName()
+    if kind == "UpdateTable":
+        assignments = [plan.assignments().apply(n) for n in range(plan.assignments().size())]
+        condition = plan.condition()
+        return Update(_table_name(plan.table()),
+                      {a.key().nameParts().last(): a.value().sql() for a in assignments},
+                      condition.get().sql() if condition.isDefined() else None)
+    if kind == "DeleteFromTable":
+        condition = plan.condition().sql()
+        return Delete(_table_name(plan.table()), None if condition == "true" else condition)
+    if kind == "InsertIntoStatement":
+        named = plan.userSpecifiedCols()
+        names = [named.apply(n) for n in range(named.size())]
+        return Insert(_table_name(plan.table()), query=_source(plan.query()), columns=names or None)
+    return Select(_source(part))
+
+
+def _table_name(relation) -> str:
+    return relation.multipartIdentifier().last()
+
+
+def _source(node) -> str:
+    """The text a node of the parser was read from."""
+    origin = node.origin()
+    return origin.sqlText().get()[origin.startIndex().get():origin.stopIndex().get() + 1]
+
+
 def insert(spark: SparkSession, tables: Mapping[str, DataFrame], statement: Insert) -> DataFrame:
     target = tables[statement.table]
     names = list(statement.columns or target.columns)
     for name in names:
         type_of(target, name)
-    if statement.query is not None:
+    if statement.folder is not None:
+        added = spark.read.parquet(statement.folder)
+    elif statement.query is not None:
         added = select(spark, tables, statement.query).toDF(*names)
     else:
         added = spark.createDataFrame([tuple(row) for row in statement.rows],
@@ -97,14 +141,14 @@ def delete(df: DataFrame, statement: Delete) -> DataFrame:
     return df.where(~holds(F.expr(statement.where)))
 
 
-def run(spark: SparkSession, tables: Mapping[str, DataFrame], statements: Sequence[Statement]
+def run(spark: SparkSession, tables: Mapping[str, DataFrame], statements: Sequence[Statement] | str
         ) -> tuple[dict[str, DataFrame], DataFrame | None]:
-    """Fold the statements over the tables: the new tables and the result of the last statement.
+    """Fold the statements, or those of an SQL text, over the tables: the new tables and the result of the last one.
 
     The given mapping is not touched, so a failing statement leaves everything as it was.
     """
     state, result = dict(tables), None
-    for statement in statements:
+    for statement in parse(spark, statements) if isinstance(statements, str) else statements:
         result = None
         if isinstance(statement, Select):
             result = select(spark, state, statement.query)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,18 +41,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+            _require_one_machine(spark)
             folder = tempfile.mkdtemp(prefix="tablewash-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def _require_one_machine(spark: SparkSession) -> None:
+    """Executors of their own, also those of ``local-cluster``, cannot see each other's files."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder for intermediate files, in the shared folder of the session if it names one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/tablewash-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    _require_one_machine(spark)
     return tempfile.mkdtemp(prefix="tablewash-")

@@ -16,11 +16,11 @@ from .csv import column_names, raw_cell
 LINES_PER_BATCH = 20_000
 
 
-def _members(content: bytes) -> Iterator[tuple[zipfile.ZipFile, str]]:
-    """Top-level CSV files; folders and other files are ignored."""
+def _members(content: bytes, wanted: str | None = None) -> Iterator[tuple[zipfile.ZipFile, str]]:
+    """Top-level CSV files, or one of them; folders and other files are ignored."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for name in archive.namelist():
-            if name.endswith(".csv") and "/" not in name:
+            if name.endswith(".csv") and "/" not in name and wanted in (None, name):
                 yield archive, name
 
 
@@ -33,35 +33,40 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"path": [path], "member": [name], "first": [first]})
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for archive, name in _members(content):
-                with archive.open(name) as member:
-                    held = []
-                    for number, line in enumerate(io.TextIOWrapper(member, encoding="utf-8")):
-                        held.append((path, name, number, line.rstrip("\r\n")))
-                        if len(held) == LINES_PER_BATCH:
-                            yield pd.DataFrame(held, columns=["path", "member", "number", "line"])
-                            held = []
-                    if held:
-                        yield pd.DataFrame(held, columns=["path", "member", "number", "line"])
+def _lines_of(wanted: str):
+    """Reads the lines of one member; the others are not unpacked."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                for archive, name in _members(content, wanted):
+                    with archive.open(name) as member:
+                        held = []
+                        for number, line in enumerate(io.TextIOWrapper(member, encoding="utf-8")):
+                            held.append((number, line.rstrip("\r\n")))
+                            if len(held) == LINES_PER_BATCH:
+                                yield pd.DataFrame(held, columns=["number", "line"])
+                                held = []
+                        if held:
+                            yield pd.DataFrame(held, columns=["number", "line"])
+
+    return lines
 
 
 def read_csv_archive(spark: SparkSession, path: str, header: bool = True) -> dict[str, DataFrame]:
     """One raw table per CSV file of the archive (or archives: ``path`` may be a pattern).
 
-    An archive is unpacked by the task that reads it, in batches of lines; only the first line of
-    each file comes to the driver. For large data a folder of plain CSV files is the better form.
+    A member is unpacked by the task that reads it, in batches of lines, and only when its table is read; only
+    the first line of each file comes to the driver. For large data a folder of plain CSV files is the better form.
     """
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
     found = archives.mapInPandas(_headers, "path string, member string, first string").collect()
-    lines = archives.mapInPandas(_lines, "path string, member string, number long, line string")
     tables: dict[str, DataFrame] = {}
     for row in sorted(found, key=lambda r: (r["path"], r["member"])):
         table = free_table_name(tables, check_table_name(row["member"].removesuffix(".csv")))
         names = column_names(row["first"], header)
-        own = lines.where((F.col("path") == row["path"]) & (F.col("member") == row["member"]) & (F.col("line") != ""))
+        own = (archives.where(F.col("path") == row["path"])
+               .mapInPandas(_lines_of(row["member"]), "number long, line string").where(F.col("line") != ""))
         if header:
             own = own.where("number > 0")
         cells = F.split("line", ",", -1)

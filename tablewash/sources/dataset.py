@@ -18,7 +18,7 @@ from ..dedup.clusters import find_clusters, remove_rows, rows_to_remove
 from ..naming import check_table_name, free_table_name
 from ..plans import history as h
 from ..plans.recipe import Step, apply_step, fit_step, replay, statement_record
-from ..plans.statements import Insert, Select, Statement, run
+from ..plans.statements import Insert, Select, Statement, parse, run, select
 from ..types import InvalidValueError, col
 from .csv import write_csv
 from .dump import write_sql_dump
@@ -156,17 +156,26 @@ class Dataset:
         self._record(name, name, fitted, result)
         return result
 
-    def execute(self, statements: Sequence[Statement]) -> DataFrame | None:
-        """Run statements over the tables; log changes per table only when all of them succeed."""
-        tables = {t: self.table(t) for t in self.tables()}
-        state, result = run(self.spark, tables, statements)
+    def execute(self, statements: Sequence[Statement] | str) -> DataFrame | None:
+        """Run statements, or an SQL text, over the tables; log changes per table only when all of them succeed.
+
+        The rows of an INSERT from a query are kept in a folder that the log refers to, so that a replay adds the same
+        rows whatever becomes of the tables they came from.
+        """
+        state = {t: self.table(t) for t in self.tables()}
         changed: dict[str, list] = {}
-        for statement in statements:
-            if isinstance(statement, Select):
-                continue
-            if isinstance(statement, Insert) and statement.query is not None:
-                raise InvalidValueError("an INSERT from a query cannot be replayed; insert its rows")
-            changed.setdefault(statement.table, []).append(statement_record(statement))
+        result = None
+        number = self._next_id(self._entries())
+        for place, statement in enumerate(parse(self.spark, statements) if isinstance(statements, str) else statements):
+            if isinstance(statement, Insert) and statement.query is not None and statement.table in state:
+                names = list(statement.columns or state[statement.table].columns)
+                path = self._path("inserted", statement.table, f"{number}_{place}")
+                (select(self.spark, state, statement.query).toDF(*names)
+                 .write.mode("overwrite").parquet(path))
+                statement = Insert(statement.table, columns=names, folder=path)
+            state, result = run(self.spark, state, [statement])
+            if not isinstance(statement, Select):
+                changed.setdefault(statement.table, []).append(statement_record(statement))
         for table in changed:
             # An expression that fails on some row must fail here, before anything is logged.
             state[table].write.format("noop").mode("overwrite").save()

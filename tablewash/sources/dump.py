@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..naming import check_table_name
+from ..session import scratch_folder
 from ..types import DumpInconsistencyError, EmptyFileError, NoTablesInDumpError, col, column_types, is_numeric
 
 # SQL type names and the Spark types they are read as.
@@ -45,11 +46,13 @@ def read_sql_dump(spark: SparkSession, path: str, statement_end: str = ";") -> d
     inserts = statements.where(F.col("sql").rlike(r"(?is)^\s*insert\s+into\b"))
     parts = inserts.select(*[F.regexp_extract("sql", INSERT, i + 1).alias(name)
                              for i, name in enumerate(("table", "names", "rows"))], "sql")
-    tables = {}
-    for row in created:
-        name, columns = _declaration(row["sql"])
-        tables[name] = _inserted(parts, name, columns)
-    return tables
+    declared = dict(_declaration(row["sql"]) for row in created)
+    if len(declared) > 1:
+        # One pass over the text for all tables; each is then read from a part of its own.
+        folder = scratch_folder(spark)
+        parts.write.partitionBy("table").parquet(folder)
+        parts = spark.read.schema("sql string, names string, rows string, table string").parquet(folder)
+    return {name: _inserted(parts, name, columns) for name, columns in declared.items()}
 
 
 def _declaration(statement: str) -> tuple[str, dict[str, str]]:
@@ -75,15 +78,16 @@ def _inserted(parts: DataFrame, table: str, columns: dict[str, str]) -> DataFram
     failure = F.raise_error(F.concat(F.lit("cannot read statement of the dump: "), F.substring("sql", 1, 200)))
     whole = F.length(F.regexp_replace("sql", "[^']", "")) % 2 == 0
     rows = F.when(whole, F.regexp_extract_all("rows", F.lit(ROW), F.lit(1))).otherwise(failure.cast("array<string>"))
+    # Where a column stands among the cells: its place in the declaration, or in the names of the statement.
+    names = F.when(F.trim(F.coalesce("names", F.lit(""))) == "", declared).otherwise(named)
+    places = F.transform(declared, lambda c: F.array_position(names, c).cast("int"))
     one = (parts.where(F.col("table") == table)
-           .select("sql", F.when(F.trim("names") == "", declared).otherwise(named).alias("names"),
-                   F.explode(rows).alias("row"))
-           .select("sql", "names", F.regexp_extract_all("row", F.lit(CELL), F.lit(1)).alias("cells")))
-    fits = F.size("cells") <= F.size("names")
-    cells = F.when(fits, F.col("cells")).otherwise(failure.cast("array<string>"))
-    by_name = F.map_from_arrays(F.slice("names", F.lit(1), F.size(cells)), cells)
-    return (one.select(by_name.alias("row"))
-            .select(*[_value(F.try_element_at("row", F.lit(c))).cast(kind).alias(c) for c, kind in columns.items()]))
+           .select("sql", F.size(names).alias("width"), places.alias("places"), F.explode(rows).alias("row"))
+           .select("sql", "width", "places", F.regexp_extract_all("row", F.lit(CELL), F.lit(1)).alias("cells")))
+    cells = F.when(F.size("cells") <= F.col("width"), F.col("cells")).otherwise(failure.cast("array<string>"))
+    one = one.select(cells.alias("cells"), "places")
+    return one.select(*[_value(F.get("cells", F.col("places")[i] - 1)).cast(kind).alias(c)
+                        for i, (c, kind) in enumerate(columns.items())])
 
 
 def _value(cell: Column) -> Column:

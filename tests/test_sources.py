@@ -207,3 +207,12 @@ def test_exports(spark, companies, tmp_path):
     assert csv.read_csv_raw(spark, str(tmp_path / "csv/original/t")).count() == 16
     data.export_dump(str(tmp_path / "dump"))
     assert dump.read_sql_dump(spark, f"{tmp_path}/dump/t/*", ";\n")["t"].count() == 14
+
+
+def test_raw_csv_fails_on_uneven_rows_whatever_is_read(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("a,b\n1,2\n3\n4,5,6\n7,8\n")
+    df = csv.read_csv_raw(spark, str(path))
+    for look in (lambda: df.collect(), lambda: df.select("b").collect(), lambda: df.count()):
+        with pytest.raises(Exception, match="MALFORMED"):
+            look()
