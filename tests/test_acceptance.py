@@ -14,7 +14,7 @@ def con():
     return oracle.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, con, name):
     assert oracle.difference(QUERIES[name](spark, FOLDER), con, ORACLES[name]) is None
 
