@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,8 @@ SENTENCES = {
 
 # Ids of one table that are folded in one task; a longer log is folded piecewise.
 PIECE = 100_000
+# Pieces that are composed to one group.
+GROUP = 1_000
 TABLES_PER_BATCH = 5_000
 
 
@@ -184,17 +187,22 @@ def snapshot_steps(log: DataFrame) -> DataFrame:
 
     Copies always get one, other steps when the cost since the last snapshot reaches its limit.
     That cost is below the limit before every step, so what a piece of the log does is a table of
-    that many end values, one per start value. The pieces of a table are chained through their
-    tables, and each piece is then walked once more from its true start.
+    that many end values, one per start value. Tables of the pieces of a group compose to one of the group; groups are
+    passed through in order, then the pieces of each group, and each piece is walked once more from its true
+    start. Nothing but a start value goes from one to the next, whatever the length of the log.
     """
-    keys = ["table_name", "piece"]
+    keys, groups = ["table_name", "piece"], ["table_name", "group"]
     pieces = (steps(log).select(*keys[:1], _piece(), "transformation_id", "transformation_type", cost().alias("cost"))
               .repartition(*keys))
     tables = (pieces.sortWithinPartitions(*keys, "transformation_id")
-              .mapInArrow(_piece_tables, "table_name string, piece long, ends array<int>"))
-    chain = F.sort_array(F.collect_list(F.struct("piece", "ends")))
-    started = F.aggregate(chain, F.struct(F.lit(0).alias("state"), F.array().cast(_STARTS).alias("starts")), _link)
-    starts = tables.groupBy("table_name").agg(started["starts"].alias("starts")).select("table_name", F.inline("starts"))
+              .mapInArrow(_piece_tables, "table_name string, piece long, ends array<int>")
+              .withColumn("group", F.floor(F.col("piece") / GROUP)))
+    composed = (tables.repartition(*groups).sortWithinPartitions(*groups, "piece")
+                .mapInArrow(_composed, "table_name string, group long, ends array<int>"))
+    first = (composed.withColumn("start", F.lit(0)).repartition("table_name").sortWithinPartitions(*groups)
+             .mapInArrow(_passed("group", groups[:1]), "table_name string, group long, start int"))
+    starts = (tables.join(first, groups).repartition(*groups).sortWithinPartitions(*groups, "piece")
+              .mapInArrow(_passed("piece", groups), "table_name string, piece long, start int"))
     return (pieces.join(starts, keys).sortWithinPartitions(*keys, "transformation_id")
             .mapInArrow(_walk, "table_name string, transformation_id long"))
 
@@ -227,57 +235,121 @@ def _piece() -> Column:
     return F.floor(F.col("transformation_id") / PIECE).alias("piece")
 
 
-_STARTS = "array<struct<piece:bigint,start:int>>"
+def _whole(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows of one group after the other; rows are sorted by the keys, and a group may span batches."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        edges = _edges(rest, keys)
+        for begin, end in zip(edges, edges[1:-1]):
+            yield rest.slice(begin, end - begin)
+        if len(edges) > 1:
+            rest = rest.slice(edges[-2])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _edges(table: pa.Table, keys: tuple[str, ...]) -> list[int]:
+    """Where a new group begins, and the end."""
+    changed = np.zeros(table.num_rows, dtype=bool)
+    changed[:1] = True
+    for key in keys:
+        values = table[key].combine_chunks()
+        changed[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    return [*np.flatnonzero(changed).tolist(), table.num_rows]
+
+
+class _Costs:
+    """The costs of a piece; a reset is a step after which the cost since the last snapshot is zero again."""
+
+    def __init__(self, table: pa.Table):
+        self.total = np.cumsum(table["cost"].to_numpy().astype(np.int64))
+        self.copies = np.flatnonzero(table["transformation_type"].to_numpy() == COPY)
+
+    def reset_after(self, place: int, state: int) -> int | None:
+        """The first reset behind a step (-1: the beginning) after which the cost is ``state``."""
+        spent = self.total[place] if place >= 0 else 0
+        due = int(np.searchsorted(self.total, spent - state + SNAPSHOT_COST))
+        copy = int(np.searchsorted(self.copies, place + 1))
+        due = min(due, int(self.copies[copy])) if copy < len(self.copies) else due
+        return due if due < len(self.total) else None
+
+    def ends(self) -> list[int]:
+        """The cost at the end of the piece for each cost at its start; from a common reset on all go the same way."""
+        known: dict[int, int] = {}
+        found = []
+        for start in range(SNAPSHOT_COST):
+            passed, place, state = [], -1, start
+            while (reset := self.reset_after(place, state)) is not None and reset not in known:
+                passed.append(reset)
+                place, state = reset, 0
+            if reset is not None:
+                end = known[reset]
+            else:
+                end = int(state + self.total[-1] - (self.total[place] if place >= 0 else 0))
+            known.update(dict.fromkeys(passed, end))
+            found.append(end)
+        return found
+
+    def resets(self, state: int) -> list[int]:
+        passed, place = [], -1
+        while (reset := self.reset_after(place, state)) is not None:
+            passed.append(reset)
+            place, state = reset, 0
+        return passed
 
 
-def _link(done: Column, piece: Column) -> Column:
-    """Start value of one more piece, and the value it ends with."""
-    start = F.struct(piece["piece"].alias("piece"), done["state"].alias("start"))
-    return F.struct(F.element_at(piece["ends"], done["state"] + 1).alias("state"),
-                    F.concat(done["starts"], F.array(start)).alias("starts"))
+def _piece_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """End value of every piece for each start value."""
+    done = []
+    for table in _whole(batches, "table_name", "piece"):
+        done.append((table["table_name"][0].as_py(), table["piece"][0].as_py(), _Costs(table).ends()))
+        if len(done) == TABLES_PER_BATCH:
+            yield _batch(done, "piece")
+            done = []
+    yield _batch(done, "piece")
 
 
-def _after(state, kind: int, price: int):
-    state = state + price
-    return state * 0 if kind == COPY else state * (state < SNAPSHOT_COST)
+def _batch(done: list[tuple], name: str) -> pa.RecordBatch:
+    kinds = pa.string(), pa.int64(), pa.list_(pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([row[i] for row in done], kind) for i, kind in enumerate(kinds)],
+                                      names=["table_name", name, "ends"])
 
 
-def _piece_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """End value of every piece for each start value; pieces come one after the other."""
-    here, ends, done = None, None, []
-    for batch in batches:
-        for table, piece, kind, price in _columns(batch, "table_name", "piece", "transformation_type", "cost"):
-            if (table, piece) != here:
-                if here is not None:
-                    done.append((*here, ends.tolist()))
-                if len(done) == TABLES_PER_BATCH:
-                    yield _table_batch(done)
-                    done = []
-                here, ends = (table, piece), np.arange(SNAPSHOT_COST)
-            ends = _after(ends, kind, price)
-    if here is not None:
-        yield _table_batch([*done, (*here, ends.tolist())])
-
-
-def _table_batch(done: list[tuple]) -> pa.RecordBatch:
-    kinds = pa.string(), pa.int64(), pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*done), kinds)],
-                                      names=["table_name", "piece", "ends"])
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """End value of every group for each start value, its pieces taken in order."""
+    done = []
+    for table in _whole(batches, "table_name", "group"):
+        ends = np.arange(SNAPSHOT_COST)
+        for piece in _ends(table):
+            ends = piece[ends]
+        done.append((table["table_name"][0].as_py(), table["group"][0].as_py(), ends.tolist()))
+    yield _batch(done, "group")
+
+
+def _ends(table: pa.Table) -> np.ndarray:
+    return table["ends"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, SNAPSHOT_COST)
+
+
+def _passed(name: str, keys: list[str]):
+    """Start value of each entry: the end value of the one before it within ``keys``."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, *keys):
+            state, starts = int(table["start"][0].as_py()), []
+            for ends in _ends(table):
+                starts.append(state)
+                state = int(ends[state])
+            yield pa.RecordBatch.from_arrays(
+                [table["table_name"].combine_chunks(), table[name].combine_chunks(), pa.array(starts, pa.int32())],
+                names=["table_name", name, "start"])
+
+    return passed
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Steps after which the cost falls back to zero, walking each piece from its start value."""
-    here, state = None, 0
-    for batch in batches:
-        due = []
-        for table, piece, start, kind, price in _columns(batch, "table_name", "piece", "start", "transformation_type",
-                                                         "cost"):
-            if (table, piece) != here:
-                here, state = (table, piece), start
-            state = _after(state, kind, price)
-            due.append(state == 0)
-        yield batch.select(["table_name", "transformation_id"]).filter(pa.array(due, pa.bool_()))
-
-
-def _columns(batch: pa.RecordBatch, *names: str):
-    return zip(*[batch.column(name).to_pylist() for name in names])
+    """Steps after which the cost falls back to zero, following only these from each piece's start value."""
+    for table in _whole(batches, "table_name", "piece"):
+        due = _Costs(table).resets(int(table["start"][0].as_py()))
+        yield from table.select(["table_name", "transformation_id"]).take(pa.array(due, pa.int64())).to_batches()
