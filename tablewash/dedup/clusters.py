@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -35,13 +35,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _star_rounds(links: DataFrame) -> DataFrame:
-    state = _fingerprint(links)
-    while True:
+    while not _are_stars(links):
         links = checkpoint(_small_star(_large_star(links)))
-        now = _fingerprint(links)
-        if now == state:
-            return links
-        state = now
+    return links
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour, which has none itself; so a last round that changes nothing is spared."""
+    count, ids = links.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+    return count == ids and links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,17 +69,16 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
     return (both.where("b > a").join(lowest, "a")
-            .select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+            .select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    lowest = links.groupBy("a").agg(F.min("b").alias("low"))
-    linked = links.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return linked.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct()
-
-
-def _fingerprint(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    """Smaller neighbours of an id and the id itself go to the smallest; an id has few of them, at most one per task
+    that contracted links."""
+    low = F.min("b").over(Window.partitionBy("a"))
+    linked = links.withColumn("low", low)
+    ends = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+    return linked.select(F.inline(ends)).where("a <> b").distinct()
 
 
 def find_clusters(df: DataFrame, id_column: str, exact: Sequence[str] = (), ignore: Sequence[str] = (),
