@@ -18,6 +18,8 @@ from .tokens import in_pieces, row_of, split_words
 FIT_ROWS = 12_000
 # Features a model holds at most.
 FEATURES = 6_000
+# Log-likelihood ratio of a stem and the label from which the stem is taken for more than chance.
+GAIN = 5.0
 # A feature is "the stem occurs at least so often".
 LEVELS = (1, 2, 4)
 # Stems are whole words and their beginnings of these lengths.
@@ -137,8 +139,8 @@ class ToxicityModel:
 def fit_toxicity(labelled: DataFrame, features: int = FEATURES, fairness: float = 4.0) -> ToxicityModel:
     """Learn from ``labelled(text, toxic)``, a bounded number of rows with ``toxic`` 0 or 1.
 
-    Stems are chosen by how well their presence tells the two labels apart (log-likelihood ratio), all
-    mentions of groups that occur are kept besides. The weights minimise the logistic loss plus a
+    Stems are chosen by how well their presence tells the two labels apart (log-likelihood ratio, at least ``GAIN``,
+    so that few rows teach few words), all mentions of groups that occur are kept besides. The weights minimise the logistic loss plus a
     ridge plus ``fairness`` times the squared change of the score between a text and its
     counterfactuals, the same text with mentions of groups swapped. Without rows of both labels the score is
     the share of toxic rows, or 0 if there are no rows.
@@ -154,7 +156,7 @@ def fit_toxicity(labelled: DataFrame, features: int = FEATURES, fairness: float
     sums = sums.where((F.col("n0") + F.col("n1") >= 3) | F.col("stem").isin(list(GROUP_OF)))
     gain = F.greatest(*[_ratio(F.col(f"n{2 * i}"), F.col(f"n{2 * i + 1}"), toxic, rows - toxic)
                         for i in range(len(LEVELS))])
-    best = sums.select("stem", gain.alias("gain")).orderBy(F.desc("gain"), "stem").limit(features)
+    best = sums.select("stem", gain.alias("gain")).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "stem").limit(features)
     stems = [r.stem for r in best.collect()]
     stems += [r.stem for r in sums.where(F.col("stem").isin(list(GROUP_OF))).select("stem").collect()
               if r.stem not in set(stems)]
