@@ -36,6 +36,8 @@ HELD_BACK = 0.5
 # A context that occurs more often than the first is cut into parts; the second bounds how many contexts that are.
 HOT = 50_000
 MOST_HOT = 20_000
+# Sums of logarithms travel as whole multiples of this part of one, which is less to send than all their bits.
+FINE = float(1 << 32)
 # Numbers of tokens that are no words.
 END, BEGIN, UNKNOWN = -1, -2, -3
 
@@ -235,7 +237,7 @@ class Katz:
             score = start.astype(float)
             for blob in frame["blob"][~known]:
                 row, part, rare_row, rare, times, late_row, late, late_times, own, *sums = _unpack(blob)
-                score += np.bincount(row, part, minlength=len(score))
+                score += np.bincount(row, part / FINE, minlength=len(score))
                 score += np.bincount(rare_row, times * logs[rare], minlength=len(score))
                 if len(late):
                     weight = np.log10(_left(sums, factors))
@@ -429,7 +431,7 @@ def _shard_bigrams(frame: pd.DataFrame, unigrams: Unigrams, hot: int) -> list[tu
         late = count[gram] == 0
         used, late_place = np.unique(owner[gram[late]], return_inverse=True)
         out.append(("sums", int(piece), _pack(
-            some, total[some], pair // 8, pair % 8, np.bincount(place, times[rare], minlength=len(pair)).astype(np.int64),
+            some, np.rint(total[some] * FINE).astype(np.int64), pair // 8, pair % 8, np.bincount(place, times[rare], minlength=len(pair)).astype(np.int64),
             doc[late], late_place, times[late], names[used], *[s[used] for s in sums])))
     return out
 

@@ -23,7 +23,7 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return starts, flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
 
 
-def in_pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def in_pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``size`` bytes of ``column``, but at least one row each."""
     for batch in batches:
         if not batch.num_rows:
