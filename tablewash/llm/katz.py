@@ -154,7 +154,8 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 class Katz:
     """A bigram model of the rows of ``documents(doc_id, text, held_out)`` that are not held out, and scores of all rows.
 
-    Tokens are words, lower-cased by A-Z, and one end for each text; a null text has the end only. Counts are
+    Tokens are words, lower-cased by A-Z, and one end for each text; a null text has the end only. Every row is scored,
+    also rows that repeat or have a null id; without training rows all words are unknown and score 0. Counts are
     gathered from all training rows. The documents are read twice and must be dealt alike both times, as files and
     checkpoints are; this is checked. ``words`` and ``bigrams`` hold the model's tables, dealt by shard, in
     the checkpoint folder: counts of words, of bigrams, and backoff weights.

@@ -237,7 +237,8 @@ def repeated_paragraphs(documents: DataFrame, similarity: float = SIMILARITY, le
     similarity of their sets of ``shingle``-word shingles reaches ``similarity``; links make components.
     Returns ``doc_id, paragraph`` (from 0), ``start, length`` (characters), ``n_words``, the place of the
     component's first paragraph as ``first_doc_id, first_paragraph`` (by doc_id, nulls first, then paragraph),
-    ``copies`` (its paragraphs), and ``removed``, true for all but the first.
+    ``copies`` (its paragraphs), and ``removed``, true for all but the first. Null and blank texts have no paragraphs; rows
+    that repeat a ``doc_id`` repeat its paragraphs.
 
     Equal paragraphs are one row with a count before anything is compared. Colliding sets are named by their members, so
     that a set met in many bands is verified once, and large ones are cut into pairs of tiles. Texts are
