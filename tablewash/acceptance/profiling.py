@@ -150,6 +150,15 @@ def page_sorted(t):
     return profile.page(t.orders, 100, 50, "o_totalprice", tiebreak=["o_orderkey"])
 
 
+@query("page_deep", """
+    SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 100 OFFSET (SELECT count(*) * 3 // 4 FROM lineitem)""")
+def page_deep(t):
+    """A page beyond most of the rows."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return profile.page(rows, rows.count() * 3 // 4, 100, "l_extendedprice", tiebreak=["l_orderkey", "l_linenumber"])
+
+
 @query("page_descending_nulls_first", """
     SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS p FROM orders
     ORDER BY p DESC NULLS FIRST, o_orderkey LIMIT 50 OFFSET 20""")

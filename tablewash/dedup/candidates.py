@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions.ordering import with_neighbours
 from ..functions.text import float_text
+from ..session import checkpoint
 from ..types import AttrTypeError, InvalidValueError, col, is_date, is_integer, type_of
+from .segments import segment_keys
 
 # Signatures per tile, on average.
 TILE = 1024
@@ -26,12 +28,16 @@ CELL = ["block", "kind", "row_tile", "col_tile", "side"]
 
 @dataclass
 class Candidates:
-    """Signatures ``(keys, _s0.., sid, copies)``; the compared columns; the index to pair them by."""
+    """Signatures ``(keys, _s0.., sid, copies)``; the compared columns; the index to pair them by.
+
+    With ``similarity`` only pairs are wanted that reach it in at least one column.
+    """
 
     signatures: DataFrame
     keys: list[str]
     columns: list[str]
     index: str
+    similarity: float | None = None
 
     @property
     def texts(self) -> list[str]:
@@ -97,6 +103,10 @@ def cells(found: Candidates) -> DataFrame:
     signatures = found.signatures
     if found.index == "full":
         block, size = signatures.agg(F.min("sid"), F.count(F.lit(1))).first()
+        if found.similarity is not None:
+            met = _segment_cells(found, size or 0)
+            if met is not None:
+                return met
         members = signatures.withColumns({"block": F.lit(block).cast("long"), "size": F.lit(size)})
         places = _own(_tiles("size"))
     else:
@@ -113,6 +123,30 @@ def cells(found: Candidates) -> DataFrame:
             .select("cell.*", "sid", "copies", *found.texts))
 
 
+def _segment_cells(found: Candidates, size: int) -> DataFrame | None:
+    """Cells of records that share a key of segments, or None if these hold more pairs than the whole table has.
+
+    Pairs may meet more than once, which makes no difference to the links between records.
+    """
+    keyed = checkpoint(segment_keys(found.signatures, found.texts, found.similarity))
+    blocks_ = (keyed.groupBy("block").agg(F.count_if(F.col("side") == 0).alias("row_size"),
+                                          F.count_if(F.col("side") == 1).alias("col_size"),
+                                          F.min("sid").alias("first"), F.max("sid").alias("last"))
+               .where("row_size > 0 AND col_size > 0 AND first < last").select("block", "row_size", "col_size"))
+    blocks_ = checkpoint(blocks_)
+    pairs = blocks_.agg(F.sum(F.col("row_size").cast("double") * F.col("col_size"))).first()[0] or 0.0
+    if pairs > size * (size - 1) / 2:
+        return None
+    row_side = F.col("side") == 0
+    own = F.pmod(F.xxhash64("sid"), F.when(row_side, _tiles("row_size")).otherwise(_tiles("col_size"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(row_side, _tiles("col_size")).otherwise(_tiles("row_size")) - 1)
+    place = F.transform(others, lambda other: _cell(
+        "block", 1, F.when(row_side, own).otherwise(other), F.when(row_side, other).otherwise(own), F.col("side")))
+    return (keyed.join(blocks_, "block").select("sid", F.explode(place).alias("cell"))
+            .join(found.signatures.select("sid", "copies", *found.texts), "sid")
+            .select("cell.*", "sid", "copies", *found.texts))
+
+
 def _tiles(size: str) -> Column:
     return F.ceil(F.col(size) / TILE).cast("int")
 

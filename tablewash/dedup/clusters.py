@@ -94,6 +94,8 @@ def find_clusters(df: DataFrame, id_column: str, exact: Sequence[str] = (), igno
         decision = two_means(similarity_vectors(found))
     else:
         decision = threshold_decision(len(found.columns), threshold)
+        # A mean that reaches the threshold has a column that does.
+        found.similarity = decision.bound
     labels = connected_components(matched_edges(found, decision))
     # Clusters are read several times afterwards: to review, to decide, to remove.
     return checkpoint(_row_clusters(df, id_column, exact, found, labels))

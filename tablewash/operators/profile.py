@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import page_rows
 from ..functions.trees import by_edges
 from ..types import InvalidValueError, col, is_numeric, number, type_of
 
@@ -180,11 +181,11 @@ def page(df: DataFrame, offset: int, limit: int, on_column: str | None = None, a
     NULL sorts above every value: last when ascending, first when descending. ``tiebreak`` columns
     make the page deterministic.
     """
-    if on_column is not None:
-        type_of(df, on_column)
-        first = F.asc_nulls_last if ascending else F.desc_nulls_first
-        df = df.orderBy(first(col(on_column)), *[F.asc_nulls_last(col(c)) for c in tiebreak or []])
-    return df.offset(offset).limit(limit)
+    if on_column is None:
+        return df.offset(offset).limit(limit)
+    type_of(df, on_column)
+    first = F.asc_nulls_last if ascending else F.desc_nulls_first
+    return page_rows(df, [first(col(on_column)), *[F.asc_nulls_last(col(c)) for c in tiebreak or []]], offset, limit)
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewash.dedup import candidates as cand
 from tablewash.dedup import clusters as link
-from tablewash.dedup import matching
+from tablewash.dedup import matching, segments
 from tablewash.functions.similarity import Codebook, damerau_levenshtein
 from tablewash.types import AttrTypeError, InvalidValueError
 
@@ -159,6 +159,52 @@ def test_hot_block_of_different_records(spark, monkeypatch):
     assert clusters.count() == 300 and clusters.agg(F.max("cluster_id")).first()[0] == 0
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9, 1.0])
+def test_similar_texts_share_a_key(similarity):
+    rand = random.Random(21)
+    met = 0
+    for _ in range(3000):
+        text = "".join(rand.choice("abc") for _ in range(rand.randrange(1, 14)))
+        other = list(text)
+        for _ in range(rand.randrange(4)):
+            at, move = rand.randrange(len(other) + 1), rand.randrange(4)
+            if move == 0:
+                other.insert(at, rand.choice("abc"))
+            elif move == 1 and at < len(other) > 1:
+                other.pop(at)
+            elif at + 1 < len(other):
+                other[at:at + 2] = [other[at + 1], other[at]]
+            elif at < len(other):
+                other[at] = rand.choice("abc")
+        short, long_ = sorted((text, "".join(other)), key=len)
+        if 1 - distance(short, long_) / len(long_) >= similarity - 1e-9:
+            assert segments.shorter_keys(short, similarity) & segments.longer_keys(long_, similarity)
+            met += 1
+    assert met > 200
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_segments_give_the_links_of_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(cand, "TILE", tile)
+    rand = random.Random(5)
+    names = ["".join(rand.choice("abcdefgh") for _ in range(rand.randrange(6, 16))) for _ in range(60)]
+    rows = []
+    for n in range(200):
+        name = list(rand.choice(names))
+        if rand.random() < 0.5:
+            at = rand.randrange(len(name) - 1)
+            name[at], name[at + 1] = name[at + 1], name[at]
+        rows.append((n, "".join(name) if rand.random() < 0.95 else None, f"city{rand.randrange(90)}"))
+    df = spark.createDataFrame(rows, "id long, name string, city string")
+    used = []
+    whole = cand._segment_cells
+    monkeypatch.setattr(cand, "_segment_cells", lambda *a: used.append(whole(*a)) or used[-1])
+    got = rows_of(link.find_clusters(df, "id", threshold=0.85))
+    assert used[0] is not None
+    monkeypatch.setattr(cand, "_segment_cells", lambda *a: None)
+    assert got == rows_of(link.find_clusters(df, "id", threshold=0.85)) and got
+
+
 def test_long_texts_against_short_form(monkeypatch):
     from tablewash.functions import similarity as sim
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablewash.functions import ordering
 from tablewash.operators import profile
 from tablewash.types import column_types
 
@@ -69,6 +70,18 @@ def test_greedy_histogram(viewer, spark):
         assert [r["frequency"] for r in profile.histogram(df, "v", bins, "greedy").collect()] == walk(values, bins)
 
 
+def test_deep_pages(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "NEAR_ROWS", 0)
+    rand = random.Random(4)
+    rows = [(n, rand.choice([None, rand.randrange(40)])) for n in range(500)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(6)
+    for ascending in (True, False):
+        want = sorted(rows, key=lambda r: ((r[1] is None) == ascending, (r[1] or 0) * (1 if ascending else -1), r[0]))
+        for offset, limit in ((0, 10), (123, 50), (490, 50), (499, 1), (500, 5), (0, 500)):
+            got = profile.page(df, offset, limit, "v", ascending, ["id"])
+            assert [tuple(r) for r in got.collect()] == want[offset:offset + limit] and got.columns == df.columns
+
+
 def test_pages(statistics):
     def names(df):
         return [r["string"] for r in df.collect()]
