@@ -103,14 +103,14 @@ DOCUMENT_KEYS = ["lang", "source"]
 
 
 @query("dedup_documents", f"""
-    WITH RECURSIVE c AS (SELECT *, n_chars // 400 AS size FROM documents),
+    WITH RECURSIVE c AS (SELECT *, n_chars // 100 AS size FROM documents),
     matches AS (SELECT a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b
       ON a.lang = b.lang AND a.source = b.source AND a.size = b.size AND a.doc_id < b.doc_id
       WHERE {_similar('a.text', 'b.text')} >= 0.7 - 1e-9), {COMPONENTS}
     SELECT p_partkey AS doc_id, cluster_id FROM clusters""")
 def dedup_documents(t):
     """Whole texts of thousands of characters, compared within blocks of one language, source and size."""
-    rows = t.documents.withColumn("size", F.expr("n_chars div 400"))
+    rows = t.documents.withColumn("size", F.expr("n_chars div 100"))
     keys = [*DOCUMENT_KEYS, "size"]
     return link.find_clusters(rows, "doc_id", keys, ignore=[*keys, "n_chars"], threshold=0.7)
 
