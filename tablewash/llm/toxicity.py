@@ -106,7 +106,7 @@ def _counts(texts: pa.Array, numbers: dict[str, int] | None, step: int = 0) -> t
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_pieces(batches, "text", 4 << 20):
+    for batch in in_pieces(batches, "text", 2 << 20):
         row, stem, times, names = _counts(batch["text"], None)
         toxic = batch["toxic"].to_numpy(zero_copy_only=False)[row].astype(bool)
         sums = np.array([np.bincount(stem[(times >= level) & (toxic == side)], minlength=len(names))
@@ -145,7 +145,6 @@ def fit_toxicity(labelled: DataFrame, features: int = FEATURES, fairness: float
     counterfactuals, the same text with mentions of groups swapped. Without rows of both labels the score is
     the share of toxic rows, or 0 if there are no rows.
     """
-    # The batch size bounds what the driver and each task hold of one batch of long texts.
     labelled = checkpoint(labelled.select("text", F.col("toxic").cast("int").alias("toxic")))
     rows, toxic = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < rows:
@@ -267,7 +266,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, column: str = "sc
     schema = documents.drop(column).schema.add(column, "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, "text"):
+        for batch in in_pieces(batches, "text", 4 << 20):
             yield batch.append_column(column, pa.array(model.score(batch["text"]), pa.float64()))
 
     return documents.drop(column).mapInArrow(scored, schema)
