@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows a search looks at to learn about all rows; a fixed bound.
@@ -49,7 +49,7 @@ def same_width(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (one, other))
 
 
-def with_bytes(vectors: DataFrame, numbers: Callable[[np.ndarray], np.ndarray], *more: Column) -> DataFrame:
+def with_bytes(vectors: DataFrame, numbers: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """``vectors`` with ``numbers`` of each embedding as bytes in ``raw``, beside ``vec_id``."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
