@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dedup.clusters import connected_components
@@ -55,17 +55,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` with the 64 bits as a signed number; a null text has no words. One pass, no shuffle."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, mark: Column | None = None) -> DataFrame:
+    """``(doc_id, fp)`` with the 64 bits as a signed number; a null text has no words. One pass, no shuffle.
+
+    ``mark``, a text made of the row, is carried along.
+    """
+    carried = [] if mark is None else ["mark"]
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, "text", 4 << 20):
             texts = pc.fill_null(batch["text"].cast(pa.large_binary()), b"").to_pylist()
             found = np.array([fingerprint(text, shingle) for text in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(found.view(np.int64))],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(found.view(np.int64)),
+                                              *[batch[name] for name in carried]], names=["doc_id", "fp", *carried])
 
-    return documents.select("doc_id", "text").mapInArrow(computed, "doc_id long, fp long")
+    read = documents.select("doc_id", "text", *([] if mark is None else [mark.alias("mark")]))
+    return read.mapInArrow(computed, "doc_id long, fp long" + (", mark string" if carried else ""))
 
 
 def _keys(fp, radius: int, blocks: int) -> list:
@@ -256,6 +261,14 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _labelled(first: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``(fp, first, label)``: the distinct fingerprints with the label of their component."""
+    links = near_links(first.select("fp"), radius, blocks)
+    labels = checkpoint(connected_components(links)).withColumnRenamed("id", "fp")
+    return (first.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+            .select("fp", "first", "label"))
+
+
 def near_copies(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``documents``.
 
@@ -265,29 +278,30 @@ def near_copies(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     component a name unless all of them are null.
     """
     marked = checkpoint(fingerprints(documents, shingle))
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = near_links(first.select("fp"), radius, blocks)
-    labels = checkpoint(connected_components(links)).withColumnRenamed("id", "fp")
-    named = (first.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-             .select("fp", "first", "label"))
+    named = _labelled(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), radius, blocks)
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     component = named.join(lowest, "label").select("fp", "component_id")
     return (marked.join(component, "fp")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def drop_near_copies(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with one row of each component: the smallest ``doc_id``, and of rows that repeat it one.
+def drop_near_copies(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
+                     blocks: int = BLOCKS) -> DataFrame:
+    """``documents`` with one row of each component: the least by ``doc_id`` (nulls last), fingerprint and md5 of the text.
 
-    Only ids are shuffled to find what stays, texts at most once.
+    Ids need not be unique: components that share an id, or have none, keep a row each. Of rows equal in id and text the
+    least by the other columns stays. Only ids and marks are shuffled to find what stays, texts at most once.
     """
-    found = near_copies(documents, **options)
-    stay = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_stay")).distinct())
+    # The fingerprint follows from the text, so that id and md5 name the rows that may stay.
+    mark = lambda number, text: F.concat_ws(
+        " ", F.coalesce(number.cast("long").cast("string"), F.lit("-")), F.coalesce(F.md5(text), F.lit("-")))
+    marked = checkpoint(fingerprints(documents, shingle, mark(F.col("doc_id"), F.col("text"))))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "mark")
+    named = _labelled(marked.groupBy("fp").agg(F.min(place).alias("first")), radius, blocks)
+    stay = named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.mark").alias("mark"))
     # Columns of the documents travel inside one, so that none clashes with those used here.
     plain = [F.col(f"row.`{name}`") for name, kind in documents.dtypes
              if name not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
-    order = Window.partitionBy("id").orderBy(F.md5(F.coalesce(F.col("row.text"), F.lit(""))), *plain)
-    return (documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-            .join(stay, F.col("id").eqNullSafe(F.col("_stay"))).withColumn("n", F.row_number().over(order))
-            .where("n = 1").select("row.*"))
+    return (documents.select(F.struct("*").alias("row"))
+            .withColumn("mark", mark(F.col("row.doc_id"), F.col("row.text"))).join(stay, "mark")
+            .groupBy("mark").agg(F.min_by("row", F.struct(F.lit(0), *plain)).alias("row")).select("row.*"))

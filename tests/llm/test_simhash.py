@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import helpers
@@ -106,3 +107,20 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 5, 7, 9, None]
     empty = documents.limit(0)
     assert simhash.near_copies(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
+
+
+def test_components_that_share_an_id_keep_a_row_each(spark):
+    one, other, third = (helpers.sentence(n, 200) for n in (901, 902, 903))
+    rows = [(None, one), (None, other), (None, other), (3, third), (7, third), (7, helpers.sentence(904, 200)), (8, ""), (8, None)]
+    documents = helpers.clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    label = plain_components([(d, plain_fingerprint(t)) for d, t in rows])
+    assert len({label[0], label[1], label[3], label[5], label[6]}) == 5
+    want = {}
+    for (doc, text), name in zip(rows, label):
+        mark = "" if text is None else hashlib.md5(text.encode()).hexdigest()
+        fp = plain_fingerprint(text)
+        row = ((doc is None, doc or 0, fp - (1 << 64) if fp >> 63 else fp, mark), doc, text)
+        want[name] = min(row, want.get(name, row), key=lambda r: r[0])
+    got = simhash.drop_near_copies(documents)
+    assert got.columns == documents.columns
+    assert helpers.rows(got.select("doc_id", "text")) == sorted((r[1:] for r in want.values()), key=repr)
