@@ -16,6 +16,8 @@ from .tokens import in_pieces
 ROUNDS = 8
 # Signs that are permuted together; longer texts are cut into blocks.
 BLOCK = 32
+# Fewest digits of a card number.
+CARD_LEAST = 13
 
 
 class Feistel:
@@ -59,10 +61,22 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _card_ok(digits: str) -> bool:
+    return luhn(digits) and len(set(digits)) > 1
+
+
 def _iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+# Signs of an IBAN, by country.
+IBAN_LENGTHS = {country: int(length) for length, countries in (part.split(":") for part in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,DZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
+    for country in countries.split(",")}
+
+
 def _into(shape: str, signs: str) -> str:
     """``shape`` with its letters and digits replaced by ``signs`` in turn."""
     rest = iter(signs)
@@ -88,7 +102,7 @@ class Pseudonyms:
         r"|(?P<phone>(?<![\w+(.])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}"
         r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-]|\.\d))"
         r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-        r"|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-]))"
+        r"|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d)|(?![\w-])))"
         r"|(?P<date>(?<![\w/.-])\d{1,2}(?P<mark>[/.-])\d{1,2}(?P=mark)\d{4}(?![\w/-]|\.\d))"
         r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
         r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))")
@@ -124,11 +138,18 @@ class Pseudonyms:
 
     def card(self, text: str) -> str | None:
         digits = "".join(c for c in text if c in _DIGITS)
-        if not luhn(digits) or len(set(digits)) == 1:
+        if not _card_ok(digits):
             return None
-        # Any digits but the last have exactly one last digit that makes the sum right.
+        # Any digits but the last have exactly one last digit that makes the sum right. Beginnings that would pass as
+        # cards themselves stay so and others do not become so, whatever the separators: `back` ends where this ended.
         body = len(digits) - 1
-        new = self._permute("card", 10 ** body, int(digits[:-1]), lambda v: len(set(f"{v:0{body}d}")) > 1)
+        shorter = [(n, _card_ok(digits[:n])) for n in range(CARD_LEAST, len(digits))]
+
+        def valid(value: int) -> bool:
+            head = f"{value:0{body}d}"
+            return len(set(head)) > 1 and all(_card_ok(head[:n]) == was for n, was in shorter)
+
+        new = self._permute("card", 10 ** body, int(digits[:-1]), valid)
         head = f"{new:0{body}d}"
         return _into(text, head + next(d for d in _DIGITS if luhn(head + d)))
 
@@ -215,16 +236,48 @@ class Pseudonyms:
         """The text with pseudonyms, and the kinds found, in order."""
         found: list[str] = []
 
-        def new(match: re.Match) -> str:
+        out, done, at = [], 0, 0
+        while (match := self.FIND.search(text, at)) is not None:
             kind = match.lastgroup if match.lastgroup not in ("value", "mark") else \
                 "secret" if match["secret"] is not None else "date"
-            out = self.secret(match[0], match["value"]) if kind == "secret" else getattr(self, kind)(match[0])
-            if out is None:
-                return match[0]
-            found.append("date" if kind == "iso" else kind)
-            return out
-
-        return self.FIND.sub(new, text), found
+            for whole in self._endings(kind, match[0]):
+                new = self.secret(whole, match["value"]) if kind == "secret" else getattr(self, kind)(whole)
+                if new is not None:
+                    out += [text[done:match.start()], new]
+                    at = done = match.start() + len(whole)
+                    found.append("date" if kind == "iso" else kind)
+                    break
+            else:
+                at = match.start() + self._passed(kind, match[0])
+        return "".join(out) + text[done:], found
+
+    @classmethod
+    def _passed(cls, kind: str, text: str) -> int:
+        """How much of a match that failed is passed over: what begins at a later blank of it can still be valid.
+
+        The digits of what is as long as an IBAN of its country are its own.
+        """
+        if kind == "iban" and (size := IBAN_LENGTHS.get(text[:2])) is not None:
+            first = cls._endings(kind, text)[0]
+            if len(first.replace(" ", "")) == size:
+                return len(first)
+        return text.find(" ") + 1 or len(text)
+
+    @staticmethod
+    def _endings(kind: str, text: str) -> list[str]:
+        """The beginnings of a match, up to a separator, that are tried in turn: words and numbers may follow a number.
+
+        Those of a card shortest first, as ``back`` then ends at the same; but the whole match alone where a short
+        number stands before. Those of an IBAN as long as its country's first, then the longest.
+        """
+        if kind == "card":
+            groups = re.split("[ -]", text)
+            cuts = [at for at, sign in enumerate(text) if sign in " -"] if len(groups[0]) >= 4 else []
+            return [text[:at] for at in cuts if sum(c in _DIGITS for c in text[:at]) >= CARD_LEAST] + [text]
+        if kind == "iban":
+            ends = [text[:at] for at in range(len(text), 0, -1) if at == len(text) or text[at] == " "]
+            return sorted(ends, key=lambda end: len(end.replace(" ", "")) != IBAN_LENGTHS.get(text[:2]))
+        return [text]
 
 
 def _date(year: int, month: int, day: int) -> dt.date | None:
@@ -242,7 +295,7 @@ def pseudonymise(documents: DataFrame, key: str, back: bool = False, kinds: str
 
     Replaced are payment card numbers (Luhn sum), IBANs (check digits), US social security numbers, telephone
     numbers, IPv4 addresses, calendar dates from 1900 to 2099, local parts of email addresses and labelled hexadecimal
-    secrets. What does not pass its check stays. A value has one pseudonym under a key, whatever its
+    secrets. A number may be followed by words or other numbers. What does not pass its check stays. A value has one pseudonym under a key, whatever its
     separators, so that equal values stay linked across documents; the key holder can turn it ``back``.
     ``kinds`` names a column of the kinds found in order, or is None. Null texts stay null.
     One pass, no shuffle; a clashing column is replaced.

@@ -65,6 +65,36 @@ def test_what_fails_its_check_stays(text):
     assert pii.Pseudonyms(KEY).replace(text) == (text, [])
 
 
+@pytest.mark.parametrize("kind, value, before, after", [
+    ("card", "4111111111111111", "", " 12/25"), ("card", "4111 1111 1111 1111", "", " 123"),
+    ("card", "4111-1111-1111-1111", "", "-12"), ("card", "4111111111111111", "12 ", ""),
+    ("card", "4111 1111 1111 1111", "AB12 ", " 5500005555555559"), ("card", "378282246310005", "", " 1234 5678"),
+    ("iban", "BE68539007547034", "", " EUR"), ("iban", "BE68 5390 0754 7034", "", " BANK"),
+    ("iban", "DE89 3704 0044 0532 0130 00", "", " EUR 100"), ("date", "2024-03-05", "", "T10:00:00Z"),
+    ("date", "2024-03-05", "", " 10:00")])
+def test_numbers_are_found_before_and_after_others(kind, value, before, after):
+    forth, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True)
+    text = f"paid {before}{value}{after} today"
+    new, found = forth.replace(text)
+    assert found[0] == kind and new.startswith(f"paid {before}") and value not in new
+    alone = forth.replace(value)[0]
+    assert alone != value and new.startswith(f"paid {before}{alone}")
+    assert len(found) > 1 or new == f"paid {before}{alone}{after} today"
+    assert back.replace(new)[0] == text
+
+
+def test_cards_with_numbers_after_them_go_back():
+    forth, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True)
+    rng = random.Random(7)
+    for _ in range(300):
+        head = str(rng.randrange(10 ** 14, 10 ** rng.choice([15, 16, 18])))
+        card = head + next(d for d in "0123456789" if pii.luhn(head + d))
+        shaped = " ".join(card[n:n + 4] for n in range(0, len(card), 4)) if rng.random() < 0.5 else card
+        text = f"{shaped} {rng.randrange(1000)}"
+        new, found = forth.replace(text)
+        assert found == ["card"] and back.replace(new) == (text, ["card"])
+
+
 def test_dates_are_permuted_within_their_format():
     forth, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True)
     rng = random.Random(1)
