@@ -119,34 +119,21 @@ def _paragraph_table(documents: DataFrame, least: int, shingle: int, bands: int,
         listed, "doc_id long, paragraph long, start long, length long, n_words long, key long, bands array<long>")
 
 
-def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted ``(band, key)`` rows to sets of two or more keys, cut into pairs of tiles; equal sets get one name."""
-    rest = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    for batch in batches:
-        band = np.concatenate([rest[0], batch["band"].to_numpy()])
-        key = np.concatenate([rest[1], batch["key"].to_numpy()])
-        cut = int(np.searchsorted(band, band[-1])) if len(band) else 0
-        if cut:
-            yield _sets(band[:cut], key[:cut])
-        rest = band[cut:], key[cut:]
-    if len(rest[0]):
-        yield _sets(*rest)
-
-
-def _sets(band: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    begins = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-    size = np.diff(np.append(begins, len(band)))
-    name = np.add.reduceat(_scramble(key.view(np.uint64)), begins) + size.astype(np.uint64)
-    many = np.repeat(size, size)
-    place = np.arange(len(band)) - np.repeat(begins, size)
-    keep = many > 1
-    tiles = -(-many[keep] // TILE)
-    own = np.repeat(place[keep] // TILE, tiles)
-    other = np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(np.repeat(name, size)[keep], tiles).view(np.int64)), pa.array(np.minimum(own, other)),
-         pa.array(np.maximum(own, other)), pa.array(np.repeat(key[keep], tiles))],
-        names=["name", "tile", "other", "key"])
+def _sets(banded: DataFrame) -> DataFrame:
+    """``(name, tiles, key)``: sets of two or more keys with one band value; equal sets get one name and are one."""
+    many = (banded.groupBy("band").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("key")).alias("mixed"))
+            .where(F.col("many") > 1)
+            .select("band", F.xxhash64("mixed", "many").alias("name"), F.ceil(F.col("many") / TILE).cast("int").alias("tiles")))
+    return banded.join(many, "band").select("name", "tiles", "key").distinct()
+
+
+def _dealt(sets: DataFrame) -> DataFrame:
+    """Rows of sets with the pairs of tiles they are compared in; a key's tile follows from the key, so no task holds a set."""
+    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1),
+                        lambda n: F.struct(F.least(own, n).alias("tile"), F.greatest(own, n).alias("other")))
+    return (sets.withColumn("pair", F.explode(pairs)).select("*", "pair.*").drop("pair", "tiles")
+            .repartition("name", "tile", "other").sortWithinPartitions("name", "tile", "other"))
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -250,13 +237,10 @@ def repeated_paragraphs(documents: DataFrame, similarity: float = SIMILARITY, le
     distinct = checkpoint(listed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"),
                                                     F.min("bands").alias("bands")))
     banded = distinct.select("key", F.explode("bands").alias("band"))
-    sets = (banded.repartition("band").sortWithinPartitions("band", "key")
-            .mapInArrow(_colliding, "name long, tile long, other long, key long").distinct())
-    sets = checkpoint(sets)
+    sets = checkpoint(_sets(banded))
     shingles = _wanted_shingles(documents, distinct.select("key", "first.doc_id"), sets.select("key").distinct(),
                                 least, shingle)
-    links = (sets.join(shingles, "key").repartition("name", "tile", "other")
-             .sortWithinPartitions("name", "tile", "other")
+    links = (_dealt(sets.join(shingles, "key")).select("name", "tile", "other", "key", "shingles")
              .mapInArrow(_verified(similarity), "a long, b long"))
     labels = connected_components(links).withColumnRenamed("id", "key")
     named = (distinct.select("key", "first", "copies").join(labels, "key", "left")

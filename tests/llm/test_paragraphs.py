@@ -110,3 +110,16 @@ def test_exact_similarity():
     want = {(i, j) for i in range(60) for j in range(i + 1, 60)
             if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
     assert got == want
+
+
+def test_no_task_holds_a_large_set(spark, monkeypatch):
+    monkeypatch.setattr(paragraphs, "TILE", 16)
+    rows = [(key, band) for key in range(400) for band in (1, 2)] + [(900, 3), (901, 3), (902, 4)]
+    sets = paragraphs._sets(spark.createDataFrame(rows, "key long, band long"))
+    assert sets.count() == 402
+    groups = collections.defaultdict(set)
+    for r in paragraphs._dealt(sets).collect():
+        groups[r.name, r.tile, r.other].add(r.key)
+    assert max(map(len, groups.values())) < 100 and len(groups) > 300
+    met = {(a, b) for keys in groups.values() for a in keys for b in keys if a < b}
+    assert met == {(a, b) for a in range(400) for b in range(a + 1, 400)} | {(900, 901)}
