@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dedup.clusters import connected_components
 from ..session import checkpoint
+from .passages import repeated_runs
 from .simhash import forest
 from .tokens import in_pieces, row_of, split_words
 
@@ -255,6 +256,18 @@ def repeated_paragraphs(documents: DataFrame, similarity: float = SIMILARITY, le
                     F.col("first.paragraph").alias("first_paragraph"), "copies", (~same).alias("removed")))
 
 
+def repeated_passages(documents: DataFrame, **options) -> DataFrame:
+    """``repeated_paragraphs``, and the runs of 50 and more words that repeat across documents in other lines.
+
+    A run may be part of a longer line or go over several lines, short ones included; it has ``paragraph`` and
+    ``first_paragraph`` null. Runs inside repeated paragraphs are not given again.
+    """
+    lines = checkpoint(repeated_paragraphs(documents, **options))
+    none = F.lit(None).cast("long")
+    runs = repeated_runs(documents, lines.select("doc_id", "start", "length"))
+    return lines.unionByName(runs.drop("first_start").withColumns({"paragraph": none, "first_paragraph": none}))
+
+
 def drop_repeated(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with repeated paragraphs taken out of ``text``, their first occurrence excepted.
 

@@ -105,4 +105,4 @@ def op9_katz(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query()
 def op8_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(_table(spark, folder, "documents"))
+    return paragraphs.repeated_passages(_table(spark, folder, "documents"))

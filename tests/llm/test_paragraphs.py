@@ -123,3 +123,46 @@ def test_no_task_holds_a_large_set(spark, monkeypatch):
     assert max(map(len, groups.values())) < 100 and len(groups) > 300
     met = {(a, b) for keys in groups.values() for a in keys for b in keys if a < b}
     assert met == {(a, b) for a in range(400) for b in range(a + 1, 400)} | {(900, 901)}
+
+
+def test_runs_in_longer_lines_and_short_lines(spark):
+    passage, wrapped, brief = (helpers.sentence(n, 60, 5000).split() for n in (801, 802, 803))
+    around = lambda n, words: helpers.sentence(820 + n, words, 5000)
+    rows = [(1, f"{around(1, 80)} {' '.join(passage)} {around(2, 70)}"), (2, f"é {' '.join(passage).upper()} {around(3, 90)}"),
+            (3, " ".join(passage)), (4, "\n".join(" ".join(wrapped[n:n + 9]) for n in range(0, 60, 9))),
+            (None, around(4, 30) + "\n" + "\n".join(" ".join(wrapped[n:n + 13]) for n in range(0, 60, 13))),
+            (6, f"{around(5, 60)} {' '.join(brief[:49])} {around(6, 60)}"), (7, f"{around(7, 60)} {' '.join(brief[:49])} x"),
+            (8, " ".join(["again"] * 200)), (9, None), (10, around(8, 55)), (11, around(8, 55))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = paragraphs.repeated_passages(documents).collect()
+    texts = dict(rows)
+    runs = {r.doc_id: r for r in got if r.paragraph is None}
+    assert len(got) == 7 and runs.keys() == {1, 2, 3, 4, None}
+    for doc, words in ((1, passage), (2, passage), (3, passage), (4, wrapped), (None, wrapped)):
+        r = runs[doc]
+        assert texts[doc][r.start:r.start + r.length].lower().split() == words and r.n_words == 60
+        assert r.first_doc_id == (1 if words is passage else None) and r.removed == (doc not in (1, None))
+        assert r.copies == (3 if words is passage else 2)
+
+
+def test_runs_against_brute_force(spark):
+    rng = random.Random(12)
+    source = helpers.sentence(840, 400, 5000).split()
+    rows = []
+    for n in range(40):
+        words = helpers.sentence(850 + n, 150, 5000).split()
+        begin, size = rng.randrange(300), rng.randrange(35, 100)
+        words[rng.randrange(150):0] = source[begin:begin + size]
+        rows.append((n, "".join(w + rng.choice([" "] * 9 + ["\n"]) for w in words)))
+    held = collections.defaultdict(set)
+    for doc, text in rows:
+        words = text.split()
+        for k in range(len(words) - 49):
+            held[tuple(words[k:k + 50])].add(doc)
+    want = {(doc, k + n) for doc, text in rows for words in [text.split()] for k in range(len(words) - 49)
+            if len(held[tuple(words[k:k + 50])]) > 1 for n in range(50)}
+    texts, got = dict(rows), set()
+    for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        before = len(texts[r.doc_id][:r.start].split())
+        got |= {(r.doc_id, before + n) for n in range(r.n_words)}
+    assert want <= got and len(want) > 500
