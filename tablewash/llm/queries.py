@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, crosspolytope, katz, language, mixing, packing, paragraphs, pii, simhash, toxicity
+from . import (covertree, crosspolytope, filter_audit, katz, language, mixing, packing, paragraphs, pii, simhash,
+               token_counts, toxicity, whitening)
 
+# Longer documents don't fit into one context.
+TOKEN_LIMIT = 4096
 # A score from here on counts as toxic.
 TOXIC_FROM = 0.3
 # The key of pseudonyms made by the registered queries; a user gives a secret one.
@@ -106,3 +109,21 @@ def op9_katz(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op8_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs.repeated_passages(_table(spark, folder, "documents"))
+
+
+@_query(filter_audit.ORACLE)
+def op11_filteraudit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_cells(_table(spark, folder, "documents"), _table(spark, folder, "labels")))
+
+
+@_query()
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+@_query()
+def op13_tokencounts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"),
+                                        limit=TOKEN_LIMIT, keep_steps=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+                          "chars_within")
