@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from .tokens import in_pieces
 
 # The sign that stands for a blank inside pieces.
 BLANK = "▁"
-# Prefixes of words that a task remembers, and the longest word whose prefixes it remembers.
-REMEMBERED = 400_000
+# Words that a task remembers, and the longest of them.
+REMEMBERED = 1_000_000
 WORD = 32
 # Characters of a text that are split into words at a time.
 BLOCK = 1 << 20
@@ -47,18 +48,30 @@ class PrefixCounter:
             raise ValueError("prefixes can be counted only for models with byte fallback and no unused pieces")
         self.scores = {processor.id_to_piece(n): processor.get_score(n) for n in numbers
                        if not (processor.is_byte(n) or processor.is_control(n) or processor.is_unknown(n))}
-        longest: dict[str, int] = {}
+        # Lengths that a last piece can have, by the last three signs, short ones first: these are the likely ones.
+        sizes: dict[str, set[int]] = {}
         for piece in self.scores:
-            longest[piece[-1]] = max(longest.get(piece[-1], 1), len(piece))
-        self.longest = longest
+            if len(piece) > 2:
+                sizes.setdefault(piece[-3:], {1, 2}).add(len(piece))
+        self.sizes = {ending: tuple(sorted(found)) for ending, found in sizes.items()}
         if any(BLANK in piece.lstrip(BLANK) for piece in self.scores):
             raise ValueError("prefixes can be counted only for models whose pieces don't reach over blanks")
+        self.words = re.compile(self._word_pattern())
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.steps_of: dict[str, bytes] = {}
+
+    def _word_pattern(self) -> str:
+        """What can be counted apart: no piece reaches over two signs that stand side by side in none.
+
+        A word ends before a blank, before a sign of punctuation that follows a letter in no piece, and at line breaks.
+        """
+        beside = {piece[n:n + 2] for piece in self.scores for n in range(len(piece) - 1)}
         known = set("".join(self.scores))
         alone = "".join(c for c in "\n\t\r" if c not in known)
-        self.words = re.compile(f"{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+" + (f"|[{alone}]+" if alone else ""))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.prefixes: dict[str, tuple] = {"": ("", 0, b"")}
-        self.steps_of: dict[str, bytes | None] = {}
+        after = "".join(c for c in '.,;:!?()"' if not any(pair[1] == c and pair[0].isalnum() for pair in beside))
+        inside = f"[^{BLANK}{alone}{re.escape(after)}]+" + (f"|(?<![^\\W_])[{re.escape(after)}]" if after else "")
+        return (f"{BLANK}+(?:{inside})*|(?:{inside})+" + (f"|[{re.escape(after)}](?:{inside})*" if after else "")
+                + (f"|[{alone}]+" if alone else ""))
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair, the first of equals, as long as there is one."""
@@ -82,59 +95,69 @@ class PrefixCounter:
             self.pairs[one, other] = found
         return found
 
-    def _last(self, text: str, end: int, before: Callable[[int], str]) -> tuple[str, int]:
-        """The last piece of ``text[:end]`` and its cost; ``before(n)`` is the last piece of ``text[:n]``."""
-        sign = text[end - 1]
-        if sign not in self.scores:
-            one = len(sign.encode("utf-8", "surrogatepass"))
-        else:
-            one = 1
-        for start in range(max(0, end - self.longest.get(sign, 1)), end - 1):
-            piece = text[start:end]
-            if piece in self.scores and self._together(before(start), piece):
-                return piece, 1
-        return sign, one
-
-    def _prefix(self, text: str) -> tuple:
-        """``(last piece, tokens, steps)`` of a short word; steps are the changes of the count, a byte each."""
-        found = self.prefixes.get(text)
-        if found is None:
-            shorter = self._prefix(text[:-1])
-            piece, cost = self._last(text, len(text), lambda n: self._prefix(text[:n])[0])
-            tokens = self._prefix(text[:len(text) - len(piece)])[1] + cost
-            found = piece, tokens, shorter[2] + (tokens - shorter[1]).to_bytes(1, "little", signed=True)
-            self.prefixes[text] = found
-        return found
+    def _read_on(self, word: str, lasts: list[str], tokens: list[int]) -> None:
+        """Bring ``lasts`` and ``tokens``, for some prefixes of ``word`` from the empty one on, to its end."""
+        scores, sizes, pairs = self.scores, self.sizes, self.pairs
+        for end in range(len(lasts), len(word) + 1):
+            for size in sizes.get(word[end - 3:end], (1, 2)) if end > 2 else (1, 2):
+                if size > end:
+                    continue
+                piece = word[end - size:end]
+                if piece in scores:
+                    pair = lasts[end - size], piece
+                    together = pairs.get(pair)
+                    if not (self._together(*pair) if together is None else together):
+                        continue
+                    cost = 1
+                elif size == 1:
+                    cost = len(piece.encode("utf-8", "surrogatepass"))
+                else:
+                    continue
+                lasts.append(piece)
+                tokens.append(tokens[end - size] + cost)
+                break
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Remember the changes of the count along short words; in order, each goes on where it leaves the one before."""
+        before, lasts, tokens = "", [""], [0]
+        for word in sorted(words):
+            same = min(len(before), len(word))
+            while not word.startswith(before[:same]):
+                same -= 1
+            del lasts[same + 1:], tokens[same + 1:]
+            self._read_on(word, lasts, tokens)
+            self.steps_of[word] = bytes([(b - a) & 255 for a, b in zip(tokens, tokens[1:])])
+            before = word
 
     def _long_word(self, word: str) -> np.ndarray:
-        last, tokens = [""] * (len(word) + 1), np.zeros(len(word) + 1, dtype=np.int64)
-        for end in range(1, len(word) + 1):
-            piece, cost = self._last(word, end, last.__getitem__)
-            last[end] = piece
-            tokens[end] = tokens[end - len(piece)] + cost
-        return np.diff(tokens)
-
-    def _steps(self, word: str) -> bytes | None:
-        """The changes of the count along a word, a byte each; none if one of them needs more."""
-        if len(word) <= WORD:
-            if len(self.prefixes) > REMEMBERED:
-                self.prefixes = {"": ("", 0, b"")}
-            return self._prefix(word)[2]
-        steps = self._long_word(word)
-        return steps.astype("<i1").tobytes() if len(steps) and np.abs(steps).max() < 128 else None
-
-    def _block(self, text: str, words: list[str]) -> np.ndarray:
+        lasts, tokens = [""], [0]
+        self._read_on(word, lasts, tokens)
+        return np.diff(np.array(tokens, dtype=np.int64))
+
+    def _block(self, words: list[str]) -> np.ndarray:
         known = self.steps_of
-        for word in {word for word in words if word not in known}:
-            if len(word) <= WORD:
-                known[word] = self._steps(word)
-        rows = [known[word] if word in known else self._steps(word) for word in words]
-        if None in rows:
-            return np.concatenate([np.frombuffer(row, "<i1").astype(np.int64) if row is not None
-                                   else self._long_word(word) for row, word in zip(rows, words)])
-        if len(known) > REMEMBERED:
+        rows = list(map(known.get, words))
+        if None not in rows:
+            return np.frombuffer(b"".join(rows), "<i1")
+        return np.concatenate([np.frombuffer(row, "<i1") if row is not None else self._long_word(word)
+                               for row, word in zip(rows, words)])
+
+    def _words(self, text: str) -> list[str]:
+        words = self.words.findall(text)
+        new = set(words).difference(self.steps_of)
+        self._learn(word for word in new if len(word) <= WORD)
+        return words
+
+    def many_steps(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """``steps`` of each text; what short texts have in common is learnt together."""
+        short = [self.words.findall(BLANK + text.replace(" ", BLANK)) if 0 < len(text) < BLOCK else None
+                 for text in texts]
+        new = set(chain.from_iterable(words for words in short if words)).difference(self.steps_of)
+        self._learn(word for word in new if len(word) <= WORD)
+        for text, words in zip(texts, short):
+            yield self.steps(text) if words is None else self._without_blank(self._block(words))
+        if len(self.steps_of) > REMEMBERED:
             self.steps_of = {}
-        return np.frombuffer(b"".join(rows), "<i1")
 
     def steps(self, text: str) -> np.ndarray:
         """For each character by how much the count of tokens changes from the prefix before it to the one with it."""
@@ -147,9 +170,14 @@ class PrefixCounter:
             cut = re.compile(f"[^{BLANK}]{BLANK}").search(text, end) if end < len(text) else None
             end = cut.start() + 1 if cut else len(text)
             block = text if not start and end == len(text) else text[start:end]
-            found.append(self._block(block, self.words.findall(block)))
+            found.append(self._block(self._words(block)))
             start = end
-        steps = np.concatenate(found) if len(found) > 1 else found[0]
+            if len(self.steps_of) > REMEMBERED:
+                self.steps_of = {}
+        return self._without_blank(np.concatenate(found) if len(found) > 1 else found[0])
+
+    @staticmethod
+    def _without_blank(steps: np.ndarray) -> np.ndarray:
         first = int(steps[0]) + int(steps[1])  # the blank put before a text
         result = steps[1:].astype("<i1" if -128 <= first < 128 and steps.itemsize == 1 else "<i4")
         result[0] = first
@@ -189,10 +217,9 @@ def count_tokens(documents: DataFrame, model: str, limit: int | None = None, kee
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(definition)
-        for batch in in_pieces(batches, "text"):
+        for batch in in_pieces(batches, "text", 4 << 20):
             totals, raws, within = [], [], []
-            for text in batch["text"].to_pylist():
-                steps = counter.steps(text or "")
+            for steps in counter.many_steps([text or "" for text in batch["text"].to_pylist()]):
                 total = int(steps.sum(dtype=np.int64))
                 totals.append(total)
                 if keep_steps:
