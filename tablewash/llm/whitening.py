@@ -60,6 +60,8 @@ def refine(matrix: np.ndarray, vectors: np.ndarray, rounds: int = 30) -> tuple[n
         if change <= 8 * unit or (change >= best and change < 1e-12):
             break
         best = min(best, change)
+    # What quotients of close values left of angles between vectors.
+    x = x + x @ (one - x.T @ x) / 2
     x = x / np.sqrt((x * x).sum(axis=0))
     values = np.einsum("ij,ij->j", x, a @ x)
     order = np.argsort(-values, kind="stable")

@@ -81,7 +81,8 @@ def test_little_to_whiten(spark):
     assert sum(r["whitened"] ** 2 for r in line if r["component"] == 1) == pytest.approx(5)
     assert all(r["explained"] == pytest.approx(float(r["component"] == 1)) for r in line)
     huge = run([(1, [3e38, 1.0]), (2, [-3e38, 2.0]), (3, [0.0, 3.0])])
-    assert len(huge) == 6 and all(r["deviation"] is None for r in huge)
+    assert len(huge) == 6 and {r["vec_id"]: r["deviation"] for r in huge} == {
+        1: None, 2: None, 3: 1 + (3 * 768 - 6 * 256) ** 2}
     wide = run([(n, [1e6 * n, float(n)]) for n in range(40)])
     assert {r["vec_id"]: r["deviation"] for r in wide if r["component"] == 1} == {
         n: sum((40 * x - 39 * 20 * y) ** 2 for x, y in ((256 * 10 ** 6 * n, 256 * 10 ** 6), (256 * n, 256)))
