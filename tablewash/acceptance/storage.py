@@ -4,6 +4,7 @@ import io
 import zipfile
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
@@ -70,7 +71,7 @@ def dataset_export_dump(t):
     dataset.apply("part", Step(h.DELETE_ROWS, "", {"clauses": ["p_size", "<=", "40"]}))
     folder = scratch_folder(t.spark)
     dataset.export_dump(folder)
-    return dump.read_sql_dump(t.spark, f"{folder}/part/*", statement_end=";\n")["part"]
+    return dump.read_sql_dump(t.spark, f"{folder}/part/*")["part"]
 
 
 @query("dataset_drop", "SELECT * FROM part")
@@ -113,6 +114,54 @@ def dataset_insert_select(t):
     return dataset.table("customer").select("c_custkey", "c_mktsegment")
 
 
+@query("dataset_two_tables", """
+    SELECT 'customer' AS name, c_custkey AS id, round(c_acctbal * 2, 2) AS balance FROM customer WHERE c_acctbal > 0
+    UNION ALL SELECT 'customer', s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0
+    UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier WHERE s_acctbal >= 0""")
+def dataset_two_tables(t):
+    """One script over two tables, after one that fails at its second table and leaves both as they were."""
+    dataset = Dataset(t.spark, scratch_folder(t.spark))
+    dataset.add("customer", t.customer)
+    dataset.add("supplier", t.supplier)
+    try:
+        dataset.execute("DELETE FROM supplier; UPDATE customer SET c_acctbal = CAST(c_name AS DOUBLE)")
+    except Exception as failure:
+        if "CAST_INVALID_INPUT" not in str(failure):
+            raise
+    dataset.execute("""DELETE FROM customer WHERE c_acctbal <= 0; UPDATE customer SET c_acctbal = round(c_acctbal * 2, 2);
+        INSERT INTO customer (c_custkey, c_acctbal) SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0;
+        DELETE FROM supplier WHERE s_acctbal < 0""")
+    return (dataset.table("customer").select(F.lit("customer").alias("name"), F.col("c_custkey").alias("id"),
+                                             F.col("c_acctbal").alias("balance"))
+            .unionByName(dataset.table("supplier").select(F.lit("supplier").alias("name"), F.col("s_suppkey").alias("id"),
+                                                          F.col("s_acctbal").alias("balance"))))
+
+
+@query("sql_dump_foreign", """
+    SELECT doc_id, text || '; -- it''s (not) a comment' AS text, lang FROM documents""")
+def sql_dump_foreign(t):
+    """A dump as other programs write it: many rows in one INSERT, texts with semicolons, quotes, brackets and line breaks."""
+    folder = scratch_folder(t.spark)
+    text = F.concat("text", F.lit("; -- it's (not) a comment"))
+
+    def quoted(value):
+        return F.coalesce(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
+
+    rows = F.concat(F.lit("("), F.concat_ws(", ", F.coalesce(F.col("doc_id").cast("string"), F.lit("NULL")), quoted(text),
+                                            quoted(F.col("lang"))), F.lit(")"))
+    part = t.documents.select(rows.alias("value"), F.spark_partition_id().alias("part"))
+    # Every part of the table becomes a file that holds one statement: its beginning, its rows, its end.
+    first, last = Window.partitionBy("part").orderBy("place"), F.count(F.lit(1)).over(Window.partitionBy("part"))
+    numbered = (part.withColumn("place", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(first))
+                .withColumn("size", last))
+    begin = F.when(F.col("n") == 1, "/* it's a part; */ INSERT INTO docs VALUES ").otherwise("  ")
+    end = F.when(F.col("n") == F.col("size"), ";").otherwise(",")
+    numbered.sortWithinPartitions("part", "n").select(F.concat(begin, "value", end)).write.text(f"{folder}/rows")
+    t.spark.createDataFrame([("-- the table's columns;\nCREATE TABLE docs (doc_id BIGINT, text TEXT, lang TEXT);",)],
+                            "value string").coalesce(1).write.text(f"{folder}/schema")
+    return dump.read_sql_dump(t.spark, f"{folder}/*")["docs"]
+
+
 @query("csv_null_roundtrip", """
     SELECT c_custkey::VARCHAR AS c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer""")
 def csv_null_roundtrip(t):
@@ -136,7 +185,7 @@ def csv_typed_roundtrip(t):
 def csv_texts_roundtrip(t):
     folder = f"{scratch_folder(t.spark)}/documents"
     csv.write_csv(t.documents.select("doc_id", "text", "lang"), folder)
-    return csv.read_csv_typed(t.spark, folder, multiline=True)
+    return csv.read_csv_typed(t.spark, folder)
 
 
 @query("sql_dump_rows", """
@@ -153,7 +202,7 @@ def sql_dump_roundtrip(t):
     folder = f"{scratch_folder(t.spark)}/orders"
     note = F.concat("o_orderpriority", F.lit("'s")).alias("note")
     dump.write_sql_dump(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice", note), folder, "orders")
-    return dump.read_sql_dump(t.spark, f"{folder}/*", statement_end=";\n")["orders"]
+    return dump.read_sql_dump(t.spark, f"{folder}/*")["orders"]
 
 
 @query("dataset_copy", "SELECT * FROM part")

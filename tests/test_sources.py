@@ -1,3 +1,5 @@
+import csv as python_csv
+import random
 import zipfile
 
 import pytest
@@ -119,9 +121,13 @@ def test_dump_details(spark, tmp_path):
         read_file(spark, write(tmp_path, "none.sql", "INSERT INTO x VALUES (1);"))
     with pytest.raises(DumpInconsistencyError):
         read_file(spark, write(tmp_path, "odd.sql", "CREATE TABLE x;"))
-    cut = read_file(spark, write(tmp_path, "cut.sql", "CREATE TABLE x (a TEXT); INSERT INTO x VALUES ('a;b');"))
-    with pytest.raises(Exception, match="cannot read statement"):
-        cut["x"].collect()
+    semicolon = read_file(spark, write(tmp_path, "cut.sql", "CREATE TABLE x (a TEXT); INSERT INTO x VALUES ('a;b');"))
+    assert rows(semicolon["x"]) == [("a;b",)]
+    with pytest.raises(DumpInconsistencyError):
+        read_file(spark, write(tmp_path, "open.sql", "CREATE TABLE x (a TEXT); INSERT INTO x VALUES ('a;b);"))
+    wide = read_file(spark, write(tmp_path, "wide.sql", "CREATE TABLE x (a TEXT); INSERT INTO x VALUES ('a', 'b');"))
+    with pytest.raises(Exception, match="cannot read row"):
+        wide["x"].collect()
 
 
 def test_dump_roundtrip(spark, tmp_path):
@@ -130,7 +136,7 @@ def test_dump_roundtrip(spark, tmp_path):
     df = df.withColumn("d", F.to_date(F.lit("2020-01-02")))
     folder = str(tmp_path / "out")
     dump.write_sql_dump(df, folder, "t")
-    back = dump.read_sql_dump(spark, f"{folder}/*", statement_end=";\n")["t"]
+    back = dump.read_sql_dump(spark, f"{folder}/*")["t"]
     assert back.dtypes == df.dtypes and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
@@ -206,7 +212,7 @@ def test_exports(spark, companies, tmp_path):
     assert csv.read_csv_raw(spark, str(tmp_path / "csv/edited/t")).count() == 14
     assert csv.read_csv_raw(spark, str(tmp_path / "csv/original/t")).count() == 16
     data.export_dump(str(tmp_path / "dump"))
-    assert dump.read_sql_dump(spark, f"{tmp_path}/dump/t/*", ";\n")["t"].count() == 14
+    assert dump.read_sql_dump(spark, f"{tmp_path}/dump/t/*")["t"].count() == 14
 
 
 def test_raw_csv_fails_on_uneven_rows_whatever_is_read(spark, tmp_path):
@@ -216,3 +222,85 @@ def test_raw_csv_fails_on_uneven_rows_whatever_is_read(spark, tmp_path):
     for look in (lambda: df.collect(), lambda: df.select("b").collect(), lambda: df.count()):
         with pytest.raises(Exception, match="MALFORMED"):
             look()
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut every few hundred bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "300")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def odd_text(rng, signs, size):
+    return "".join(rng.choice(signs) for _ in range(rng.randrange(size)))
+
+
+def test_foreign_dump_in_small_ranges(spark, tmp_path, small_ranges):
+    rng = random.Random(4)
+    signs = list("ab;()',\"\n\r\\ ") + ["--", "/*", "*/", "''", "VALUES (", ");", "INSERT INTO t VALUES (9, 'x');", "é"]
+    want, parts = [], ["-- it's a dump; of (t\n/* ; ' ( */ SET x = 'y;';\nCREATE TABLE t (n INT, \"b\" TEXT, c TEXT);\n"]
+    number = 0
+    for statement in range(12):
+        named = statement % 3 == 1
+        rows_here = []
+        for _ in range(rng.choice([1, 3, 25])):
+            b, c = (None if rng.random() < 0.1 else odd_text(rng, signs, 40) for _ in range(2))
+            if number % 40 == 7:
+                b = odd_text(rng, signs, 1500)  # over several ranges
+            want.append((number, b, c))
+            quoted = ["NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in (b, c)]
+            if c is not None and number % 5 == 2:
+                quoted[1] = "E'" + c.replace("\\", "\\\\").replace("'", rng.choice(["''", "\\'"])).replace("\n", "\\n") + "'"
+            cells = [quoted[1], str(number), quoted[0]] if named else [str(number), *quoted]
+            rows_here.append("(" + " , ".join(cells) + ")")
+            number += 1
+        parts.append('INSERT INTO "t"' + (' (c, n, "b")' if named else "") + " VALUES " + ",\n  ".join(rows_here)
+                     + rng.choice(["", " ON CONFLICT DO NOTHING", " -- it's done\n"]) + ";\n")
+        parts.append(rng.choice(["", "-- don't; (\n", "/* it's ( */", "INSERT INTO other VALUES ('t;', (1));", "SELECT ';';"]))
+    path = write(tmp_path, "foreign.sql", "")
+    with open(path, "w", newline="") as file:
+        file.write("".join(parts))
+    table = read_file(spark, path)["t"]
+    assert spark.read.text(path).rdd.getNumPartitions() > 20
+    assert sorted(rows(table)) == sorted(want)
+
+
+def test_typed_csv_in_small_ranges(spark, tmp_path, small_ranges):
+    rng = random.Random(5)
+    signs = list('ab,";\n') + ["\n\n", '"",', ' "', "é", "\r\n"]
+    want = [(n, rng.randrange(1000) / 8, odd_text(rng, signs, 1200 if n % 30 == 3 else 30) + "x", n % 3 == 0) for n in range(200)]
+    for number, ending in enumerate(("\n", "\r\n")):
+        path = str(tmp_path / f"texts{number}.csv")
+        with open(path, "w", newline="") as file:
+            out = python_csv.writer(file, lineterminator=ending)
+            out.writerow(["n", "x", "note", "t"])
+            out.writerows([(n, x, note, str(t).lower()) for n, x, note, t in want])
+        df = csv.read_csv_typed(spark, path)
+        assert dict(df.dtypes) == {"n": "int", "x": "double", "note": "string", "t": "boolean"}
+        assert sorted(rows(df)) == want
+        assert csv.read_csv_typed(spark, path, header=False).count() == 201
+
+
+def test_csv_line_ends():
+    for line, ends in (("a,b", (False, True)), ('"a', (True, False)), ('a,"b', (True, False)), ('"a""b",c', (False, False)),
+                       ('a"b,c', (False, False)), ('"a","b', (True, True)), ('""', (False, True)), ("", (False, True)),
+                       ('"a"x"b,"', (True, True)), ('x",y', (False, False)), (',"""', (True, False))):
+        assert (csv.line_end(line, False), csv.line_end(line, True)) == ends, line
+
+
+def test_types_of_columns(spark, tmp_path):
+    lines = ["i,l,d,f,e,b,day,at,when,mix,none,q", "1,5000000000,12345678901234567890,1.5,1e3,TRUE,1/2/2020,2020-01-02,"
+             "2020-01-02T00:00:00Z,1,,x", "-2,3,7,.5,-2,false,12/31/2020,2020-01-03 04:05:06,2020-01-03T00:00:00Z,x,,",
+             "+3,4,8,7,NaN,True,2/28/2021,NULL,2020-01-04T00:00:00Z,2020-01-01,,1"]
+    df = csv.read_csv_typed(spark, write(tmp_path, "kinds.csv", "\n".join(lines)))
+    assert dict(df.dtypes) == {"i": "int", "l": "bigint", "d": "decimal(20,0)", "f": "double", "e": "double", "b": "boolean",
+                               "day": "date", "at": "timestamp_ntz", "when": "date", "mix": "string", "none": "string",
+                               "q": "string"}
+    assert [r["i"] for r in df.collect()] == [1, -2, 3] and df.where("at is null").count() == 1
+    with pytest.raises(InvalidValueError, match="does not end"):
+        csv.read_csv_typed(spark, write(tmp_path, "open.csv", 'a,b\n1,"x\n2,y\n'))
