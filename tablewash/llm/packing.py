@@ -76,15 +76,16 @@ def encoder(definition: str) -> Callable[[list[str]], list]:
 class _Windows:
     """A fixed number of open windows; pieces are collected as rows."""
 
-    def __init__(self, part: int, window: int, count: int, keep_ids: bool):
+    def __init__(self, part: int, window: int, count: int, keep_ids: bool, names_from: int = 0):
         self.part, self.window, self.count, self.keep_ids = part, window, count, keep_ids
+        self.names_from = names_from
         self.open: list[tuple[int, list]] = []  # free tokens and pieces
         self.made = 0
         self.rows: list[tuple] = []
 
     def close(self, pieces: list, left: bool = False) -> None:
         at = 0
-        name = (self.part << 32) | self.made
+        name = self.names_from + ((self.part << 32) | self.made)
         self.made += 1
         for doc, start, ids, total in pieces:
             raw = ids.tobytes()
@@ -166,7 +167,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, open_window
         tries += 1
         last = parts <= FAN_IN
         left = checkpoint(left.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
-                          .groupBy("part").applyInPandas(_merge(window, tries << 56, last, keep_ids), PIECES))
+                          .groupBy("part").applyInArrow(_merge(window, tries << 56, last, keep_ids), PIECES))
         result.append(left.where("not left").select(names))
         if last:
             break
@@ -178,15 +179,13 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, open_window
 
 
 def _merge(window: int, names_from: int, last: bool, keep_ids: bool):
-    def merged(frame):
-        frame = frame.sort_values(["sequence_id", "offset"])
-        windows = _Windows(int(frame["part"].iloc[0]), window, 1, keep_ids)
-        windows.made = 0
+    def merged(table: pa.Table) -> pa.Table:
+        # Ids stay Arrow numbers and Python's: pandas would turn them into floats where one is null.
+        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        windows = _Windows(table["part"][0].as_py(), window, 1, keep_ids, names_from)
         room, pieces = window, []
-        queue = [(None if np.isnan(doc) else int(doc), int(start), np.frombuffer(ids, dtype="<u4"), int(total))
-                 for doc, start, ids, total in zip(frame["doc_id"].astype(float) if frame["doc_id"].isna().any()
-                                                   else frame["doc_id"], frame["start"], frame["ids"],
-                                                   frame["doc_tokens"])]
+        queue = [(doc, start, np.frombuffer(ids, dtype="<u4"), total) for doc, start, ids, total in zip(
+            *[table[name].to_pylist() for name in ("doc_id", "start", "ids", "doc_tokens")])]
         size_left = sum(len(ids) for _, _, ids, _ in queue)
         room = _next_size(window, size_left, last)
         for doc, start, ids, total in queue:
@@ -199,10 +198,7 @@ def _merge(window: int, names_from: int, last: bool, keep_ids: bool):
                     pieces, room = [], _next_size(window, size_left, last)
         if pieces:
             windows.close(pieces, left=True)
-        batch = windows.batch().to_pandas()
-        batch["sequence_id"] += names_from
-        batch["doc_id"] = batch["doc_id"].astype("Int64")
-        return batch
+        return pa.Table.from_batches([windows.batch()])
 
     return merged
 

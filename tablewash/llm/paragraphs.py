@@ -111,13 +111,15 @@ def _paragraph_table(documents: DataFrame, least: int, shingle: int, bands: int,
         for batch in in_pieces(batches, "text", 8 << 20):
             found = _Paragraphs(batch["text"].to_pylist(), least, shingle)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(found.document)), pa.array(found.number), pa.array(found.start),
+                [batch["doc_id"].take(pa.array(found.document)), batch["text_hash"].take(pa.array(found.document)),
+                 pa.array(found.number), pa.array(found.start),
                  pa.array(found.length), pa.array(found.words), pa.array(found.key),
                  pa.array(list(found.bands(bands, rows)), pa.list_(pa.int64()))],
-                names=["doc_id", "paragraph", "start", "length", "n_words", "key", "bands"])
+                names=["doc_id", "text_hash", "paragraph", "start", "length", "n_words", "key", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        listed, "doc_id long, paragraph long, start long, length long, n_words long, key long, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+                            "text").mapInArrow(
+        listed, "doc_id long, text_hash long, paragraph long, start long, length long, n_words long, key long, bands array<long>")
 
 
 def _sets(banded: DataFrame) -> DataFrame:
@@ -226,15 +228,22 @@ def repeated_paragraphs(documents: DataFrame, similarity: float = SIMILARITY, le
     Returns ``doc_id, paragraph`` (from 0), ``start, length`` (characters), ``n_words``, the place of the
     component's first paragraph as ``first_doc_id, first_paragraph`` (by doc_id, nulls first, then paragraph),
     ``copies`` (its paragraphs), and ``removed``, true for all but the first. Null and blank texts have no paragraphs; rows
-    that repeat a ``doc_id`` repeat its paragraphs.
+    that repeat a ``doc_id`` and its text repeat its paragraphs, other texts with the same id, null included, are
+    documents of their own.
 
     Equal paragraphs are one row with a count before anything is compared. Colliding sets are named by their members, so
     that a set met in many bands is verified once, and large ones are cut into pairs of tiles. Texts are
     fetched again only for paragraphs that collide. Keys are 64-bit hashes.
     """
+    return _repeated(documents, similarity, least, shingle).drop("text_hash")
+
+
+def _repeated(documents: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS,
+              shingle: int = SHINGLE) -> DataFrame:
+    """``repeated_paragraphs`` with a hash of the text beside the id."""
     bands, rows = tune_bands(similarity)
     listed = checkpoint(_paragraph_table(documents, least, shingle, bands, rows))
-    place = F.struct("doc_id", "paragraph")
+    place = F.struct("doc_id", "paragraph", "text_hash")
     distinct = checkpoint(listed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"),
                                                     F.min("bands").alias("bands")))
     banded = distinct.select("key", F.explode("bands").alias("band"))
@@ -250,10 +259,10 @@ def repeated_paragraphs(documents: DataFrame, similarity: float = SIMILARITY, le
                   .where(F.col("copies") > 1))
     repeated = named.select("key", "label").join(components, "label").select("key", "first", "copies")
     same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-            & (F.col("paragraph") == F.col("first.paragraph")))
+            & (F.col("paragraph") == F.col("first.paragraph")) & (F.col("text_hash") == F.col("first.text_hash")))
     return (listed.drop("bands").join(repeated, "key")
             .select("doc_id", "paragraph", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"),
-                    F.col("first.paragraph").alias("first_paragraph"), "copies", (~same).alias("removed")))
+                    F.col("first.paragraph").alias("first_paragraph"), "copies", (~same).alias("removed"), "text_hash"))
 
 
 def repeated_passages(documents: DataFrame, **options) -> DataFrame:
@@ -262,23 +271,25 @@ def repeated_passages(documents: DataFrame, **options) -> DataFrame:
     A run may be part of a longer line or go over several lines, short ones included; it has ``paragraph`` and
     ``first_paragraph`` null. Runs inside repeated paragraphs are not given again.
     """
-    lines = checkpoint(repeated_paragraphs(documents, **options))
+    lines = checkpoint(_repeated(documents, **options))
     none = F.lit(None).cast("long")
-    runs = repeated_runs(documents, lines.select("doc_id", "start", "length"))
-    return lines.unionByName(runs.drop("first_start").withColumns({"paragraph": none, "first_paragraph": none}))
+    runs = repeated_runs(documents, lines.select("doc_id", "text_hash", "start", "length"))
+    return lines.drop("text_hash").unionByName(
+        runs.drop("first_place").withColumns({"paragraph": none, "first_paragraph": none}))
 
 
 def drop_repeated(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with repeated paragraphs taken out of ``text``, their first occurrence excepted.
 
-    A text keeps its other lines as they are; a null text stays null. Rows that repeat a ``doc_id``
+    A text keeps its other lines as they are; a null text stays null. Rows that repeat a ``doc_id`` and its text
     lose the same lines.
     """
-    gone = (repeated_paragraphs(documents, **options).where("removed").groupBy("doc_id")
-            .agg(F.collect_set(F.col("paragraph").cast("int")).alias("_gone")).withColumnRenamed("doc_id", "_doc"))
+    gone = (_repeated(documents, **options).where("removed").groupBy("doc_id", "text_hash")
+            .agg(F.collect_set(F.col("paragraph").cast("int")).alias("_gone"))
+            .withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"}))
     lines = F.filter(F.split("row.text", "\n", -1), lambda line, n: ~F.array_contains("_gone", n))
     text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
     # Columns of the documents travel inside one, so that none clashes with those used here.
     return (documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"))
-            .join(gone, F.col("_id").eqNullSafe(F.col("_doc")), "left")
+            .join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("row.text") == F.col("_text")), "left")
             .select(F.col("row").withField("text", text).alias("row")).select("row.*"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -19,9 +18,11 @@ from .tokens import in_pieces
 RUN = 50
 # Words of the grams that mark texts; any run of RUN words shares one that is least among RUN - GRAM + 1 neighbours.
 GRAM = 25
+# Bytes of questions about texts that are sent to every task; above, the texts are dealt out.
+SEND_BYTES = 32 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15
-_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def _mixed(numbers: np.ndarray) -> np.ndarray:
@@ -54,104 +55,191 @@ class _Words:
     """Hashes of a text's words; white space and line breaks do not count, A-Z is lower-cased."""
 
     def __init__(self, text: str | None, known: dict[bytes, int]):
-        self.raw = (text or "").encode()
-        found = self.raw.lower().split()
+        found = (text or "").encode().lower().split()
         if len(known) > 1_000_000:
             known.clear()
-        for word in set(found):
-            if word not in known:
-                known[word] = xxhash.xxh64_intdigest(word)
-        self.hashes = np.array([known[word] for word in found], dtype=np.uint64)
-        self.marks = _least(_grams(self.hashes, GRAM), RUN - GRAM + 1) if len(found) >= RUN else self.hashes[:0]
-
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of each word in characters."""
-        edges = np.array([m.span() for m in _WORD.finditer(self.raw)], dtype=np.int64).reshape(-1, 2)
-        inside = (np.frombuffer(self.raw, dtype=np.uint8) & 0xC0) != 0x80
-        chars = np.append(0, np.cumsum(inside))
-        return chars[edges[:, 0]], chars[edges[:, 1]]
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word in set(found).difference(known):
+            known[word] = xxhash.xxh64_intdigest(word)
+        self.hashes = np.array(list(map(known.__getitem__, found)), dtype=np.uint64)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(mark, first window, windows, whole)`` of each run of windows with one mark; ``whole`` is a hash of all their words."""
+        if len(self.hashes) < RUN:
+            return (self.hashes[:0],) * 4
+        marks = _least(_grams(self.hashes, GRAM), RUN - GRAM + 1)
+        first = np.append(0, np.flatnonzero(marks[1:] != marks[:-1]) + 1)
+        size = np.diff(np.append(first, len(marks)))
+        # Sums of words weighted by powers of an odd number; dividing by the first power makes them equal at any place.
+        power = np.cumprod(np.append(np.uint64(1), np.full(len(self.hashes) - 1, _FACTOR, dtype=np.uint64)))
+        total = np.append(np.uint64(0), np.cumsum(self.hashes * power))
+        back = np.cumprod(np.append(np.uint64(1), np.full(len(self.hashes) - 1, pow(_FACTOR, -1, 1 << 64), dtype=np.uint64)))
+        whole = _mixed((total[first + size + RUN - 1] - total[first]) * back[first] + size.astype(np.uint64))
+        return marks[first], first, size, whole
+
+    def windows(self, first: int, size: int) -> np.ndarray:
+        """Hashes of the windows of a run."""
+        return _grams(self.hashes[first:first + size + RUN - 1], RUN)
+
+
+def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of a text in characters."""
+    signs = np.frombuffer(text.encode(), dtype=np.uint8)
+    inside = np.concatenate([[False], ~_BLANK[signs], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    chars = np.append(0, np.cumsum((signs & 0xC0) != 0x80))
+    return chars[edges[::2]], chars[edges[1::2]]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     for batch in in_pieces(batches, "text", 4 << 20):
-        held = [np.unique(_Words(text, known).marks) for text in batch["text"].to_pylist()]
-        sizes = np.array([len(marks) for marks in held])
-        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.repeat(np.arange(len(held)), sizes))),
-                                          pa.array(np.concatenate(held).view(np.int64))], names=["doc_id", "mark"])
+        held = [_Words(text, known).anchors() for text in batch["text"].to_pylist()]
+        owner = pa.array(np.repeat(np.arange(len(held)), [len(found[0]) for found in held]))
+        mark, first, size, whole = (np.concatenate([found[n] for found in held]).astype(np.int64) for n in range(4))
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"].take(owner), batch["text_hash"].take(owner), pa.array(mark), pa.array(whole),
+             pa.array(first), pa.array(size.astype(np.int32))],
+            names=["doc_id", "text_hash", "mark", "whole", "at", "size"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of anchors that stand for all that equal them."""
     known: dict[bytes, int] = {}
-    for batch in in_pieces(batches, "text", 4 << 20):
-        for n, (text, marks) in enumerate(zip(batch["text"].to_pylist(), batch["_marks"])):
+    for batch in batches:
+        found: list[np.ndarray] = []
+        marks, wholes, sizes = [], [], []
+        for text, asked in zip(batch["text"].to_pylist(), batch["asked"].to_pylist()):
             words = _Words(text, known)
-            at = np.flatnonzero(np.isin(words.marks.view(np.int64), marks.values.to_numpy()))
-            if len(at):
-                start, end = words.spans()
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(np.full(len(at), n))), pa.array(at),
-                     pa.array(_grams(words.hashes, RUN)[at].view(np.int64)), pa.array(start[at]), pa.array(end[at + RUN - 1])],
-                    names=["doc_id", "at", "window", "start", "end"])
-
-
-def _runs(windows: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-    """Runs of one document: windows one word apart with one place of first occurrence, unless repeated lines hold them."""
-    w = windows.drop_duplicates(["at", "window"]).sort_values("at", kind="stable")
-    at, none, first, place = w["at"].to_numpy(), w["none"].to_numpy(), w["first"].fillna(0).to_numpy(), w["place"].to_numpy()
-    new = np.ones(len(w), dtype=bool)
-    new[1:] = ((np.diff(at) != 1) | (none[1:] != none[:-1]) | (first[1:] != first[:-1]) | (np.diff(place) != 1))
-    begins = np.flatnonzero(new)
-    if not len(begins):
-        return pd.DataFrame(columns=["doc_id", "start", "length", "n_words", "first_doc_id", "first_start", "copies", "removed"])
-    lasts = np.append(begins[1:], len(w)) - 1
-    start, end = w["start"].to_numpy()[begins], w["end"].to_numpy()[lasts]
-    # Neighbouring repeated lines make one span, with the line break between them.
+            for one in asked:
+                found.append(words.windows(one["at"], one["size"]))
+                marks.append(one["mark"])
+                wholes.append(one["whole"])
+                sizes.append(one["size"])
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(marks, sizes)),
+                 pa.array(np.repeat(wholes, sizes)),
+                 pa.array(np.concatenate([np.arange(size, dtype=np.int32) for size in sizes]))],
+                names=["window", "mark", "whole", "step"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of each text: windows one word apart with one place of first occurrence, unless repeated lines hold them."""
+    names = ["doc_id", "start", "length", "n_words", "first_doc_id", "first_place", "copies", "removed"]
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, mine, text, anchors, lines in zip(*[batch[name].to_pylist() for name in (
+                "doc_id", "text_hash", "text", "anchors", "lines")]):
+            # A run is as long as the next window of it follows at the next place of the same first occurrence.
+            runs: list[list] = []
+            for anchor in sorted({one["at"]: one for one in anchors}.values(), key=lambda one: one["at"]):
+                for part in sorted(anchor["parts"], key=lambda one: one["step"]):
+                    at, first = anchor["at"] + part["step"], (part["doc_id"], part["text_hash"])
+                    last = runs[-1] if runs else None
+                    if last and last[1] == at and last[2] == first and last[3] + at - last[0] == part["at"]:
+                        last[1] = at + part["size"]
+                        last[4] = min(last[4], part["copies"])
+                    else:
+                        runs.append([at, at + part["size"], first, part["at"], part["copies"]])
+            if not runs:
+                continue
+            starts, ends = _spans(text)
+            spans = _merged(lines)
+            lows = [span[0] for span in spans]
+            for begin, end, first, place, copies in runs:
+                start, stop = int(starts[begin]), int(ends[end - 2 + RUN])
+                held = bisect_right(lows, start) - 1
+                if held < 0 or stop > spans[held][1]:
+                    rows.append((doc, start, stop - start, end - begin + RUN - 1, first[0], place, copies, first != (doc, mine)))
+        columns = list(zip(*rows)) if rows else [[]] * len(names)
+        kinds = [pa.int64()] * 7 + [pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+
+def _merged(lines: list[dict] | None) -> list[list[int]]:
+    """Neighbouring repeated lines make one span, with the line break between them."""
     spans: list[list[int]] = []
-    for begin, length in sorted(zip(lines["start"], lines["length"])):
-        if spans and begin <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], begin + length + 1)
+    for line in sorted(lines or [], key=lambda one: one["start"]):
+        if spans and line["start"] <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], line["start"] + line["length"] + 1)
         else:
-            spans.append([begin, begin + length + 1])
-    lows, highs = np.array([s[0] for s in spans] + [1 << 62]), np.array([s[1] for s in spans] + [0])
-    held = np.searchsorted(lows, start, "right") - 1
-    kept = ~((held >= 0) & (end <= highs[held]))
-    out = pd.DataFrame({"doc_id": w["doc_id"].to_numpy()[begins], "start": start, "length": end - start,
-                        "n_words": at[lasts] - at[begins] + RUN, "first_doc_id": w["first"].to_numpy()[begins],
-                        "first_start": w["first_start"].to_numpy()[begins],
-                        "copies": np.minimum.reduceat(w["copies"].to_numpy(), begins),
-                        "removed": ~w["own"].to_numpy()[begins].astype(bool)})
-    return out[kept].astype({"doc_id": "Int64", "first_doc_id": "Int64"})
+            spans.append([line["start"], line["start"] + line["length"] + 1])
+    return spans
 
 
 def repeated_runs(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row for each run of at least ``RUN`` words that two ids share word for word, if it is not inside ``lines``.
+    """One row for each run of at least ``RUN`` words that two documents share word for word, if it is not inside ``lines``.
 
-    ``lines`` are the repeated ones, ``doc_id, start, length``. Returns ``doc_id, start, length`` (characters),
-    ``n_words, first_doc_id, first_start`` (the first occurrence by doc_id, nulls first, and place), ``copies``
+    A document is an id with a text: rows that repeat both are one, rows that share only the id, null included, are several.
+    ``lines`` are the repeated ones, ``doc_id, text_hash, start, length``. Returns ``doc_id, start, length``
+    (characters), ``n_words, first_doc_id, first_place`` (the first occurrence, by doc_id, nulls first, and word), ``copies``
     (of the run's rarest window of ``RUN`` words), and ``removed``, false in the document of the first occurrence.
 
     A text is marked by the least of the grams in each window of ``RUN`` words. Equal windows have equal marks, so that
-    no run is missed, and only windows whose mark occurs again are compared, all of them.
+    no run is missed. What travels are anchors, one for all neighbouring windows with one mark, with a hash of all
+    their words. Where all anchors of a mark are equal, so are their windows. Where they differ, one anchor
+    of each kind sends its windows, which then decide for all of its kind. Words become characters at the end.
+    """
+    held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    anchors = checkpoint(held.mapInArrow(
+        _anchors, "doc_id long, text_hash long, mark long, whole long, at long, size int"))
+    marks = (anchors.groupBy("mark").agg(F.count(F.lit(1)).alias("many"), (F.min("whole") != F.max("whole")).alias("unlike"))
+             .where("many > 1").drop("many"))
+    anchors = checkpoint(anchors.join(marks, "mark"))
+    name = F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "text_hash")
+    kinds = (anchors.groupBy("mark", "whole", "unlike")
+             .agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.count(F.lit(1)).alias("copies"),
+                  F.min(name).alias("low"), F.max(name).alias("high"), F.max("size").alias("size")))
+    kinds = checkpoint(kinds.where(F.col("unlike") | ~F.col("low").eqNullSafe(F.col("high"))))
+    alone = kinds.where("not unlike").select("mark", "whole", F.array(F.struct(
+        F.lit(0).alias("step"), F.col("size").cast("long").alias("size"), "first.*", "copies")).alias("parts"))
+    unlike = kinds.where("unlike").drop("unlike")
+    asked = unlike.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")).agg(
+        F.collect_list(F.struct(F.col("first.at").alias("at"), "size", "mark", "whole")).alias("asked"))
+    windows = (_with_texts(held, checkpoint(asked)).select("text", "asked")
+               .mapInArrow(_windows, "window long, mark long, whole long, step int")
+               # Rows that repeat a document send its windows again.
+               .dropDuplicates(["mark", "whole", "step"])
+               .join(unlike.drop("size"), ["mark", "whole"]))
+    windows = checkpoint(windows)
+    at = F.struct("first.doc_id", "first.text_hash", (F.col("first.at") + F.col("step")).alias("at"))
+    shared = (windows.groupBy("window").agg(F.min(at).alias("f"), F.sum("copies").alias("many"), F.min("low").alias("low"),
+                                            F.max("high").alias("high"))
+              .where(~F.col("low").eqNullSafe(F.col("high"))).select("window", "f", "many"))
+    # Windows of one kind that occur first side by side are one part.
+    decided = (windows.select("window", "mark", "whole", "step").join(shared, "window")
+               .groupBy("mark", "whole", "f.doc_id", "f.text_hash", (F.col("f.at") - F.col("step")).alias("shift"))
+               .agg(F.sort_array(F.collect_list("step")).alias("steps"), F.min("many").alias("copies")))
+    one, together = F.col("steps")[0], F.col("steps")[F.size("steps") - 1] - F.col("steps")[0] + 1
+
+    def part(step: Column, size: Column) -> Column:
+        return F.struct(step.alias("step"), size.cast("long").alias("size"), "doc_id", "text_hash",
+                        (F.col("shift") + step).alias("at"), "copies")
+
+    parts = F.when(together == F.size("steps"), F.array(part(one, together))).otherwise(
+        F.transform("steps", lambda step: part(step, F.lit(1))))
+    decided = (decided.withColumn("parts", parts).groupBy("mark", "whole")
+               .agg(F.flatten(F.collect_list("parts")).alias("parts")))
+    found = alone.unionByName(decided)
+    per_text = (anchors.select("doc_id", "text_hash", "mark", "whole", "at").join(found, ["mark", "whole"])
+                .groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+                .agg(F.collect_list(F.struct("at", "parts")).alias("anchors")))
+    spans = (lines.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
+             .agg(F.collect_list(F.struct("start", "length")).alias("lines")))
+    per_text = checkpoint(
+        per_text.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left")
+        .select("_doc", "_hash", "anchors", F.coalesce("lines", F.array().cast(spans.schema["lines"].dataType)).alias("lines")))
+    return (_with_texts(held, per_text).select("doc_id", "text_hash", "text", "anchors", "lines")
+            .mapInArrow(_runs, "doc_id long, start long, length long, n_words long, first_doc_id long, "
+                               "first_place long, copies long, removed boolean"))
+
+
+def _with_texts(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (``_doc, _hash, ...``, written down before) beside the texts they are about.
+
+    Texts move only if what is asked about them is more than ``SEND_BYTES``.
     """
-    held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = checkpoint(held.mapInArrow(_marks, "doc_id long, mark long"))
-    again = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("mark")
-    routed = (marks.join(again, "mark").groupBy(F.col("doc_id").alias("_doc"))
-              .agg(F.collect_set("mark").alias("_marks")))
-    windows = checkpoint(held.join(routed, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", "_marks")
-                         .mapInArrow(_windows, "doc_id long, at long, window long, start long, end long"))
-    there = F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")
-    shared = (windows.groupBy("window")
-              .agg(F.min(F.struct("doc_id", "at", "start")).alias("f"), F.count(F.lit(1)).alias("copies"),
-                   F.min(there).alias("low"), F.max(there).alias("high"))
-              .where(~F.col("low").eqNullSafe(F.col("high"))).drop("low", "high"))
-    found = (windows.join(shared, "window")
-             .select("doc_id", "at", "window", "start", "end", "copies", F.col("f.doc_id").isNull().alias("none"),
-                     F.col("f.doc_id").alias("first"), F.col("f.at").alias("place"), F.col("f.start").alias("first_start"),
-                     F.col("doc_id").eqNullSafe(F.col("f.doc_id")).alias("own"),
-                     F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("name")))
-    named = lines.select("start", "length", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("name"))
-    return (found.groupBy("name").cogroup(named.groupBy("name"))
-            .applyInPandas(_runs, "doc_id long, start long, length long, n_words long, first_doc_id long, "
-                                  "first_start long, copies long, removed boolean"))
+    size = asked.agg(F.sum(F.lit(32) + sum((F.size(name) * width for name, width in (
+        ("asked", 32), ("anchors", 96), ("lines", 16)) if name in asked.columns), F.lit(0)))).first()[0] or 0
+    asked = F.broadcast(asked) if size <= SEND_BYTES else asked
+    return held.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
