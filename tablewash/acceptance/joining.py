@@ -52,6 +52,33 @@ def join_two_columns(t):
     return joins.normal_join(t.lineitem, last, ["l_orderkey", "l_linenumber"], ["k", "n"])
 
 
+# Two of five rows of the line items belong to one order, which exists, and some to orders that do not.
+HOT_ITEMS = """(SELECT CASE WHEN l_orderkey % 5 < 2 THEN 1 WHEN l_orderkey % 17 = 3 THEN -l_orderkey
+  WHEN l_orderkey % 19 <> 4 THEN l_orderkey END AS order_key, l_linenumber, l_partkey FROM lineitem)"""
+
+
+def _hot_items(t):
+    key = F.col("l_orderkey")
+    return t.lineitem.select(F.when(key % 5 < 2, 1).when(key % 17 == 3, -key).when(key % 19 != 4, key).cast("bigint")
+                             .alias("order_key"), "l_linenumber", "l_partkey")
+
+
+@query("join_left_hot", f"""
+    SELECT o_orderkey, o_custkey, order_key, l_linenumber, l_partkey FROM orders LEFT JOIN {HOT_ITEMS}
+      ON o_orderkey = order_key""")
+def join_left_hot(t):
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    return joins.normal_join(orders, _hot_items(t), ["o_orderkey"], ["order_key"], "left", hot_rows=1000)
+
+
+@query("join_full_hot", f"""
+    SELECT o_orderkey, o_custkey, order_key, l_linenumber, l_partkey FROM orders FULL JOIN {HOT_ITEMS}
+      ON o_orderkey = order_key""")
+def join_full_hot(t):
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    return joins.normal_join(orders, _hot_items(t), ["o_orderkey"], ["order_key"], "full", hot_rows=1000)
+
+
 @query("natural_inner", """
     SELECT * FROM customer NATURAL JOIN (SELECT * RENAME (o_custkey AS c_custkey) FROM orders)""")
 def natural_inner(t):

@@ -129,13 +129,13 @@ def histogram_greedy_narrow(t):
     return profile.histogram(t.events.select(key.alias("key")), "key", compat="greedy")
 
 
-def _profile_sql(column: str, numeric: bool) -> str:
-    low, high, mean = ((f"min({column})::VARCHAR", f"max({column})::VARCHAR", f"round(avg({column}), 6)") if numeric
+def _profile_sql(column: str, numeric: bool, table: str = "part", digits: int = 6) -> str:
+    low, high, mean = ((f"min({column})::VARCHAR", f"max({column})::VARCHAR", f"round(avg({column}), {digits})") if numeric
                        else ("'N/A'", "'N/A'", "NULL::DOUBLE"))
-    mode = f"(SELECT {column} AS v, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"
+    mode = f"(SELECT {column} AS v, count(*) AS n FROM {table} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"
     return f"""SELECT '{column}' AS "column", count(*) AS row_count, 0::BIGINT AS null_count, {low} AS min, {high} AS max,
       {mean} AS avg, (SELECT v::VARCHAR FROM {mode}) AS most_frequent, (SELECT n FROM {mode}) AS most_frequent_count
-      FROM part"""
+      FROM {table}"""
 
 
 @query("profile_table", " UNION ALL ".join(_profile_sql(c, c in ("p_partkey", "p_size", "p_retailprice")) for c in (
@@ -144,6 +144,16 @@ def profile_table(t):
     return profile.column_profile(t.part).withColumn("avg", F.round("avg", 6))
 
 
+WIDE = {"l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True,
+        "l_discount": True, "l_returnflag": False, "l_linestatus": False, "l_shipdate": False}
+
+
+@query("profile_wide", " UNION ALL ".join(_profile_sql(c, numeric, "lineitem", 4) for c, numeric in WIDE.items()))
+def profile_wide(t):
+    """Nine columns of the longest table: keys whose values are all counted, and columns that a sketch decides."""
+    return profile.column_profile(t.lineitem, list(WIDE)).withColumn("avg", F.round("avg", 4))
+
+
 @query("page_sorted", """
     SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 50 OFFSET 100""")
 def page_sorted(t):

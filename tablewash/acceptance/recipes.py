@@ -104,6 +104,15 @@ def history_page(t):
     return h.history_page(_log(t), 50, 25).select("transformation_id", "table_name", "transformation_date")
 
 
+@query("history_page_deep", f"""
+    WITH {LOG} SELECT id AS transformation_id, name AS table_name, ts AS transformation_date FROM steps
+    ORDER BY ts, id LIMIT 40 OFFSET (SELECT count(*) * 2 // 3 FROM steps)""")
+def history_page_deep(t):
+    log = _log(t)
+    deep = h.steps(log).count() * 2 // 3
+    return h.history_page(log, deep, 40, newest_first=False).select("transformation_id", "table_name", "transformation_date")
+
+
 @query("history_table_distance", f"""
     WITH {LOG} SELECT name AS table_name, sum(price)::BIGINT AS distance FROM steps GROUP BY 1""")
 def history_table_distance(t):

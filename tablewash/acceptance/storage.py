@@ -1,9 +1,11 @@
 """Sources and sinks, written to scratch folders and read back."""
 
-import io
+import uuid
 import zipfile
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from ..session import scratch_folder
 from ..plans import history as h
 from ..plans.recipe import Step
 from ..sources import csv, dump
+from ..sources.archive import csv_members, read_csv_members
 from ..sources.dataset import Dataset
-from ..sources.files import read_file
 from .registry import query
 
 CUSTOMER_TEXT = """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
@@ -35,23 +37,51 @@ def csv_raw_headerless(t):
 
 
 @query("csv_archive", """
-    SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
+    SELECT c_custkey::VARCHAR AS c_custkey, c_name, o_orderkey::VARCHAR AS o_orderkey, o_totalprice::VARCHAR AS o_totalprice
+    FROM customer JOIN orders ON c_custkey = o_custkey""")
 def csv_archive(t):
-    """Two tables of one ZIP archive, joined. Whoever makes an archive holds its files, so only small tables are packed."""
+    """Archives that tasks pack from two tables, a member of each table in each; they grow in number and size."""
     folder = scratch_folder(t.spark)
-    members = [(name, ",".join(df.columns), df.select(F.concat_ws(",", *df.columns)))
-               for name, df in (("nation", t.nation), ("region", t.region))]
-    content = io.BytesIO()
-    with zipfile.ZipFile(content, "w") as archive:
-        for name, header, lines in members:
-            archive.writestr(f"{name}.csv", "\n".join([header, *(row[0] for row in lines.toLocalIterator())]))
-    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tables.zip")
-    out = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(path)
-    out.write(content.getvalue())
-    out.close()
-    tables = read_file(t.spark, f"{folder}/tables.zip")
-    return (tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("n_name", "r_name"))
+    customers = t.customer.select(F.lit("customer").alias("table"), "c_custkey", F.concat_ws(",", "c_custkey", "c_name").alias("line"))
+    orders = t.orders.select(F.lit("orders").alias("table"), "o_custkey",
+                             F.concat_ws(",", "o_orderkey", "o_custkey", F.col("o_totalprice").cast("string")).alias("line"))
+    rows = customers.unionAll(orders).repartition(8, "c_custkey").sortWithinPartitions("table")
+    headers = {"customer": "c_custkey,c_name", "orders": "o_orderkey,o_custkey,o_totalprice"}
+    written = rows.mapInArrow(_pack(folder, headers), "path string").distinct().count()
+    members = csv_members(t.spark, f"{folder}/*.zip")
+    if len(members) > 2 * written:
+        raise RuntimeError("there are more members than were packed")
+    tables = {name: read_csv_members(t.spark, [m for m in members if m["member"] == f"{name}.csv"]) for name in headers}
+    return (tables["customer"].join(tables["orders"], F.col("c_custkey") == F.col("o_custkey"))
+            .select("c_custkey", "c_name", "o_orderkey", "o_totalprice"))
+
+
+def _pack(folder: str, headers: dict[str, str]):
+    """Each task writes one archive under a name of its partition; a second try writes the same one again."""
+
+    def pack(batches):
+        from pyarrow import fs
+
+        files, where = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith(("/", "file:")) else f"/{folder}")
+        part = TaskContext.get().partitionId()
+        files.create_dir(where, recursive=True)
+        draft, path = f"{where}/.{part}-{uuid.uuid4().hex}", f"{where}/{part}.zip"
+        with files.open_output_stream(draft) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            member, name = None, None
+            for batch in batches:
+                for table, line in zip(batch["table"].to_pylist(), batch["line"].to_pylist()):
+                    if table != name:
+                        if member is not None:
+                            member.close()
+                        name, member = table, archive.open(f"{table}.csv", "w", force_zip64=True)
+                        member.write(headers[table].encode())
+                    member.write(b"\n" + line.encode())
+            if member is not None:
+                member.close()
+        files.move(draft, path)
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    return pack
 
 
 @query("dataset_export_csv", "SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part WHERE p_size <= 40")

@@ -20,8 +20,6 @@ ACCURACY = 10_000
 GRID = 500
 # Most rows of one value range that are ranked in one task; longer ranges are sketched again.
 LEAF_ROWS = 100_000
-# Rows up to which a page is taken from the first rows of every task.
-NEAR_ROWS = 10_000
 
 
 @dataclass
@@ -131,25 +129,6 @@ def _rank_leaves(values: DataFrame, leaves: list[_Range]) -> dict[int, object]:
     return {row["rank"]: row["v"] for row in hits.select("rank", "v").collect()}
 
 
-def page_rows(df: DataFrame, orders: list[Column], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in an order.
-
-    Near the beginning each task keeps its first rows. Further in, rows are range partitioned and counted, and
-    only the ranges that hold the page are sorted, so that no task meets all the rows before it.
-    """
-    if offset + limit <= NEAR_ROWS:
-        return df.orderBy(*orders).offset(offset).limit(limit)
-    ranged = checkpoint(df.repartitionByRange(*orders).withColumn("_range", F.spark_partition_id()))
-    before, first, wanted = 0, None, []
-    for row in sorted(ranged.groupBy("_range").count().collect()):
-        if before < offset + limit and before + row["count"] > offset:
-            first = before if first is None else first
-            wanted.append(row["_range"])
-        before += row["count"]
-    inside = ranged.where(F.col("_range").isin(wanted)).orderBy(*orders)
-    return inside.offset(offset - (first or 0)).limit(limit).drop("_range")
-
-
 def with_neighbours(df: DataFrame, order: str, carry: list[str]) -> DataFrame:
     """Add ``prev_<c>`` and ``next_<c>`` of the rows before and after in the order of a unique column.
 

@@ -15,7 +15,7 @@ def by_edges(value: Column, edges: Sequence, leaf: Callable[[int], Column], left
         if low == high:
             return leaf(low)
         middle = (low + high) // 2
-        edge = F.lit(edges[middle])
+        edge = edges[middle] if isinstance(edges[middle], Column) else F.lit(edges[middle])
         before = value < edge if left_closed else value <= edge
         return F.when(before, build(low, middle)).otherwise(build(middle + 1, high))
 

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.trees import by_edges
 from ..naming import clashing_names, unique_name
 from ..types import InvalidValueError, col, is_numeric, number, require_numeric, type_of
 
 
-def fit_one_hot(df: DataFrame, column: str, max_categories: int | None = None) -> dict:
-    """The distinct values in ascending order; NaN counts as NULL. More than ``max_categories``, if given, are refused."""
+# Distinct values a column may have unless the caller says otherwise: each becomes a column.
+MOST_CATEGORIES = 2_000
+
+
+def fit_one_hot(df: DataFrame, column: str, max_categories: int = MOST_CATEGORIES) -> dict:
+    """The distinct values in ascending order; NaN counts as NULL. More than ``max_categories`` are refused.
+
+    No more values than that and one reach the driver.
+    """
     value = number(df, column) if is_numeric(type_of(df, column)) else col(column)
-    distinct = df.select(value.alias("v")).where("v IS NOT NULL").distinct().orderBy("v")
-    rows = (distinct if max_categories is None else distinct.limit(max_categories + 1)).collect()
-    if max_categories is not None and len(rows) > max_categories:
+    distinct = df.select(value.alias("v")).where("v IS NOT NULL").distinct()
+    rows = distinct.limit(max_categories + 1).collect()
+    if len(rows) > max_categories:
         raise InvalidValueError(f'column "{column}" has more than {max_categories} distinct values')
-    return {"categories": [row["v"] for row in rows]}
+    values = df.sparkSession.createDataFrame(rows, distinct.schema).orderBy("v").collect() if rows else []
+    return {"categories": [row["v"] for row in values]}
 
 
 def apply_one_hot(df: DataFrame, column: str, params: dict) -> DataFrame:
     """Replace the column by one 0/1 column per value, named by the value.
 
-    Values that the session's case rule takes for one name get numbered names, in their order.
+    Values that the session's case rule takes for one name get numbered names, in their order. A row looks its value's
+    place up once, in a tree of comparisons, and the flags compare that number only.
     """
     kept = [c for c in df.columns if c != column]
     clash = clashing_names(kept, [str(value) for value in params["categories"]])
@@ -31,13 +41,20 @@ def apply_one_hot(df: DataFrame, column: str, params: dict) -> DataFrame:
     names: list[str] = []
     for value in params["categories"]:
         names.append(unique_name([*kept, *names], str(value)))
+    if not names:
+        return df.select(*[col(c) for c in kept])
     kind = type_of(df, column)
-    flags = [F.coalesce((col(column) == F.lit(value).cast(kind)).cast("int"), F.lit(0)).alias(name)
-             for value, name in zip(params["categories"], names)]
-    return df.select(*[col(c) for c in kept], *flags)
+    values = [F.lit(value).cast(kind) for value in params["categories"]]
+    # The last value not above a row's own is the only one that can be equal to it.
+    place = by_edges(col(column), values, lambda count: F.when(col(column) == values[count - 1], count) if count else F.lit(None))
+    placed = "_place"
+    while placed in df.columns or placed in names:
+        placed += "_"
+    flags = [F.coalesce((F.col(placed) == n).cast("int"), F.lit(0)).alias(name) for n, name in enumerate(names, 1)]
+    return df.withColumn(placed, F.when(col(column).isNotNull(), place)).select(*[col(c) for c in kept], *flags)
 
 
-def one_hot_encode(df: DataFrame, column: str, max_categories: int | None = None) -> DataFrame:
+def one_hot_encode(df: DataFrame, column: str, max_categories: int = MOST_CATEGORIES) -> DataFrame:
     return apply_one_hot(df, column, fit_one_hot(df, column, max_categories))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import page_rows
+from ..functions.pages import Order, page_rows
 from ..functions.trees import by_edges
 from ..types import InvalidValueError, col, is_numeric, number, type_of
 
@@ -70,11 +70,17 @@ def frequent_values(df: DataFrame, column: str, having: Column) -> DataFrame:
     return value_counts(df, column).where(having)
 
 
+# Values a sketch follows, how far its counts can be off (as a share of all rows), and the most values it names.
+FOLLOWED, SKETCH_ERROR, NAMED = 4_000, 3.5 / 4_000, 32
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: row and NULL counts, minimum, maximum, mean and most frequent value as text.
 
-    All counts, extremes and means come from one aggregate. The most frequent values come from one more pass, in which a
-    row becomes one entry per column; entries are counted where they are before they move.
+    All counts, extremes and means come from one aggregate, and with them a mergeable sketch of each column's most frequent
+    values. It leaves out no value that could be the most frequent one of a column where one value stands out
+    by more than the sketch can be wrong; there a second pass counts the named values exactly, ties included, and passes over all
+    others. Only columns without such a value (keys, mostly) have all their values counted, in the same pass.
     """
     names = columns or df.columns
     measures = []
@@ -88,12 +94,20 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
             *[(F.coalesce(f(value).cast("string"), F.lit("")) if numeric else F.lit(NOT_AVAILABLE)).alias(label)
               for label, f in (("min", F.min), ("max", F.max))],
             (F.avg(value).cast("double") if numeric else F.lit(None).cast("double")).alias("avg"),
+            F.call_function("approx_top_k", col(name).cast("string"), F.lit(NAMED), F.lit(FOLLOWED)).alias("top"),
         ).alias(f"m{i}"))
-    summary = df.agg(F.array(*measures).alias("m")).select(F.inline("m"))
-    entries = F.array(*[F.struct(F.lit(name).alias("column"), col(name).cast("string").alias("value"),
-                                 (number(df, name).cast("double") if is_numeric(type_of(df, name))
-                                  else F.lit(None).cast("double")).alias("size")) for name in names])
-    counts = (df.select(F.explode(entries).alias("e")).groupBy("e.column", "e.value", "e.size")
+    rows = df.agg(*measures).first()
+    summary = df.sparkSession.createDataFrame(
+        [tuple(row)[:6] for row in rows], "`column` string, row_count long, null_count long, min string, max string, avg double")
+    entries = []
+    for row, name in zip(rows, names):
+        value = col(name).cast("string")
+        entry = F.struct(F.lit(name).alias("column"), value.alias("value"), (
+            number(df, name).cast("double") if is_numeric(type_of(df, name)) else F.lit(None).cast("double")).alias("size"))
+        named = _contenders(row)
+        # None of the others can be the most frequent value, so they need not be counted.
+        entries.append(entry if named is None else F.when(value.isNull() | value.isin(named), entry))
+    counts = (df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.column", "e.value", "e.size")
               .agg(F.count(F.lit(1)).alias("frequency")))
     # The commonest value; of several the smallest, as a number or as text, NULL last.
     first = F.min(F.struct(-F.col("frequency"), F.col("value").isNull(), F.isnan("size") | F.col("size").isNull(), "size",
@@ -103,6 +117,17 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return summary.join(modes, "column", "left")
 
 
+def _contenders(row) -> list[str] | None:
+    """The values one of which is a column's most frequent (besides NULL), or none if the sketch leaves it open."""
+    top = [(entry["item"], entry["count"]) for entry in row["top"] or [] if entry["item"] is not None]
+    values = row["row_count"] - row["null_count"]
+    error = SKETCH_ERROR * values
+    most = max([count - error for _, count in top] + [float(row["null_count"])], default=0.0)
+    if values and (not top or most <= error or (len(top) >= NAMED - 1 and min(count for _, count in top) >= most)):
+        return None
+    return [value for value, count in top if count >= most]
+
+
 def histogram(df: DataFrame, column: str, bins: int = 10, compat: str | None = None) -> DataFrame:
     """Rows per bin between minimum and maximum: ``(bin, label, frequency)``.
 
@@ -184,8 +209,7 @@ def page(df: DataFrame, offset: int, limit: int, on_column: str | None = None, a
     if on_column is None:
         return df.offset(offset).limit(limit)
     type_of(df, on_column)
-    first = F.asc_nulls_last if ascending else F.desc_nulls_first
-    return page_rows(df, [first(col(on_column)), *[F.asc_nulls_last(col(c)) for c in tiebreak or []]], offset, limit)
+    return page_rows(df, [Order(on_column, ascending), *[Order(c) for c in tiebreak or []]], offset, limit)
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import page_rows
+from ..functions.pages import Order, page_rows
 
 LOG_SCHEMA = ("setid int, table_name string, attribute string, transformation_type int, parameters string, "
               "origin_table string, transformation_id long, transformation_date timestamp_ntz")
@@ -128,8 +128,8 @@ def history_page(log: DataFrame, offset: int, limit: int, newest_first: bool = T
                  table: str | None = None) -> DataFrame:
     """A page of the log in the order of time, of one table or of all."""
     chosen = steps(log) if table is None else log.where(F.col("table_name") == table)
-    direction = F.desc if newest_first else F.asc
-    return page_rows(chosen, [direction("transformation_date"), direction("transformation_id")], offset, limit)
+    orders = [Order(name, not newest_first, not newest_first) for name in ("transformation_date", "transformation_id")]
+    return page_rows(chosen, orders, offset, limit)
 
 
 def history_size(log: DataFrame, table: str | None = None) -> DataFrame:

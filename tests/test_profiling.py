@@ -1,10 +1,13 @@
+import datetime as dt
 import json
 import random
+from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tablewash.functions import ordering
+from tablewash.functions import pages
 from tablewash.operators import profile
 from tablewash.types import column_types
 
@@ -71,7 +74,7 @@ def test_greedy_histogram(viewer, spark):
 
 
 def test_deep_pages(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "NEAR_ROWS", 0)
+    monkeypatch.setattr(pages, "NEAR_ROWS", 0)
     rand = random.Random(4)
     rows = [(n, rand.choice([None, rand.randrange(40)])) for n in range(500)]
     df = spark.createDataFrame(rows, "id int, v int").repartition(6)
@@ -82,6 +85,65 @@ def test_deep_pages(spark, monkeypatch):
             assert [tuple(r) for r in got.collect()] == want[offset:offset + limit] and got.columns == df.columns
 
 
+def sorted_rows(rows, places, ascending):
+    """By columns; NULL above all values, NaN above all other numbers, text by its bytes."""
+    def key(value):
+        if value is None:
+            return (3, 0)
+        if isinstance(value, float) and value != value:
+            return (2, 0)
+        return (1, value.encode() if isinstance(value, str) else value)
+
+    for place, up in reversed(list(zip(places, ascending))):
+        rows = sorted(rows, key=lambda r: key(r[place]), reverse=not up)
+    return rows
+
+
+@pytest.mark.parametrize("near", [0, 25])
+def test_deep_pages_of_all_kinds(spark, monkeypatch, near):
+    monkeypatch.setattr(pages, "NEAR_ROWS", near)
+    rand = random.Random(8)
+    texts = ["", "a", "a\0", "Customer#0001", "Customer#00010", "Customer#0002", "ä", "𝒳y", "abcdef", "abcdefg", "abcdef" * 4,
+             "abcdef" * 4 + "x"]
+    rows = [(n, rand.choice([None, *texts]), rand.choice([None, True, False]),
+             rand.choice([None, float("nan"), float("inf"), -0.5, 1e300, -2.0, 0.0]),
+             rand.choice([None, 2 ** 62, 2 ** 62 + 1, -2 ** 62, 5, -(2 ** 63)]),
+             rand.choice([None, dt.date(1960, 2, 3), dt.date(2020, 1, 1)]),
+             rand.choice([None, dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(2020, 1, 1, 0, 0, 0, 1)]),
+             rand.choice([None, Decimal("1.10"), Decimal("-7.00")])) for n in range(160)]
+    df = spark.createDataFrame(rows, "id int, s string, b boolean, f double, l long, d date, t timestamp_ntz, "
+                                     "c decimal(10,2)").repartition(5)
+    names = df.columns
+    for on in ("s", "b", "f", "l", "d", "t", "c"):
+        for ascending in (True, False):
+            want = sorted_rows(rows, [names.index(on), 0], [ascending, True])
+            for offset, limit in ((60, 30), (150, 40)):
+                got = profile.page(df, offset, limit, on, ascending, ["id"]).collect()
+                assert [r["id"] for r in got] == [r[0] for r in want[offset:offset + limit]], (on, ascending)
+
+
+def test_deep_pages_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(pages, "NEAR_ROWS", 5)
+    df = spark.createDataFrame([("a", n % 3) for n in range(60)] + [("b", 1)] * 50 + [("c", 9)] * 20, "s string, n int")
+    for offset, limit, want in ((20, 10, {("a",): 10}), (50, 30, {("a",): 10, ("b",): 20}), (70, 20, {("b",): 20}),
+                                (100, 90, {("b",): 10, ("c",): 20})):
+        got = profile.page(df, offset, limit, "s").collect()
+        assert Counter((r["s"],) for r in got) == want
+    seen = [tuple(r) for offset in range(0, 130, 10) for r in profile.page(df, offset, 10, "s").collect()]
+    assert [s for s, _ in seen] == ["a"] * 60 + ["b"] * 50 + ["c"] * 20
+    assert Counter(seen[10:]) == Counter({("a", 0): 20, ("a", 1): 20, ("a", 2): 20, ("b", 1): 50, ("c", 9): 20}) - Counter(seen[:10])
+
+
+def test_deep_page_writes_no_copy(spark, monkeypatch):
+    monkeypatch.setattr(pages, "NEAR_ROWS", 10)
+    df = spark.range(50_000).selectExpr("id", "id * 7 % 50000 AS v", "repeat('x', 100) AS wide")
+    with monkeypatch.context() as no:
+        no.setattr(type(df), "checkpoint", None)
+        got = profile.page(df, 30_000, 20, "v")
+        assert [r["v"] for r in got.collect()] == list(range(30_000, 30_020))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pages(statistics):
     def names(df):
         return [r["string"] for r in df.collect()]
