@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dedup.clusters import connected_components
-from ..session import checkpoint
-from .passages import repeated_runs
+from ..session import checkpoint, scratch_folder
+from .passages import anchors, release, repeated_runs
 from .simhash import forest
 from .tokens import in_pieces, row_of, split_words
 
@@ -69,8 +69,11 @@ class _Paragraphs:
         self.words = np.diff(starts)
         kept = np.flatnonzero(self.words >= max(1, least))
         hashed = np.array([xxhash.xxh64_intdigest(word) for word in words.to_pylist()], dtype=np.uint64)
+        # All words, and where those of each document begin and end.
+        self.stream = hashed[codes] if len(codes) else np.zeros(0, dtype=np.uint64)
+        self.document_edges = starts[np.append(0, np.cumsum(count))]
         inside = (self.words >= max(1, least))[row_of(starts)]
-        stream = hashed[codes[inside]] if len(codes) else np.zeros(0, dtype=np.uint64)
+        stream = self.stream[inside]
         for name in ("document", "number", "length", "start", "words"):
             setattr(self, name, getattr(self, name)[kept])
         begins = np.cumsum(self.words) - self.words
@@ -106,20 +109,46 @@ class _Paragraphs:
         return [np.unique(self.shingles[self.edges[n]:self.edges[n + 1]]) for n in places]
 
 
-def _paragraph_table(documents: DataFrame, least: int, shingle: int, bands: int, rows: int) -> DataFrame:
+LINE = "line"
+ANCHOR = "anchor"
+_MARKED = ("kind string, doc_id long, text_hash long, paragraph long, start long, length long, n_words long, key long, "
+           "bands array<long>, mark long, whole long, at long, size long")
+
+
+def _marked(documents: DataFrame, least: int, shingle: int, bands: int, rows: int, runs: bool) -> tuple[DataFrame, DataFrame]:
+    """The paragraphs of all documents and, if ``runs`` are wanted, the anchors of their words (see ``passages``).
+
+    One pass over the texts makes both; they are written to the scratch folder as one table by kind.
+    """
+    names = [field.split()[0] for field in _MARKED.split(", ")]
+    types = [pa.string(), *[pa.int64()] * 7, pa.list_(pa.int64()), *[pa.int64()] * 4]
+
+    def rows_of(batch: pa.RecordBatch, kind: str, owner: np.ndarray, columns: dict) -> pa.RecordBatch:
+        owner = pa.array(owner)
+        columns = columns | {"kind": pa.array([kind] * len(owner)), "doc_id": batch["doc_id"].take(owner),
+                             "text_hash": batch["text_hash"].take(owner)}
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[name], type_) if name in columns and not isinstance(columns[name], pa.Array)
+             else columns.get(name, pa.nulls(len(owner), type_)) for name, type_ in zip(names, types)], names=names)
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_pieces(batches, "text", 8 << 20):
             found = _Paragraphs(batch["text"].to_pylist(), least, shingle)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(found.document)), batch["text_hash"].take(pa.array(found.document)),
-                 pa.array(found.number), pa.array(found.start),
-                 pa.array(found.length), pa.array(found.words), pa.array(found.key),
-                 pa.array(list(found.bands(bands, rows)), pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "paragraph", "start", "length", "n_words", "key", "bands"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
-                            "text").mapInArrow(
-        listed, "doc_id long, text_hash long, paragraph long, start long, length long, n_words long, key long, bands array<long>")
+            keys = found.bands(bands, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+            yield rows_of(batch, LINE, found.document, {
+                "paragraph": found.number, "start": found.start, "length": found.length, "n_words": found.words,
+                "key": found.key, "bands": lists})
+            if runs:
+                owner, mark, at, size, whole = anchors(found.stream, found.document_edges)
+                yield rows_of(batch, ANCHOR, owner, {"mark": mark, "whole": whole, "at": at, "size": size})
+
+    folder = f"{scratch_folder(documents.sparkSession)}/marked"
+    (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+     .mapInArrow(listed, _MARKED).write.partitionBy("kind").parquet(folder))
+    table = documents.sparkSession.read.schema(_MARKED).parquet(folder)
+    return (table.where(F.col("kind") == LINE).select(names[1:9]),
+            table.where(F.col("kind") == ANCHOR).select(*names[1:3], *names[9:]))
 
 
 def _sets(banded: DataFrame) -> DataFrame:
@@ -241,13 +270,17 @@ def repeated_paragraphs(documents: DataFrame, similarity: float = SIMILARITY, le
 def _repeated(documents: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS,
               shingle: int = SHINGLE) -> DataFrame:
     """``repeated_paragraphs`` with a hash of the text beside the id."""
-    bands, rows = tune_bands(similarity)
-    listed = checkpoint(_paragraph_table(documents, least, shingle, bands, rows))
+    return _linked(documents, _marked(documents, least, shingle, *tune_bands(similarity), False)[0], similarity, least, shingle)
+
+
+def _linked(documents: DataFrame, listed: DataFrame, similarity: float, least: int, shingle: int) -> DataFrame:
+    """Those of the listed paragraphs that occur more than once."""
     place = F.struct("doc_id", "paragraph", "text_hash")
     distinct = checkpoint(listed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"),
                                                     F.min("bands").alias("bands")))
     banded = distinct.select("key", F.explode("bands").alias("band"))
     sets = checkpoint(_sets(banded))
+    release(documents.sparkSession)
     shingles = _wanted_shingles(documents, distinct.select("key", "first.doc_id"), sets.select("key").distinct(),
                                 least, shingle)
     links = (_dealt(sets.join(shingles, "key")).select("name", "tile", "other", "key", "shingles")
@@ -265,15 +298,18 @@ def _repeated(documents: DataFrame, similarity: float = SIMILARITY, least: int =
                     F.col("first.paragraph").alias("first_paragraph"), "copies", (~same).alias("removed"), "text_hash"))
 
 
-def repeated_passages(documents: DataFrame, **options) -> DataFrame:
+def repeated_passages(documents: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS,
+                      shingle: int = SHINGLE) -> DataFrame:
     """``repeated_paragraphs``, and the runs of 50 and more words that repeat across documents in other lines.
 
     A run may be part of a longer line or go over several lines, short ones included; it has ``paragraph`` and
     ``first_paragraph`` null. Runs inside repeated paragraphs are not given again.
     """
-    lines = checkpoint(_repeated(documents, **options))
+    listed, marks = _marked(documents, least, shingle, *tune_bands(similarity), True)
+    lines = checkpoint(_linked(documents, listed, similarity, least, shingle))
+    release(documents.sparkSession)
     none = F.lit(None).cast("long")
-    runs = repeated_runs(documents, lines.select("doc_id", "text_hash", "start", "length"))
+    runs = repeated_runs(documents, lines.select("doc_id", "text_hash", "start", "length"), marks)
     return lines.drop("text_hash").unionByName(
         runs.drop("first_place").withColumns({"paragraph": none, "first_paragraph": none}))
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .tokens import in_pieces
 
 # Words of the shortest run that is found.
 RUN = 50
@@ -51,34 +51,29 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return values if width == size else np.minimum(values[:width - size], values[size - width:])
 
 
-class _Words:
-    """Hashes of a text's words; white space and line breaks do not count, A-Z is lower-cased."""
+def anchors(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(text, mark, first window, windows, whole)`` of each run of windows with one mark, for texts of hashed words.
 
-    def __init__(self, text: str | None, known: dict[bytes, int]):
-        found = (text or "").encode().lower().split()
-        if len(known) > 1_000_000:
-            known.clear()
-        for word in set(found).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        self.hashes = np.array(list(map(known.__getitem__, found)), dtype=np.uint64)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(mark, first window, windows, whole)`` of each run of windows with one mark; ``whole`` is a hash of all their words."""
-        if len(self.hashes) < RUN:
-            return (self.hashes[:0],) * 4
-        marks = _least(_grams(self.hashes, GRAM), RUN - GRAM + 1)
-        first = np.append(0, np.flatnonzero(marks[1:] != marks[:-1]) + 1)
-        size = np.diff(np.append(first, len(marks)))
-        # Sums of words weighted by powers of an odd number; dividing by the first power makes them equal at any place.
-        power = np.cumprod(np.append(np.uint64(1), np.full(len(self.hashes) - 1, _FACTOR, dtype=np.uint64)))
-        total = np.append(np.uint64(0), np.cumsum(self.hashes * power))
-        back = np.cumprod(np.append(np.uint64(1), np.full(len(self.hashes) - 1, pow(_FACTOR, -1, 1 << 64), dtype=np.uint64)))
-        whole = _mixed((total[first + size + RUN - 1] - total[first]) * back[first] + size.astype(np.uint64))
-        return marks[first], first, size, whole
-
-    def windows(self, first: int, size: int) -> np.ndarray:
-        """Hashes of the windows of a run."""
-        return _grams(self.hashes[first:first + size + RUN - 1], RUN)
+    The words of text n are ``words[edges[n]:edges[n + 1]]``; ``whole`` is a hash of all words of a run.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    if len(words) < RUN:
+        return none, none, none, none, none
+    marks = _least(_grams(words, GRAM), RUN - GRAM + 1)
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    # Windows that go on into the next text are none.
+    at = np.flatnonzero(text[:len(marks)] == text[RUN - 1:])
+    if not len(at):
+        return none, none, none, none, none
+    new = np.append(0, np.flatnonzero((np.diff(at) != 1) | (marks[at[1:]] != marks[at[:-1]])) + 1)
+    size = np.diff(np.append(new, len(at)))
+    first = at[new]
+    # Sums of words weighted by powers of an odd number; dividing by the first power makes them equal at any place.
+    power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, factor, dtype=np.uint64)))
+                   for factor in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+    total = np.append(np.uint64(0), np.cumsum(words * power))
+    whole = _mixed((total[first + size + RUN - 1] - total[first]) * back[first] + size.astype(np.uint64))
+    return text[first], marks[first].view(np.int64), first - edges[text[first]], size, whole.view(np.int64)
 
 
 def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +85,6 @@ def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     return chars[edges[::2]], chars[edges[1::2]]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
-    for batch in in_pieces(batches, "text", 4 << 20):
-        held = [_Words(text, known).anchors() for text in batch["text"].to_pylist()]
-        owner = pa.array(np.repeat(np.arange(len(held)), [len(found[0]) for found in held]))
-        mark, first, size, whole = (np.concatenate([found[n] for found in held]).astype(np.int64) for n in range(4))
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"].take(owner), batch["text_hash"].take(owner), pa.array(mark), pa.array(whole),
-             pa.array(first), pa.array(size.astype(np.int32))],
-            names=["doc_id", "text_hash", "mark", "whole", "at", "size"])
-
-
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of anchors that stand for all that equal them."""
     known: dict[bytes, int] = {}
@@ -109,9 +92,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         marks, wholes, sizes = [], [], []
         for text, asked in zip(batch["text"].to_pylist(), batch["asked"].to_pylist()):
-            words = _Words(text, known)
+            words = _hashed(text, known)
             for one in asked:
-                found.append(words.windows(one["at"], one["size"]))
+                found.append(_grams(words[one["at"]:one["at"] + one["size"] + RUN - 1], RUN))
                 marks.append(one["mark"])
                 wholes.append(one["whole"])
                 sizes.append(one["size"])
@@ -123,6 +106,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["window", "mark", "whole", "step"])
 
 
+def _hashed(text: str, known: dict[bytes, int]) -> np.ndarray:
+    """Hashes of a text's words; white space and line breaks do not count, A-Z is lower-cased."""
+    found = text.encode().lower().split()
+    if len(known) > 1_000_000:
+        known.clear()
+    for word in set(found).difference(known):
+        known[word] = xxhash.xxh64_intdigest(word)
+    return np.array(list(map(known.__getitem__, found)), dtype=np.uint64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of each text: windows one word apart with one place of first occurrence, unless repeated lines hold them."""
     names = ["doc_id", "start", "length", "n_words", "first_doc_id", "first_place", "copies", "removed"]
@@ -167,11 +160,12 @@ def _merged(lines: list[dict] | None) -> list[list[int]]:
     return spans
 
 
-def repeated_runs(documents: DataFrame, lines: DataFrame) -> DataFrame:
+def repeated_runs(documents: DataFrame, lines: DataFrame, anchors: DataFrame) -> DataFrame:
     """One row for each run of at least ``RUN`` words that two documents share word for word, if it is not inside ``lines``.
 
     A document is an id with a text: rows that repeat both are one, rows that share only the id, null included, are several.
-    ``lines`` are the repeated ones, ``doc_id, text_hash, start, length``. Returns ``doc_id, start, length``
+    ``lines`` are the repeated ones, ``doc_id, text_hash, start, length``; ``anchors`` those of all texts, ``doc_id, text_hash,
+    mark, whole, at, size``. Returns ``doc_id, start, length``
     (characters), ``n_words, first_doc_id, first_place`` (the first occurrence, by doc_id, nulls first, and word), ``copies``
     (of the run's rarest window of ``RUN`` words), and ``removed``, false in the document of the first occurrence.
 
@@ -181,16 +175,15 @@ def repeated_runs(documents: DataFrame, lines: DataFrame) -> DataFrame:
     of each kind sends its windows, which then decide for all of its kind. Words become characters at the end.
     """
     held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    anchors = checkpoint(held.mapInArrow(
-        _anchors, "doc_id long, text_hash long, mark long, whole long, at long, size int"))
     marks = (anchors.groupBy("mark").agg(F.count(F.lit(1)).alias("many"), (F.min("whole") != F.max("whole")).alias("unlike"))
              .where("many > 1").drop("many"))
     anchors = checkpoint(anchors.join(marks, "mark"))
-    name = F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "text_hash")
+    release(documents.sparkSession)
+    name = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")
     kinds = (anchors.groupBy("mark", "whole", "unlike")
              .agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.count(F.lit(1)).alias("copies"),
                   F.min(name).alias("low"), F.max(name).alias("high"), F.max("size").alias("size")))
-    kinds = checkpoint(kinds.where(F.col("unlike") | ~F.col("low").eqNullSafe(F.col("high"))))
+    kinds = checkpoint(kinds.where("unlike OR low <> high"))
     alone = kinds.where("not unlike").select("mark", "whole", F.array(F.struct(
         F.lit(0).alias("step"), F.col("size").cast("long").alias("size"), "first.*", "copies")).alias("parts"))
     unlike = kinds.where("unlike").drop("unlike")
@@ -205,7 +198,7 @@ def repeated_runs(documents: DataFrame, lines: DataFrame) -> DataFrame:
     at = F.struct("first.doc_id", "first.text_hash", (F.col("first.at") + F.col("step")).alias("at"))
     shared = (windows.groupBy("window").agg(F.min(at).alias("f"), F.sum("copies").alias("many"), F.min("low").alias("low"),
                                             F.max("high").alias("high"))
-              .where(~F.col("low").eqNullSafe(F.col("high"))).select("window", "f", "many"))
+              .where("low <> high").select("window", "f", "many"))
     # Windows of one kind that occur first side by side are one part.
     decided = (windows.select("window", "mark", "whole", "step").join(shared, "window")
                .groupBy("mark", "whole", "f.doc_id", "f.text_hash", (F.col("f.at") - F.col("step")).alias("shift"))
@@ -220,6 +213,9 @@ def repeated_runs(documents: DataFrame, lines: DataFrame) -> DataFrame:
         F.transform("steps", lambda step: part(step, F.lit(1))))
     decided = (decided.withColumn("parts", parts).groupBy("mark", "whole")
                .agg(F.flatten(F.collect_list("parts")).alias("parts")))
+    decided = checkpoint(decided)
+    del windows, shared
+    release(documents.sparkSession)
     found = alone.unionByName(decided)
     per_text = (anchors.select("doc_id", "text_hash", "mark", "whole", "at").join(found, ["mark", "whole"])
                 .groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
@@ -234,6 +230,15 @@ def repeated_runs(documents: DataFrame, lines: DataFrame) -> DataFrame:
                                "first_place long, copies long, removed boolean"))
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files and checkpoints that nothing refers to any more, before the next ones are written.
+
+    It does so by itself whenever the driver collects garbage, which may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _with_texts(held: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows of ``asked`` (``_doc, _hash, ...``, written down before) beside the texts they are about.
 

@@ -72,3 +72,19 @@ def test_edge_rows(spark, slow):
     pieces = packing.pack(documents, PATH).toPandas()
     check(pieces, [(r[0], r[1]) for r in helpers.edge_rows()], slow)
     assert packing.pack(documents.limit(0), PATH).count() == 0
+
+
+def test_large_ids_beside_null_ones(spark, slow):
+    """Ids that no float holds, with null ids in every partition, in leftovers that are merged over several rounds."""
+    large = (1 << 53) + 1
+    rows = [(None if n % 7 == 3 else large + 2 * n, helpers.sentence(n, 5 + n % 90)) for n in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
+    for window in (2048, 128):
+        pieces = packing.pack(documents, PATH, window=window).select("doc_id", "length").collect()
+        want = {}
+        for doc, text in rows:
+            want[doc] = want.get(doc, 0) + len(slow.encode(text, add_special_tokens=False).ids) + 1
+        got = {}
+        for doc, length in pieces:
+            got[doc] = got.get(doc, 0) + length
+        assert got == want

@@ -4,7 +4,7 @@ import random
 import helpers
 import numpy as np
 
-from tablewash.llm import paragraphs
+from tablewash.llm import paragraphs, passages
 
 
 def plain(rows, least=20, limit=0.8):
@@ -145,24 +145,67 @@ def test_runs_in_longer_lines_and_short_lines(spark):
         assert r.copies == (3 if words is passage else 2)
 
 
-def test_runs_against_brute_force(spark):
+def run_rows():
+    """Texts that share parts of one source, with ids that are null, repeated with unlike texts, or beyond what a float holds."""
     rng = random.Random(12)
     source = helpers.sentence(840, 400, 5000).split()
     rows = []
-    for n in range(40):
+    for n in range(60):
         words = helpers.sentence(850 + n, 150, 5000).split()
         begin, size = rng.randrange(300), rng.randrange(35, 100)
         words[rng.randrange(150):0] = source[begin:begin + size]
-        rows.append((n, "".join(w + rng.choice([" "] * 9 + ["\n"]) for w in words)))
-    held = collections.defaultdict(set)
-    for doc, text in rows:
+        doc = None if n % 9 == 4 else 77 if n % 11 == 5 else (1 << 60) + n if n % 3 else n
+        rows.append((doc, "".join(w + rng.choice([" "] * 9 + ["\n"]) for w in words)))
+    return rows + [rows[0], rows[4], (200, " ".join(["again"] * 120)), (201, " ".join(["again"] * 70)),
+                   (202, " ".join(["only", "here"] * 90))]
+
+
+def test_runs_against_brute_force(spark, monkeypatch):
+    rows = run_rows()
+    held = collections.defaultdict(list)
+    for doc, text in sorted(set(rows), key=lambda row: (row[0] is not None, row[0] or 0)):
         words = text.split()
         for k in range(len(words) - 49):
-            held[tuple(words[k:k + 50])].add(doc)
-    want = {(doc, k + n) for doc, text in rows for words in [text.split()] for k in range(len(words) - 49)
-            if len(held[tuple(words[k:k + 50])]) > 1 for n in range(50)}
-    texts, got = dict(rows), set()
-    for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
-        before = len(texts[r.doc_id][:r.start].split())
-        got |= {(r.doc_id, before + n) for n in range(r.n_words)}
-    assert want <= got and len(want) > 500
+            held[tuple(words[k:k + 50])].append((doc, text, k))
+    shared = {window for window, places in held.items() if len({place[:2] for place in places}) > 1}
+    want = collections.Counter()
+    for doc, text in rows:
+        words = text.split()
+        for at in {k + n for k in range(len(words) - 49) if tuple(words[k:k + 50]) in shared for n in range(50)}:
+            want[doc, text, at] += 1
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for send in (passages.SEND_BYTES, 0):
+        monkeypatch.setattr(passages, "SEND_BYTES", send)
+        got = paragraphs.repeated_passages(documents).collect()
+        runs = [r for r in got if r.paragraph is None]
+        covered = set()
+        for r in got:
+            # The text of a row is the one with these words at this place.
+            mine = [text for doc, text in set(rows) if doc == r.doc_id and len(text) >= r.start + r.length
+                    and len(text[r.start:r.start + r.length].split()) == r.n_words
+                    and (r.paragraph is not None or tuple(text[r.start:r.start + r.length].split()[:50]) in shared)]
+            assert mine and r.first_doc_id in {doc for doc, _ in rows}
+            if len(mine) == 1:
+                before = len(mine[0][:r.start].split())
+                covered |= {(r.doc_id, mine[0], before + n) for n in range(r.n_words)}
+                assert r.paragraph is not None or {(r.doc_id, mine[0], before + n) for n in range(r.n_words)} <= set(want)
+        alone = {place for place in want if sum(doc == place[0] for doc, _ in set(rows)) == 1}
+        assert alone <= covered and len(alone) > 500 and len(runs) > 20
+    # The row that holds the first of all equal windows keeps it, all others lose it.
+    first = {window: min(held[window], key=lambda p: (p[0] is not None, p[0] or 0)) for window in shared}
+    for r in got:
+        if r.doc_id not in (None, 77) and r.paragraph is None:
+            text = dict(rows)[r.doc_id]
+            doc, _, _ = first[tuple(text[r.start:].split()[:50])]
+            assert r.removed == (doc != r.doc_id) and r.first_doc_id == doc
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    passage, line = helpers.sentence(901, 60, 5000), helpers.sentence(902, 30, 5000)
+    for doc in (None, 5):
+        rows = [(doc, f"{helpers.sentence(903 + n, 60, 5000)} {passage} {n}\n{line}") for n in range(2)]
+        got = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.paragraph is None, r.removed) for r in got) == [
+            (False, False), (False, True), (True, False), (True, True)]
+        kept = paragraphs.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(line in r.text for r in kept) == [False, True]
