@@ -127,6 +127,19 @@ def dedup_documents(t):
     return link.find_clusters(rows, "doc_id", keys, ignore=[*keys, "n_chars"], threshold=0.7)
 
 
+@query("dedup_documents_openings", f"""
+    WITH RECURSIVE c AS (SELECT *, substr(text, 1, 24) AS opening FROM documents),
+    matches AS (SELECT a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b
+      ON a.lang = b.lang AND a.opening = b.opening AND a.doc_id < b.doc_id
+      WHERE {_similar('a.text', 'b.text')} >= 0.8 - 1e-9), {COMPONENTS}
+    SELECT p_partkey AS doc_id, cluster_id FROM clusters""")
+def dedup_documents_openings(t):
+    """Whole texts of any source and length that begin alike."""
+    rows = t.documents.withColumn("opening", F.substring("text", 1, 24))
+    return link.find_clusters(rows, "doc_id", ["lang", "opening"], ignore=["lang", "opening", "source", "n_chars"],
+                              threshold=0.8)
+
+
 @query("dedup_clusters", f"WITH RECURSIVE {THRESHOLD} SELECT * FROM clusters")
 def dedup_clusters(t):
     return _part_clusters(t)

@@ -71,10 +71,13 @@ def page_rows(df: DataFrame, orders: Sequence[Order], offset: int, limit: int) -
     tie = F.xxhash64(*[col(name) for name in df.columns])
     whole = [level for found in levels for level in found]
     whole += [_Level(F.shiftright(tie, 32)), _Level(tie.bitwiseAND(F.lit((1 << 32) - 1)))]
-    total = df.count()
+    counts = _counts(df.select(whole[0].key.alias("k")), whole[0])
+    total = sum(size for _, size in counts)
     if offset >= total:
         return df.limit(0)
-    first, last = _find(df, whole, [offset, min(offset + limit, total) - 1])
+    bounds = [_Bound(rank, list(whole)) for rank in (offset, min(offset + limit, total) - 1)]
+    _choose_counted(counts, whole[0], bounds)
+    first, last = _find(df, bounds)
     if first.size > NEAR_ROWS:
         # Rows that are equal in every column.
         same = df.where(first.equal())
@@ -87,6 +90,30 @@ def page_rows(df: DataFrame, orders: Sequence[Order], offset: int, limit: int) -
             .offset(offset - first.before).limit(limit))
 
 
+def unsorted_page(df: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the order in which the table is read.
+
+    Far from the beginning the rows of every partition are counted, which reads no column, and each task lets
+    only those pass that lie on the page; a plain offset would bring all rows before it into one task.
+    """
+    if offset + limit <= NEAR_ROWS or limit < 1:
+        return df.offset(offset).limit(limit)
+    at = "_at"
+    while at in df.columns:
+        at += "_"
+    # Numbers of rows in their partition, below the number of the partition.
+    placed = df.withColumn(at, F.monotonically_increasing_id())
+    before, pages = 0, []
+    for part, rows in sorted(map(tuple, placed.groupBy(F.shiftright(at, 33).alias("part")).count().collect())):
+        first, last = max(offset - before, 0), min(offset + limit - before, rows)
+        if first < last:
+            pages.append(F.col(at).between((part << 33) + first, (part << 33) + last - 1))
+        before += rows
+    if not pages:
+        return df.limit(0)
+    return placed.where(reduce(lambda a, b: a | b, pages)).drop(at)
+
+
 @dataclass
 class _Bound:
     """The key of the row with a rank, as far as it is known: ``before`` rows have a smaller one, ``size`` rows have it."""
@@ -131,8 +158,7 @@ class _Bound:
         self.size = size
 
 
-def _find(df: DataFrame, levels: list[_Level], ranks: list[int]) -> list[_Bound]:
-    bounds = [_Bound(rank, list(levels)) for rank in ranks]
+def _find(df: DataFrame, bounds: list[_Bound]) -> list[_Bound]:
     while any(bound.open() for bound in bounds):
         groups: dict[tuple, list[_Bound]] = {}
         for bound in bounds:
@@ -141,12 +167,19 @@ def _find(df: DataFrame, levels: list[_Level], ranks: list[int]) -> list[_Bound]
         for same in groups.values():
             level = same[0].levels[0]
             keys = df.where(same[0].equal()).select(level.key.alias("k"))
-            (_choose_counted if level.few else _choose_selected)(keys, level, same)
+            if level.few:
+                _choose_counted(_counts(keys, level), level, same)
+            else:
+                _choose_selected(keys, level, same)
     return bounds
 
 
-def _choose_counted(keys: DataFrame, level: _Level, bounds: list[_Bound]) -> None:
-    counts = sorted(((row["k"], row["count"]) for row in keys.groupBy("k").count().collect()), reverse=not level.ascending)
+def _counts(keys: DataFrame, level: _Level) -> list[tuple]:
+    """The few values of a level in its order, with their rows."""
+    return sorted(((row["k"], row["count"]) for row in keys.groupBy("k").count().collect()), reverse=not level.ascending)
+
+
+def _choose_counted(counts: list[tuple], level: _Level, bounds: list[_Bound]) -> None:
     for bound in bounds:
         before = 0
         for value, size in counts:

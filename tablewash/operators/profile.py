@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pages import Order, page_rows
+from ..functions.pages import Order, page_rows, unsorted_page
 from ..functions.trees import by_edges
 from ..types import InvalidValueError, col, is_numeric, number, type_of
 
@@ -207,7 +207,7 @@ def page(df: DataFrame, offset: int, limit: int, on_column: str | None = None, a
     make the page deterministic.
     """
     if on_column is None:
-        return df.offset(offset).limit(limit)
+        return unsorted_page(df, offset, limit)
     type_of(df, on_column)
     return page_rows(df, [Order(on_column, ascending), *[Order(c) for c in tiebreak or []]], offset, limit)
 

@@ -31,6 +31,22 @@ def test_one_hot_null_and_clash(spark):
         encode.one_hot_encode(df.withColumn("a", F.lit(1)), "v")
 
 
+def test_one_hot_of_many_and_new_values(spark):
+    values = [f"v{n}" for n in range(300)]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(2)] + [(None,)], "v string")
+    params = encode.fit_one_hot(df, "v")
+    assert params["categories"] == sorted(values)
+    got = encode.apply_one_hot(df.unionByName(spark.createDataFrame([("v", ), ("v30x",), ("zzz",), ("",)], "v string")), "v", params)
+    assert got.columns == sorted(values)
+    sums = got.agg(*[F.sum(F.col(name)).alias(name) for name in got.columns]).first()
+    assert set(sums) == {2} and got.where(F.array_max(F.array(*got.columns)) == 0).count() == 5
+    assert encode.one_hot_encode(df.limit(0).withColumn("n", F.lit(1)), "v").columns == ["n"]
+    with pytest.raises(InvalidValueError, match="more than 299"):
+        encode.fit_one_hot(df, "v", 299)
+    with pytest.raises(InvalidValueError, match="more than 2000"):
+        encode.fit_one_hot(spark.range(2001).withColumn("id", F.col("id").cast("string")), "id")
+
+
 def test_zscore(companies):
     params = encode.fit_zscore(companies, "number")
     assert params["mean"] == 9.9375 and round(params["deviation"], 10) == 12.1987127907

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewash.plans import history as h
 from tablewash.plans import statements as sql
 from tablewash.plans.recipe import Step
-from tablewash.sources import csv, dump
+from tablewash.sources import archive, csv, dump
 from tablewash.sources.dataset import Dataset
 from tablewash.sources.files import read_file
 from tablewash.types import (ConversionError, DumpInconsistencyError, EmptyFileError, InvalidFileExtensionError,
@@ -100,6 +100,27 @@ def test_archive(spark, tmp_path):
         tables["wide"].collect()
 
 
+def test_archives_are_read_member_by_member(spark, tmp_path, monkeypatch):
+    """Many archives, packed members of several batches, and no archive read as a whole."""
+    monkeypatch.setattr(archive, "LINES_PER_BATCH", 50)
+    want = []
+    for n in range(3):
+        with zipfile.ZipFile(tmp_path / f"a{n}.zip", "w", zipfile.ZIP_DEFLATED) as packed:
+            rows_here = [(str(n), str(i), "\u00e9" * (i % 3)) for i in range(120)]
+            packed.writestr("t.csv", "a,b,c\r\n" + "".join(",".join(r) + "\r\n" for r in rows_here))
+            packed.writestr("other.csv", "x\n1\n")
+            want += rows_here
+    members = archive.csv_members(spark, f"{tmp_path}/*.zip")
+    assert [m["member"] for m in members] == ["other.csv", "t.csv"] * 3
+    table = archive.read_csv_members(spark, [m for m in members if m["member"] == "t.csv"])
+    assert table.rdd.getNumPartitions() == 3 and sorted(rows(table)) == sorted(want)
+    assert "content" not in table._jdf.queryExecution().executedPlan().toString()
+    assert sorted(archive.read_csv_archive(spark, f"{tmp_path}/*.zip")) == [
+        "other", "other_1", "other_2", "t", "t_1", "t_2"]
+    with pytest.raises(ValueError):
+        archive.read_csv_members(spark, members)
+
+
 def test_dump(spark, tmp_path):
     df = read_file(spark, write(tmp_path, "test.dump", DUMP))["abc"]
     assert df.dtypes == [("userid", "int"), ("email", "string"), ("register_date", "string")]
