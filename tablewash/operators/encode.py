@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.trees import by_edges
 from ..naming import clashing_names, unique_name
 from ..types import InvalidValueError, col, is_numeric, number, require_numeric, type_of
 
@@ -31,8 +30,7 @@ def fit_one_hot(df: DataFrame, column: str, max_categories: int = MOST_CATEGORIE
 def apply_one_hot(df: DataFrame, column: str, params: dict) -> DataFrame:
     """Replace the column by one 0/1 column per value, named by the value.
 
-    Values that the session's case rule takes for one name get numbered names, in their order. A row looks its value's
-    place up once, in a tree of comparisons, and the flags compare that number only.
+    Values that the session's case rule takes for one name get numbered names, in their order.
     """
     kept = [c for c in df.columns if c != column]
     clash = clashing_names(kept, [str(value) for value in params["categories"]])
@@ -41,17 +39,11 @@ def apply_one_hot(df: DataFrame, column: str, params: dict) -> DataFrame:
     names: list[str] = []
     for value in params["categories"]:
         names.append(unique_name([*kept, *names], str(value)))
-    if not names:
-        return df.select(*[col(c) for c in kept])
     kind = type_of(df, column)
-    values = [F.lit(value).cast(kind) for value in params["categories"]]
-    # The last value not above a row's own is the only one that can be equal to it.
-    place = by_edges(col(column), values, lambda count: F.when(col(column) == values[count - 1], count) if count else F.lit(None))
-    placed = "_place"
-    while placed in df.columns or placed in names:
-        placed += "_"
-    flags = [F.coalesce((F.col(placed) == n).cast("int"), F.lit(0)).alias(name) for n, name in enumerate(names, 1)]
-    return df.withColumn(placed, F.when(col(column).isNotNull(), place)).select(*[col(c) for c in kept], *flags)
+    # Plain comparisons stay small wherever the optimizer copies them to, unlike one look-up that all flags share.
+    flags = [F.coalesce((col(column) == F.lit(value).cast(kind)).cast("int"), F.lit(0)).alias(name)
+             for value, name in zip(params["categories"], names)]
+    return df.select(*[col(c) for c in kept], *flags)
 
 
 def one_hot_encode(df: DataFrame, column: str, max_categories: int = MOST_CATEGORIES) -> DataFrame:
