@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dedup.clusters import connected_components
 from ..session import checkpoint, scratch_folder
-from .passages import anchors, release, repeated_runs
+from .passages import anchors, release, repeated_anchors, repeated_runs
 from .simhash import forest
 from .tokens import in_pieces, row_of, split_words
 
@@ -115,10 +115,11 @@ _MARKED = ("kind string, doc_id long, text_hash long, paragraph long, start long
            "bands array<long>, mark long, whole long, at long, size long")
 
 
-def _marked(documents: DataFrame, least: int, shingle: int, bands: int, rows: int, runs: bool) -> tuple[DataFrame, DataFrame]:
+def _marked(documents: DataFrame, folder: str, least: int, shingle: int, bands: int, rows: int, runs: bool
+            ) -> tuple[DataFrame, DataFrame]:
     """The paragraphs of all documents and, if ``runs`` are wanted, the anchors of their words (see ``passages``).
 
-    One pass over the texts makes both; they are written to the scratch folder as one table by kind.
+    One pass over the texts makes both; they are written to a folder as one table by kind.
     """
     names = [field.split()[0] for field in _MARKED.split(", ")]
     types = [pa.string(), *[pa.int64()] * 7, pa.list_(pa.int64()), *[pa.int64()] * 4]
@@ -132,7 +133,7 @@ def _marked(documents: DataFrame, least: int, shingle: int, bands: int, rows: in
              else columns.get(name, pa.nulls(len(owner), type_)) for name, type_ in zip(names, types)], names=names)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, "text", 8 << 20):
+        for batch in in_pieces(batches, "text", 4 << 20):
             found = _Paragraphs(batch["text"].to_pylist(), least, shingle)
             keys = found.bands(bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
@@ -143,12 +144,16 @@ def _marked(documents: DataFrame, least: int, shingle: int, bands: int, rows: in
                 owner, mark, at, size, whole = anchors(found.stream, found.document_edges)
                 yield rows_of(batch, ANCHOR, owner, {"mark": mark, "whole": whole, "at": at, "size": size})
 
-    folder = f"{scratch_folder(documents.sparkSession)}/marked"
     (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
      .mapInArrow(listed, _MARKED).write.partitionBy("kind").parquet(folder))
-    table = documents.sparkSession.read.schema(_MARKED).parquet(folder)
-    return (table.where(F.col("kind") == LINE).select(names[1:9]),
-            table.where(F.col("kind") == ANCHOR).select(*names[1:3], *names[9:]))
+    spark = documents.sparkSession
+    for kind in (LINE, ANCHOR):
+        # There is no folder of a kind without rows.
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/kind={kind}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    read = spark.read.schema(_MARKED)
+    return (read.parquet(f"{folder}/kind={LINE}").select(names[1:9]),
+            read.parquet(f"{folder}/kind={ANCHOR}").select(*names[1:3], *names[9:]) if runs else None)
 
 
 def _sets(banded: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def _sets(banded: DataFrame) -> DataFrame:
     many = (banded.groupBy("band").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("key")).alias("mixed"))
             .where(F.col("many") > 1)
             .select("band", F.xxhash64("mixed", "many").alias("name"), F.ceil(F.col("many") / TILE).cast("int").alias("tiles")))
-    return banded.join(many, "band").select("name", "tiles", "key").distinct()
+    return banded.join(many.hint("shuffle_hash"), "band").select("name", "tiles", "key").distinct()
 
 
 def _dealt(sets: DataFrame) -> DataFrame:
@@ -270,7 +275,8 @@ def repeated_paragraphs(documents: DataFrame, similarity: float = SIMILARITY, le
 def _repeated(documents: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS,
               shingle: int = SHINGLE) -> DataFrame:
     """``repeated_paragraphs`` with a hash of the text beside the id."""
-    return _linked(documents, _marked(documents, least, shingle, *tune_bands(similarity), False)[0], similarity, least, shingle)
+    listed, _ = _marked(documents, scratch_folder(documents.sparkSession), least, shingle, *tune_bands(similarity), False)
+    return _linked(documents, listed, similarity, least, shingle)
 
 
 def _linked(documents: DataFrame, listed: DataFrame, similarity: float, least: int, shingle: int) -> DataFrame:
@@ -278,6 +284,7 @@ def _linked(documents: DataFrame, listed: DataFrame, similarity: float, least: i
     place = F.struct("doc_id", "paragraph", "text_hash")
     distinct = checkpoint(listed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"),
                                                     F.min("bands").alias("bands")))
+    release(documents.sparkSession)
     banded = distinct.select("key", F.explode("bands").alias("band"))
     sets = checkpoint(_sets(banded))
     release(documents.sparkSession)
@@ -305,9 +312,14 @@ def repeated_passages(documents: DataFrame, similarity: float = SIMILARITY, leas
     A run may be part of a longer line or go over several lines, short ones included; it has ``paragraph`` and
     ``first_paragraph`` null. Runs inside repeated paragraphs are not given again.
     """
-    listed, marks = _marked(documents, least, shingle, *tune_bands(similarity), True)
+    spark = documents.sparkSession
+    folder = scratch_folder(spark)
+    listed, marks = _marked(documents, folder, least, shingle, *tune_bands(similarity), True)
     lines = checkpoint(_linked(documents, listed, similarity, least, shingle))
-    release(documents.sparkSession)
+    del listed
+    release(spark, f"{folder}/kind={LINE}")
+    marks = repeated_anchors(marks)
+    release(spark, f"{folder}/kind={ANCHOR}")
     none = F.lit(None).cast("long")
     runs = repeated_runs(documents, lines.select("doc_id", "text_hash", "start", "length"), marks)
     return lines.drop("text_hash").unionByName(

@@ -89,31 +89,27 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of anchors that stand for all that equal them."""
     known: dict[bytes, int] = {}
     for batch in batches:
-        found: list[np.ndarray] = []
-        marks, wholes, sizes = [], [], []
+        words: list[bytes] = []
+        marks, wholes, starts, sizes = [], [], [], []
         for text, asked in zip(batch["text"].to_pylist(), batch["asked"].to_pylist()):
-            words = _hashed(text, known)
+            found = text.encode().lower().split()
             for one in asked:
-                found.append(_grams(words[one["at"]:one["at"] + one["size"] + RUN - 1], RUN))
+                starts.append(len(words))
+                words += found[one["at"]:one["at"] + one["size"] + RUN - 1]
                 marks.append(one["mark"])
                 wholes.append(one["whole"])
                 sizes.append(one["size"])
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(marks, sizes)),
-                 pa.array(np.repeat(wholes, sizes)),
-                 pa.array(np.concatenate([np.arange(size, dtype=np.int32) for size in sizes]))],
-                names=["window", "mark", "whole", "step"])
-
-
-def _hashed(text: str, known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of a text's words; white space and line breaks do not count, A-Z is lower-cased."""
-    found = text.encode().lower().split()
-    if len(known) > 1_000_000:
-        known.clear()
-    for word in set(found).difference(known):
-        known[word] = xxhash.xxh64_intdigest(word)
-    return np.array(list(map(known.__getitem__, found)), dtype=np.uint64)
+        if not words:
+            continue
+        if len(known) > 1_000_000:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = xxhash.xxh64_intdigest(word)
+        step = np.concatenate([np.arange(size, dtype=np.int32) for size in sizes])
+        grams = _grams(np.array(list(map(known.__getitem__, words)), dtype=np.uint64), RUN)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grams[np.repeat(starts, sizes) + step].view(np.int64)), pa.array(np.repeat(marks, sizes)),
+             pa.array(np.repeat(wholes, sizes)), pa.array(step)], names=["window", "mark", "whole", "step"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +156,19 @@ def _merged(lines: list[dict] | None) -> list[list[int]]:
     return spans
 
 
+def repeated_anchors(anchors: DataFrame) -> DataFrame:
+    """Those anchors ``(doc_id, text_hash, mark, whole, at, size)`` whose mark occurs again, and whether some of a mark are ``unlike``."""
+    marks = (anchors.groupBy("mark").agg(F.count(F.lit(1)).alias("many"), (F.min("whole") != F.max("whole")).alias("unlike"))
+             .where("many > 1").drop("many"))
+    return checkpoint(anchors.join(marks.hint("shuffle_hash"), "mark"))
+
+
 def repeated_runs(documents: DataFrame, lines: DataFrame, anchors: DataFrame) -> DataFrame:
     """One row for each run of at least ``RUN`` words that two documents share word for word, if it is not inside ``lines``.
 
     A document is an id with a text: rows that repeat both are one, rows that share only the id, null included, are several.
-    ``lines`` are the repeated ones, ``doc_id, text_hash, start, length``; ``anchors`` those of all texts, ``doc_id, text_hash,
-    mark, whole, at, size``. Returns ``doc_id, start, length``
-    (characters), ``n_words, first_doc_id, first_place`` (the first occurrence, by doc_id, nulls first, and word), ``copies``
+    ``lines`` are the repeated ones, ``doc_id, text_hash, start, length``; ``anchors`` come from ``repeated_anchors``.
+    Returns ``doc_id, start, length`` (characters), ``n_words, first_doc_id, first_place`` (the first occurrence, by doc_id, nulls first, and word), ``copies``
     (of the run's rarest window of ``RUN`` words), and ``removed``, false in the document of the first occurrence.
 
     A text is marked by the least of the grams in each window of ``RUN`` words. Equal windows have equal marks, so that
@@ -175,10 +177,6 @@ def repeated_runs(documents: DataFrame, lines: DataFrame, anchors: DataFrame) ->
     of each kind sends its windows, which then decide for all of its kind. Words become characters at the end.
     """
     held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    marks = (anchors.groupBy("mark").agg(F.count(F.lit(1)).alias("many"), (F.min("whole") != F.max("whole")).alias("unlike"))
-             .where("many > 1").drop("many"))
-    anchors = checkpoint(anchors.join(marks, "mark"))
-    release(documents.sparkSession)
     name = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")
     kinds = (anchors.groupBy("mark", "whole", "unlike")
              .agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.count(F.lit(1)).alias("copies"),
@@ -192,15 +190,15 @@ def repeated_runs(documents: DataFrame, lines: DataFrame, anchors: DataFrame) ->
     windows = (_with_texts(held, checkpoint(asked)).select("text", "asked")
                .mapInArrow(_windows, "window long, mark long, whole long, step int")
                # Rows that repeat a document send its windows again.
-               .dropDuplicates(["mark", "whole", "step"])
-               .join(unlike.drop("size"), ["mark", "whole"]))
+               .dropDuplicates(["mark", "whole", "step"]))
     windows = checkpoint(windows)
+    release(documents.sparkSession)
     at = F.struct("first.doc_id", "first.text_hash", (F.col("first.at") + F.col("step")).alias("at"))
-    shared = (windows.groupBy("window").agg(F.min(at).alias("f"), F.sum("copies").alias("many"), F.min("low").alias("low"),
+    shared = (windows.join(unlike.drop("size").hint("shuffle_hash"), ["mark", "whole"]).groupBy("window").agg(F.min(at).alias("f"), F.sum("copies").alias("many"), F.min("low").alias("low"),
                                             F.max("high").alias("high"))
               .where("low <> high").select("window", "f", "many"))
     # Windows of one kind that occur first side by side are one part.
-    decided = (windows.select("window", "mark", "whole", "step").join(shared, "window")
+    decided = (windows.join(shared.hint("shuffle_hash"), "window")
                .groupBy("mark", "whole", "f.doc_id", "f.text_hash", (F.col("f.at") - F.col("step")).alias("shift"))
                .agg(F.sort_array(F.collect_list("step")).alias("steps"), F.min("many").alias("copies")))
     one, together = F.col("steps")[0], F.col("steps")[F.size("steps") - 1] - F.col("steps")[0] + 1
@@ -217,7 +215,7 @@ def repeated_runs(documents: DataFrame, lines: DataFrame, anchors: DataFrame) ->
     del windows, shared
     release(documents.sparkSession)
     found = alone.unionByName(decided)
-    per_text = (anchors.select("doc_id", "text_hash", "mark", "whole", "at").join(found, ["mark", "whole"])
+    per_text = (anchors.select("doc_id", "text_hash", "mark", "whole", "at").join(found.hint("shuffle_hash"), ["mark", "whole"])
                 .groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
                 .agg(F.collect_list(F.struct("at", "parts")).alias("anchors")))
     spans = (lines.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"))
@@ -230,11 +228,14 @@ def repeated_runs(documents: DataFrame, lines: DataFrame, anchors: DataFrame) ->
                                "first_place long, copies long, removed boolean"))
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete shuffle files and checkpoints that nothing refers to any more, before the next ones are written.
+def release(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete a scratch folder, and have Spark delete shuffle files and checkpoints that nothing refers to any more.
 
-    It does so by itself whenever the driver collects garbage, which may be long after.
+    Spark does so by itself whenever the driver collects garbage, which may be long after more have been written.
     """
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
 

@@ -118,5 +118,5 @@ def test_empty_documents(spark, folder, tmp_path):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(name.startswith(f"op{number}_") for name in names) == 1
