@@ -90,7 +90,7 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     assert len(os.listdir(f"{root}/log")) == data.version()
 
 
-def test_overtaken_writer_builds_again_only_if_he_must(spark, tmp_path):
+def test_overtaken_writers_build_again_only_if_they_must(spark, tmp_path):
     data = two_tables(spark, tmp_path)
     other = Dataset(spark, data.root)
     built = []
