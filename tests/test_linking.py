@@ -229,6 +229,76 @@ def test_long_texts_against_short_form(monkeypatch):
     assert (sim.damerau_levenshtein(left, right) == want).all()
 
 
+def test_limits_tell_what_distances_tell(monkeypatch):
+    from tablewash.functions import similarity as sim
+
+    rand = random.Random(13)
+    left, right = [], []
+    for _ in range(300):
+        text = [rand.choice("abcd") for _ in range(rand.randrange(1, 20))]
+        other = text[:] if rand.random() < 0.6 else [rand.choice("abcd") for _ in range(rand.randrange(1, 20))]
+        for _ in range(rand.randrange(6)):
+            at = rand.randrange(len(other) + 1)
+            move = rand.randrange(4)
+            if move == 0:
+                other.insert(at, rand.choice("abcde"))
+            elif move == 1 and at < len(other) and len(other) > 1:
+                other.pop(at)
+            elif at + 1 < len(other):
+                other[at], other[at + 1] = other[at + 1], other[at]
+        left.append("".join(text))
+        right.append("".join(other))
+    position = np.arange(len(left))
+    texts = sim.Texts([*left, *right])
+    want = sim.distances(texts, position, position + len(left))
+    monkeypatch.setattr(sim, "LONG", 0)
+    monkeypatch.setattr(sim, "LOOK_ROWS", 3)
+    for limit in range(12):
+        got = sim.distances(texts, position, position + len(left), np.full(len(left), limit))
+        assert ((got <= limit) == (want <= limit)).all()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.95])
+def test_long_texts_match_by_threshold(threshold):
+    """Two columns, so that the limit of the longer one depends on the shorter one."""
+    rand = random.Random(14)
+    texts = ["".join(rand.choice("abcdef ") for _ in range(250)) for _ in range(6)]
+    for _ in range(30):
+        other = list(rand.choice(texts))
+        for _ in range(rand.randrange(90)):
+            at = rand.randrange(len(other) - 1)
+            other[at:at + 2] = rand.choice([[other[at + 1], other[at]], ["x"], [other[at], "y", other[at + 1]]])
+        texts.append("".join(other))
+    names = [rand.choice(["John", "Jonh", "Jo", ""]) for _ in texts]
+    left, right = map(np.array, zip(*itertools.combinations(range(len(texts)), 2)))
+    books = [Codebook(np.array([sorted(set(column)).index(v) for v in column]), sorted(set(column)))
+             for column in (names, texts)]
+    scores = [(sim(names[a], names[b]) + 1 - d / max(len(texts[a]), len(texts[b]))) / 2 for a, b, d in
+              zip(left, right, damerau_levenshtein([texts[a] for a in left], [texts[b] for b in right]))]
+    got = matching._matching(books, left, right, matching.threshold_decision(2, threshold))
+    assert got.tolist() == [n for n, s in enumerate(scores) if s >= threshold - 1e-9]
+
+
+def test_many_long_texts_are_told_apart_in_seconds():
+    rand = random.Random(15)
+    texts = ["".join(rand.choice("abcdefgh ") for _ in range(2000)) for _ in range(20)]
+    left, right = map(np.array, zip(*itertools.combinations(range(20), 2)))
+    begin = time.perf_counter()
+    got = matching._matching([Codebook(np.arange(20), texts)], left, right, matching.threshold_decision(1, 0.7))
+    assert time.perf_counter() - begin < 8 and not len(got)
+
+
+def test_long_texts_make_small_cells(spark):
+    rand = random.Random(16)
+    rows = [(n, "x", "y", "".join(rand.choice("abc ") for _ in range(2000))) for n in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, j string, v string")
+    found = cand.candidates(df, "id", ["k", "j"], ignore=["k", "j"])
+    sizes = [r["count"] for r in cand.cells(found).groupBy(*cand.CELL[:-1]).count().collect()]
+    assert max(sizes) < 250 and len(sizes) == 15
+    short = cand.candidates(df.withColumn("v", F.substring("v", 1, 20)), "id", ["k", "j"], ignore=["k", "j"])
+    assert cand.cells(short).groupBy(*cand.CELL[:-1]).count().count() == 1
+
+
 def test_long_texts_take_seconds():
     from tablewash.functions import similarity as sim
 
