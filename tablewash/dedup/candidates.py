@@ -19,13 +19,15 @@ from ..functions.ordering import with_neighbours
 from ..functions.text import float_text
 from ..session import checkpoint
 from ..types import AttrTypeError, InvalidValueError, col, is_date, is_integer, type_of
-from .segments import segment_keys
+from .segments import key_sizes, segment_keys
 
 # Signatures per tile, on average.
 TILE = 1024
 # Texts of up to this many signs fill whole tiles. Longer ones make tiles smaller, so that no cell takes long, down to
 # this many signatures, and as long as a block has no more than this many tiles, as each of them copies the block once.
 TILE_TEXT, LEAST_TILE, MOST_TILES = 128, 64, 16
+# Most signatures in a tile of a whole table, and the least number of cells that its outsiders are dealt into.
+MOST_ROWS, LEAST_CELLS = 500_000, 128
 CELL = ["block", "kind", "row_tile", "col_tile", "side"]
 
 
@@ -106,12 +108,7 @@ def cells(found: Candidates) -> DataFrame:
     signatures = found.signatures
     if found.index == "full":
         block, size = signatures.agg(F.min("sid"), F.count(F.lit(1))).first()
-        if found.similarity is not None:
-            met = _segment_cells(found, size or 0)
-            if met is not None:
-                return met
-        members = signatures.withColumns({"block": F.lit(block).cast("long"), "size": F.lit(size)})
-        members = members.withColumn("tiles", _tiles("size"))
+        members = signatures.withColumns({"block": F.lit(block).cast("long"), "tiles": F.lit(_table_tiles(size))})
         places = _own(F.col("tiles"))
     else:
         longest = F.greatest(*[F.coalesce(F.length(t), F.lit(0)) for t in found.texts], F.lit(0))
@@ -130,20 +127,39 @@ def cells(found: Candidates) -> DataFrame:
             .select("cell.*", "sid", "copies", *found.texts))
 
 
+def similar_cells(found: Candidates) -> DataFrame | None:
+    """Cells of a whole table in which the pairs meet that reach ``found.similarity`` in a column, if these are few."""
+    return _segment_cells(found, found.signatures.count())
+
+
+def outside_cells(found: Candidates, outside: DataFrame, outsiders: int, size: int) -> DataFrame:
+    """Cells that compare the signatures whose ``sid`` stands in ``outside`` with all of the table."""
+    rows = min(-(-outsiders // TILE), MOST_TILES)
+    columns = max(-(-LEAST_CELLS // rows), -(-size // MOST_ROWS))
+
+    def dealt(own: int, others: int, side: int) -> DataFrame:
+        tile = F.pmod(F.xxhash64("sid"), F.lit(own)).cast("int")
+        return signatures.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda other: _cell(
+            "block", 1, other if side else tile, tile if side else other, F.lit(side)))))
+
+    signatures = found.signatures.withColumn("block", F.lit(0).cast("long"))
+    placed = (dealt(rows, columns, 0).join(outside.select("sid"), "sid", "left_semi")
+              .unionByName(dealt(columns, rows, 1)))
+    return placed.select("cell.*", "sid", "copies", *found.texts)
+
+
 def _segment_cells(found: Candidates, size: int) -> DataFrame | None:
     """Cells of records that share a key of segments, or None if these hold more pairs than the whole table has.
 
     Pairs may meet more than once, which makes no difference to the links between records.
     """
-    keyed = checkpoint(segment_keys(found.signatures, found.texts, found.similarity))
-    blocks_ = (keyed.groupBy("block").agg(F.count_if(F.col("side") == 0).alias("row_size"),
-                                          F.count_if(F.col("side") == 1).alias("col_size"),
-                                          F.min("sid").alias("first"), F.max("sid").alias("last"))
-               .where("row_size > 0 AND col_size > 0 AND first < last").select("block", "row_size", "col_size"))
-    blocks_ = checkpoint(blocks_)
+    blocks_ = checkpoint(key_sizes(found.signatures, found.texts, found.similarity)
+                         .where("row_size > 0 AND col_size > 0 AND first < last").select("block", "row_size", "col_size"))
     pairs = blocks_.agg(F.sum(F.col("row_size").cast("double") * F.col("col_size"))).first()[0] or 0.0
     if pairs > size * (size - 1) / 2:
         return None
+    keyed = checkpoint(segment_keys(found.signatures, found.texts, found.similarity).join(
+        blocks_.select("block"), "block", "left_semi"))
     row_side = F.col("side") == 0
     own = F.pmod(F.xxhash64("sid"), F.when(row_side, _tiles("row_size")).otherwise(_tiles("col_size"))).cast("int")
     others = F.sequence(F.lit(0), F.when(row_side, _tiles("col_size")).otherwise(_tiles("row_size")) - 1)
@@ -154,6 +170,11 @@ def _segment_cells(found: Candidates, size: int) -> DataFrame | None:
             .select("cell.*", "sid", "copies", *found.texts))
 
 
+def _table_tiles(size: int) -> int:
+    """Tiles of a whole table: as each of them copies the table once, their number does not grow with it."""
+    return max(1, min(-(-size // TILE), MOST_TILES), -(-size // MOST_ROWS))
+
+
 def _tiles(size: str) -> Column:
     return F.ceil(F.col(size) / TILE).cast("int")
 

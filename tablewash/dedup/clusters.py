@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from ..types import col
+from . import candidates as cand
 from .candidates import Candidates, as_text, candidates
-from .matching import matched_edges, similarity_vectors, stars, threshold_decision, two_means
+from .matching import (Decision, copies_edges, matched_edges, near_edges, similarity_vectors, stars,
+                       threshold_decision, two_means)
 
 
 # Links that a task contracts at a time; 16 bytes each.
@@ -96,11 +98,35 @@ def find_clusters(df: DataFrame, id_column: str, exact: Sequence[str] = (), igno
         decision = threshold_decision(len(found.columns), threshold)
         # A mean that reaches the threshold has a column that does.
         found.similarity = decision.bound
-    labels = connected_components(matched_edges(found, decision))
+    edges = _table_edges(found, decision) if found.similarity and found.index == "full" else matched_edges(found, decision)
+    labels = connected_components(edges)
     # Clusters are read several times afterwards: to review, to decide, to remove.
     return checkpoint(_row_clusters(df, id_column, exact, found, labels))
 
 
+def _table_edges(found: Candidates, decision: Decision) -> DataFrame:
+    """Links of a whole table: by the segments that similar texts share, or else by comparing all pairs.
+
+    A large table is linked in part first, each record with its neighbours in some orders. Only what is then outside the
+    largest component has still to be compared with all.
+    """
+    placed = cand.similar_cells(found)
+    size = found.signatures.count()
+    if placed is not None or size <= cand.TILE * cand.MOST_TILES:
+        return matched_edges(found, decision, placed)
+    near = checkpoint(near_edges(found, decision))
+    labels = connected_components(near)
+    labelled = checkpoint(found.signatures.select("sid").join(labels, F.col("sid") == F.col("id"), "left")
+                          .select("sid", F.coalesce("label", "sid").alias("label")))
+    largest = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+    outsiders = size - largest["count"]
+    if not outsiders:
+        return near.unionByName(copies_edges(found, decision))
+    if outsiders <= size / 2:
+        placed = cand.outside_cells(found, labelled.where(F.col("label") != largest["label"]), outsiders, size)
+    return near.unionByName(matched_edges(found, decision, placed))
+
+
 def _row_clusters(df: DataFrame, id_column: str, exact: Sequence[str], found: Candidates,
                   labels: DataFrame) -> DataFrame:
     """Spread the labels of signatures over their rows."""

@@ -22,6 +22,10 @@ STEP_ROWS = 2048
 COUNT_PAIRS, LINK_PAIRS = 1_000_000, 65_536
 # Pairs in a step however long the texts are.
 LEAST_PAIRS = 64
+# Texts of a column of which all pairs are compared for a large cell, and combined texts that are looked up together.
+TABLE_TEXTS, JOINT_TEXTS = 2_048, 4_096
+# Neighbours in an order that are compared with each other before a whole table is.
+NEAR_ROWS = 1_024
 # Combinations of similarities that are counted in a plain table.
 COUNT_TABLE = 4_000_000
 # Partitions of cells per shuffle partition: few bytes make much work, so they must not be merged.
@@ -59,10 +63,15 @@ def similarity_vectors(found: Candidates) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_cells(batches):
-            books = _codebooks(group, texts)
-            copies = group["copies"].to_numpy()
-            for left, right in _pairs(group, COUNT_PAIRS):
-                yield _vector_counts(books, left, right, copies[left] * copies[right], names)
+            counts = _counts_by_table(group, texts, names)
+            if counts is not None:
+                yield counts
+                continue
+            for part, _ in _parts(group, texts):
+                books = _codebooks(part, texts)
+                copies = part["copies"].to_numpy()
+                for left, right in _pairs(part, COUNT_PAIRS):
+                    yield _vector_counts(books, left, right, copies[left] * copies[right], names)
 
     pairs = _arranged(found).mapInArrow(count, schema)
     alike = F.col("copies") * (F.col("copies") - 1) / 2
@@ -104,8 +113,8 @@ def two_means(vectors: DataFrame) -> Decision | None:
     return _between(low, high)
 
 
-def matched_edges(found: Candidates, decision: Decision | None) -> DataFrame:
-    """Links ``(a, b)`` whose connected components are those of all matching pairs.
+def matched_edges(found: Candidates, decision: Decision | None, placed: DataFrame | None = None) -> DataFrame:
+    """Links ``(a, b)`` whose connected components are those of all matching pairs, or of those in the cells ``placed``.
 
     Each cell reduces its matches to one link per signature: from the smallest id of its group.
     A link from an id to itself says that the copies of that signature match each other.
@@ -114,23 +123,56 @@ def matched_edges(found: Candidates, decision: Decision | None) -> DataFrame:
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_cells(batches):
-            books = _codebooks(group, texts)
-            label = np.arange(group.num_rows)
-            for left, right in _pairs(group, _steps(books)):
-                apart = np.flatnonzero(label[left] != label[right])
-                keep = apart[_matching(books, left[apart], right[apart], decision)]
-                label = _merged(label, left[keep], right[keep])
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            if len(linked):
-                ids = group["sid"].to_numpy()
-                a, b = stars(ids[label[linked]], ids[linked])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    links = _arranged(found).mapInArrow(link, "a long, b long")
+            yield from _links(group, texts, decision)
+
+    links = _arranged(found, placed).mapInArrow(link, "a long, b long")
+    return links.unionByName(copies_edges(found, decision))
+
+
+def copies_edges(found: Candidates, decision: Decision | None) -> DataFrame:
+    """A link from each signature to itself whose copies match each other."""
     alike = F.lit(True) if decision is None else _score(decision, _self_similarity(found)) > decision.bound
-    copies = found.signatures.where((F.col("copies") > 1) & alike).select(F.col("sid").alias("a"),
-                                                                          F.col("sid").alias("b"))
-    return links.unionByName(copies)
+    return found.signatures.where((F.col("copies") > 1) & alike).select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+
+
+def near_edges(found: Candidates, decision: Decision) -> DataFrame:
+    """Links ``(a, b)`` of matching records that stand close to each other in the order by one column, then the others."""
+    texts = found.texts
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, NEAR_ROWS):
+                rows = pa.Table.from_batches([batch.slice(start, NEAR_ROWS)])
+                cell = {name: pa.array(np.zeros(rows.num_rows, dtype=np.int64)) for name in CELL}
+                for name, zeros in cell.items():
+                    rows = rows.append_column(name, zeros)
+                yield from _links(rows.combine_chunks(), texts, decision)
+
+    links = None
+    for turn in range(len(texts)):
+        order = [F.col(name) for name in texts[turn:] + texts[:turn]]
+        near = (found.signatures.select("sid", *texts).repartitionByRange(*order).sortWithinPartitions(*order)
+                .mapInArrow(link, "a long, b long"))
+        links = near if links is None else links.unionByName(near)
+    return links
+
+
+def _links(group: pa.Table, texts: list[str], decision: Decision | None) -> Iterator[pa.RecordBatch]:
+    """At most one link per signature of some whole cells."""
+    label = np.arange(group.num_rows)
+    for part, rows in _parts(group, texts):
+        books = _codebooks(part, texts)
+        for left, right in _pairs(part, _steps(books)):
+            a, b = rows[left], rows[right]
+            apart = np.flatnonzero(label[a] != label[b])
+            keep = apart[_matching(books, left[apart], right[apart], decision)]
+            if len(keep):
+                label = _merged(label, a[keep], b[keep])
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    if len(linked):
+        ids = group["sid"].to_numpy()
+        a, b = stars(ids[label[linked]], ids[linked])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _between(low: list[float], high: list[float]) -> Decision:
@@ -151,8 +193,8 @@ def _self_similarity(found: Candidates) -> list[Column]:
     return [F.when(F.length(t) > 0, 1.0).otherwise(0.0) for t in found.texts]
 
 
-def _arranged(found: Candidates) -> DataFrame:
-    placed = cells(found)
+def _arranged(found: Candidates, placed: DataFrame | None = None) -> DataFrame:
+    placed = cells(found) if placed is None else placed
     partitions = CELL_SPREAD * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(partitions, *CELL[:-1]).sortWithinPartitions(*CELL)
 
@@ -220,10 +262,96 @@ def _codebooks(table: pa.Table, texts: list[str]) -> list[Codebook]:
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        books.append(Codebook(codes, coded.dictionary.to_pylist()))
+        books.append(Codebook(codes, coded.dictionary.to_pylist(), table.num_rows ** 2 // 2))
     return books
 
 
+def _parts(group: pa.Table, texts: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """What is compared with one codebook, and where its rows are: all, or pieces of a large cell of many texts."""
+    rows = np.arange(group.num_rows)
+    if group.num_rows <= 2 * STEP_ROWS or all(_few(group[name]) for name in texts):
+        yield group, rows
+        return
+    side, size = group["side"].to_numpy(), STEP_ROWS // 2
+    across = group["kind"][0].as_py() == 1 or group["row_tile"][0].as_py() != group["col_tile"][0].as_py()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (rows, rows)
+    for a in range(0, len(left), size):
+        for b in range(0 if across else a, len(right), size):
+            own = not across and a == b
+            taken = left[a:a + size] if own else np.concatenate([left[a:a + size], right[b:b + size]])
+            part = group.take(pa.array(taken)).combine_chunks()
+            if not across:
+                second = np.arange(len(taken)) >= len(left[a:a + size])
+                part = part.set_column(part.schema.get_field_index("side"), "side", pa.array(second.astype(np.int32)))
+                part = part.set_column(part.schema.get_field_index("kind"), "kind",
+                                       pa.array(np.full(len(taken), 0 if own else 1, dtype=np.int32)))
+            yield part, taken
+
+
+def _few(column: pa.ChunkedArray) -> bool:
+    return len(column.unique()) < TABLE_TEXTS
+
+
+def _counts_by_table(group: pa.Table, texts: list[str], names: list[str]) -> pa.RecordBatch | None:
+    """Counted vectors of one large cell, by a table of all pairs of texts of each column; None if one is too large."""
+    if group.num_rows <= STEP_ROWS or not all(_few(group[name]) for name in texts) or len(_cell_starts(group)) > 1:
+        return None
+    books = _codebooks(group, texts)
+    tables = [book.table() for book in books]
+    sizes = [len(values) for values, _ in tables]
+    combinations = int(np.prod(sizes, dtype=float))
+    if combinations > COUNT_TABLE:
+        return None
+    strides = [int(np.prod(sizes[i + 1:])) for i in range(len(sizes))]
+    # Columns are looked up together as long as their combined texts are few.
+    joint: list[list[int]] = []
+    for i, book in enumerate(books):
+        if joint and np.prod([len(books[k].lengths) for k in joint[-1]]) * len(book.lengths) <= JOINT_TEXTS:
+            joint[-1].append(i)
+        else:
+            joint.append([i])
+    codes = [np.ravel_multi_index([books[i].codes for i in some], [len(books[i].lengths) for i in some]) for some in joint]
+    side, copies = group["side"].to_numpy(), group["copies"].to_numpy()
+    across = side.any()
+    order = np.lexsort(codes[::-1])
+    left = order[side[order] == 0]
+    right = order[side[order] == 1] if across else left
+    right_codes = [code[right] for code in codes]
+    weighted = len(np.unique(copies)) > 1
+
+    def looked_up(some: list[int], row: int) -> np.ndarray:
+        found = np.zeros(1, dtype=np.int64)
+        for i in some:
+            found = np.add.outer(found, tables[i][1][books[i].codes[row]] * np.int64(strides[i])).ravel()
+        return found
+
+    totals = np.zeros(combinations)
+    keys = np.empty(max(COUNT_PAIRS, len(right)), dtype=np.int64)
+    weights = np.empty(len(keys)) if weighted else None
+    used, known, first = 0, -1, None
+    for place, row in enumerate(left):
+        start = 0 if across else place + 1
+        width = len(right) - start
+        if used + width > len(keys):
+            totals += np.bincount(keys[:used], None if weights is None else weights[:used], combinations)
+            used = 0
+        if codes[0][row] != known:
+            known, first = codes[0][row], looked_up(joint[0], row).take(right_codes[0])
+        step = keys[used:used + width]
+        step[:] = first[start:]
+        for some, code in zip(joint[1:], right_codes[1:]):
+            step += looked_up(some, row).take(code[start:])
+        if weights is not None:
+            np.multiply(copies[right[start:]], copies[row], out=weights[used:used + width], casting="unsafe")
+        used += width
+    totals += np.bincount(keys[:used], None if weights is None else weights[:used], combinations)
+    if not weighted:
+        totals *= float(copies[0]) ** 2
+    found = np.flatnonzero(totals)
+    arrays = [pa.array(values[place]) for (values, _), place in zip(tables, np.unravel_index(found, sizes))]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(totals[found].astype(np.int64))], names=[*names, "pair_count"])
+
+
 def _vector_counts(books: list[Codebook], left: np.ndarray, right: np.ndarray, weights: np.ndarray,
                    names: list[str]) -> pa.RecordBatch:
     seen = [book.similarities(left, right) for book in books]

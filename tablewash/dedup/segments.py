@@ -61,6 +61,39 @@ def shorter_keys(text: str, similarity: float) -> set[str]:
     return keys
 
 
+def _keys(place: int, text: str, similarity: float) -> list[tuple[int, str]]:
+    return ([(0, f"{place}|{key}") for key in longer_keys(text, similarity)]
+            + [(1, f"{place}|{key}") for key in shorter_keys(text, similarity)])
+
+
+def key_sizes(signatures: DataFrame, texts: list[str], similarity: float) -> DataFrame:
+    """``(block, row_size, col_size, first, last)``: how many records have each key as the longer (row) and as the shorter
+    text, and their smallest and largest id. Counted by text, so that copies of a text cost nothing more."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sides, keys = [], [], []
+            for row, (place, text) in enumerate(zip(batch["place"].to_pylist(), batch["text"].to_pylist())):
+                for side, key in _keys(place, text, similarity):
+                    rows.append(row)
+                    sides.append(side)
+                    keys.append(key)
+            rows = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sides, pa.int32()), pa.array(keys, pa.string()),
+                 *[batch[name].take(rows) for name in ("records", "first", "last")]],
+                names=["side", "key", "records", "first", "last"])
+
+    each = F.array(*[F.struct(F.lit(place).alias("place"), F.col(name).alias("text")) for place, name in enumerate(texts)])
+    known = (signatures.select("sid", F.inline(each)).where("text <> ''").groupBy("place", "text")
+             .agg(F.count(F.lit(1)).alias("records"), F.min("sid").alias("first"), F.max("sid").alias("last")))
+    keyed = known.mapInArrow(listed, "side int, key string, records long, first long, last long")
+    of_side = [F.sum(F.when(F.col("side") == side, F.col("records")).otherwise(0)).alias(name)
+               for side, name in enumerate(("row_size", "col_size"))]
+    return keyed.groupBy(F.xxhash64("key").alias("block")).agg(*of_side, F.min("first").alias("first"),
+                                                               F.max("last").alias("last"))
+
+
 def segment_keys(signatures: DataFrame, texts: list[str], similarity: float) -> DataFrame:
     """``(sid, side, key)``: keys of all texts of each record, as longer (0) and as shorter text (1) of a pair."""
 
@@ -74,8 +107,7 @@ def segment_keys(signatures: DataFrame, texts: list[str], similarity: float) ->
                     if not text:
                         continue
                     if text not in known:
-                        known[text] = ([(0, f"{place}|{key}") for key in longer_keys(text, similarity)]
-                                       + [(1, f"{place}|{key}") for key in shorter_keys(text, similarity)])
+                        known[text] = _keys(place, text, similarity)
                     out += [(sid, side, key) for side, key in known[text]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row[n] for row in out], kind) for n, kind in enumerate((pa.int64(), pa.int32(), pa.string()))],

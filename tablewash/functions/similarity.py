@@ -255,7 +255,7 @@ def similarity(texts: Texts, left: np.ndarray, right: np.ndarray, limits: np.nda
 class Codebook:
     """Texts of one column of some rows, coded; similarities are computed once per pair of texts."""
 
-    def __init__(self, codes: np.ndarray, texts: list[str]):
+    def __init__(self, codes: np.ndarray, texts: list[str], pairs: int = 0):
         # An empty text behind the last one stands for NULL.
         self.texts = Texts([*texts, ""])
         self.lengths = self.texts.lengths
@@ -263,6 +263,8 @@ class Codebook:
         self.values = np.array([0.0, 1.0])
         self.places: np.ndarray | None = None
         self.kept: np.ndarray | None = None
+        # Pairs of rows that will be asked for in all.
+        self.pairs = pairs
 
     def similarities(self, left: np.ndarray, right: np.ndarray,
                      limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +277,7 @@ class Codebook:
         size = len(self.lengths)
         if limits is not None and self.lengths.max() > LONG:
             return self._within(low * size + high, limits)
-        if self.places is None and size * size > 4 * len(low):
+        if self.places is None and size * size > 4 * max(len(low), self.pairs):
             # Few pairs: not worth a table of all pairs of texts.
             key, where = np.unique(low * size + high, return_inverse=True)
             return self._compare(key // size, key % size), where
@@ -306,6 +308,15 @@ class Codebook:
         self.kept[key], self.kept_limits[key] = values, limits
         return values, where
 
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Some similarities, and the position of each pair of texts among them."""
+        size = len(self.lengths)
+        low, high = np.triu_indices(size)
+        values, where = np.unique(self._compare(low, high), return_inverse=True)
+        places = np.empty((size, size), dtype=np.int32)
+        places[low, high] = places[high, low] = where
+        return values, places
+
     def longer(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Length of the longer text of each pair."""
         return np.maximum(self.lengths[self.codes[left]], self.lengths[self.codes[right]])
