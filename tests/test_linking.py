@@ -3,6 +3,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,6 +310,79 @@ def test_long_texts_take_seconds():
     assert time.perf_counter() - begin < 10 and (found > 500).all()
 
 
+def cell(rows, across):
+    """Rows ``(sid, copies, text, text)`` as one cell, or as two tiles that are compared with each other."""
+    side = [int(across and n >= len(rows) // 3) for n in range(len(rows))]
+    return pa.table({"block": [7] * len(rows), "kind": [0] * len(rows), "row_tile": [0] * len(rows),
+                     "col_tile": [int(across)] * len(rows), "side": pa.array(side, pa.int32()),
+                     **dict(zip(["sid", "copies", "_s0", "_s1"], map(list, zip(*rows))))})
+
+
+@pytest.mark.parametrize("across", [False, True])
+@pytest.mark.parametrize("copies", [1, 3])
+def test_large_cells(monkeypatch, across, copies):
+    """By tables of all texts, and piece by piece."""
+    monkeypatch.setattr(matching, "STEP_ROWS", 8)
+    monkeypatch.setattr(matching, "COUNT_PAIRS", 50)
+    rand = random.Random(31)
+    words = ["".join(rand.choice("abc") for _ in range(rand.randrange(5))) for _ in range(30)] + [None]
+    rows = [(n, rand.randrange(1, copies + 1), rand.choice(words), rand.choice(words)) for n in range(60)]
+    group = cell(rows, across)
+    pairs = [(a, b) for a, b in itertools.combinations(rows, 2) if not across or (a[0] < 20) != (b[0] < 20)]
+    scored = [((sim(a[2], b[2]), sim(a[3], b[3])), a, b) for a, b in pairs]
+    want = {}
+    for vector, a, b in scored:
+        want[vector] = want.get(vector, 0) + a[1] * b[1]
+    texts, names = ["_s0", "_s1"], ["s0", "s1"]
+    got = matching._counts_by_table(group, texts, names).to_pylist()
+    assert {(r["s0"], r["s1"]): r["pair_count"] for r in got} == want
+    links = components([(a[0], b[0]) for (x, y), a, b in scored if x + y >= 1.4])
+    decision = matching.threshold_decision(2, 0.7)
+    for limit in (2048, 2):
+        monkeypatch.setattr(matching, "TABLE_TEXTS", limit)
+        parts = [part for part, _ in matching._parts(group, texts)]
+        assert (len(parts) > 10) == (limit == 2) and max(part.num_rows for part in parts) <= (60 if limit > 2 else 8)
+        found = [(r["a"], r["b"]) for batch in matching._links(group, texts, decision) for r in batch.to_pylist()]
+        assert components(found) == links
+    assert matching._counts_by_table(group, texts, names) is None
+    pieces = {}
+    for part, _ in matching._parts(group, texts):
+        books, weights = matching._codebooks(part, texts), part["copies"].to_numpy()
+        for left, right in matching._pairs(part, 50):
+            for r in matching._vector_counts(books, left, right, weights[left] * weights[right], names).to_pylist():
+                pieces[r["s0"], r["s1"]] = pieces.get((r["s0"], r["s1"]), 0) + r["pair_count"]
+    assert pieces == want
+
+
+def test_cells_of_a_whole_table_grow_with_it(spark, monkeypatch):
+    monkeypatch.setattr(cand, "TILE", 8)
+    df = spark.range(1000).selectExpr("id", "concat('a', id) AS v")
+    assert cand.cells(cand.candidates(df, "id")).count() <= cand.MOST_TILES * 1000
+
+
+@pytest.mark.parametrize("most", [0.2, 0.9])
+def test_only_outsiders_meet_all(spark, monkeypatch, most):
+    """Most records are linked by their neighbours in some order; the rest is still compared with all of them."""
+    monkeypatch.setattr(cand, "TILE", 2)
+    monkeypatch.setattr(cand, "_segment_cells", lambda *a: None)
+    used = []
+    whole = cand.outside_cells
+    monkeypatch.setattr(cand, "outside_cells", lambda *a: used.append(a[2]) or whole(*a))
+    rand = random.Random(33)
+    rows = []
+    for n in range(120):
+        near = rand.random() < most
+        name = "".join(rand.choice("ab" if near else "cdefghij") for _ in range(5))
+        rows.append((n, name, "town" if near else name[::-1], None if n % 17 == 0 else 7))
+    rows.append((500, rows[3][1], rows[3][2], rows[3][3]))
+    df = spark.createDataFrame(rows, "id long, name string, city string, age int")
+    found = df.collect()
+    pairs = list(itertools.combinations(sorted(r["id"] for r in found), 2))
+    want = expected(found, pairs, ["name", "city", "age"], 0.7)
+    assert rows_of(link.find_clusters(df, "id", threshold=0.7)) == want
+    assert bool(used) == (most > 0.5)
+
+
 def test_two_groups(people):
     """The similar pairs end up in the upper group."""
     got = rows_of(link.find_clusters(people, "id", ["city", "age"]))
