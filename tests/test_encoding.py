@@ -47,6 +47,24 @@ def test_one_hot_of_many_and_new_values(spark):
         encode.fit_one_hot(spark.range(2001).withColumn("id", F.col("id").cast("string")), "id")
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(8,2)", "date", "timestamp", "binary", "string"])
+def test_one_hot_of_many_values_of_each_type(spark, kind):
+    value = F.expr("timestamp_seconds(id * 86400)" if kind in ("date", "timestamp") else "id").cast(
+        "string" if kind == "binary" else kind).cast(kind)
+    df = spark.range(70).select("id", F.when(F.col("id") > 0, value).alias("v")).unionByName(
+        spark.range(70, 72).select("id", F.when(F.lit(kind == "double"), F.lit("NaN")).cast(kind).alias("v")))
+    got = encode.one_hot_encode(df, "v")
+    names = got.columns[1:]
+    assert len(names) == 69 and {t for _, t in got.dtypes[1:]} == {"int"}
+    rows = {r["id"]: [r[name] for name in names] for r in got.collect()}
+    assert len(rows) == 72 and all(sum(rows[n]) == (1 if 0 < n < 70 else 0) for n in rows)
+    assert len({tuple(rows[n]) for n in range(1, 70)}) == 69
+    # Many values are looked up once a row; few are compared in place.
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    few = encode.one_hot_encode(df.where("id < 9"), "v")
+    assert "Join" not in few._jdf.queryExecution().toString()
+
+
 def test_zscore(companies):
     params = encode.fit_zscore(companies, "number")
     assert params["mean"] == 9.9375 and round(params["deviation"], 10) == 12.1987127907
