@@ -289,6 +289,86 @@ def test_many_long_texts_are_told_apart_in_seconds():
     assert time.perf_counter() - begin < 8 and not len(got)
 
 
+def varied(rand, signs, most, moves, kept=0.6):
+    """Pairs of texts, most of them made of each other by some changes, also swaps over other signs."""
+    left, right = [], []
+    for _ in range(most):
+        text = [rand.choice(signs) for _ in range(rand.randrange(1, 200))]
+        other = text[:] if rand.random() < kept else [rand.choice(signs) for _ in range(rand.randrange(1, 200))]
+        for _ in range(rand.randrange(moves)):
+            at, move = rand.randrange(len(other) + 1), rand.randrange(5)
+            if move == 0:
+                other.insert(at, rand.choice(signs))
+            elif move == 1 and at < len(other) and len(other) > 1:
+                other.pop(at)
+            elif at + 3 < len(other):
+                apart, size = rand.randrange(1, 3), rand.randrange(3)
+                other[at], other[at + apart] = other[at + apart], other[at]
+                if apart == 2 and size < 2:
+                    other[at + 1:at + 2] = rand.choices(signs, k=2 * size)
+        left.append("".join(text))
+        right.append("".join(other))
+    return left, right
+
+
+@pytest.mark.parametrize("signs", ["ab", "abcdefgh", "".join(map(chr, range(200, 300)))])
+def test_nothing_within_its_limit_is_proven_beyond(monkeypatch, signs):
+    from tablewash.functions import similarity as sim
+
+    rand = random.Random(17)
+    left, right = varied(rand, signs, 300, 60)
+    position = np.arange(len(left))
+    texts = sim.Texts([*left, *right])
+    want = sim.distances(texts, position, position + len(left))
+    monkeypatch.setattr(sim, "BRIEF", 0)
+    monkeypatch.setattr(sim, "FEW_SIGNS", 0)
+    longer = np.maximum(texts.lengths[:len(left)], texts.lengths[len(left):])
+    for limits in (want - 1, want, want // 2, longer // 5, 3 * longer // 10, np.zeros_like(want)):
+        limits = np.maximum(limits, 0)
+        got = sim.beyond(texts, position, position + len(left), limits)
+        assert not (got & (want <= limits)).any()
+        assert got.sum() >= (want > 2 * limits + 20).sum()
+
+
+def test_most_long_texts_are_told_apart_together(monkeypatch):
+    """Of thousands of pairs that have nothing to do with each other hardly one is compared on its own."""
+    from tablewash.functions import similarity as sim
+
+    rand = random.Random(18)
+    texts = ["".join(rand.choice("abcdefgh ") for _ in range(600)) for _ in range(100)]
+    texts += [text[:50] + "x" + text[52:] for text in texts[:10]]
+    alone, within = [], sim._within
+    monkeypatch.setattr(sim, "_within", lambda *a: alone.append(1) or within(*a))
+    zeros = pa.array(np.zeros(len(texts), dtype=np.int64))
+    group = pa.table({"block": zeros, "kind": zeros, "row_tile": zeros, "col_tile": zeros, "side": zeros,
+                      "sid": pa.array(np.arange(len(texts))), "copies": zeros, "_s0": pa.array(texts)})
+    links = [row for batch in matching._links(group, ["_s0"], matching.threshold_decision(1, 0.7)) for row in batch.to_pylist()]
+    assert sorted((row["a"], row["b"]) for row in links) == [(n, 100 + n) for n in range(10)]
+    assert len(alone) < 100
+
+
+def test_repeated_long_texts_are_told_apart_together():
+    """Two columns with few texts in one: as many rows as pairs of texts, limits that depend on the other column."""
+    rand = random.Random(19)
+    texts = ["".join(rand.choice("abc ") for _ in range(300)) for _ in range(6)]
+    texts += [text[:100] + "".join(rand.choice("xyz") for _ in range(n)) + text[100 + n:]
+              for n, text in zip((20, 60, 90, 120, 150, 180), texts)]
+    names = ["John", "Jonh", "Jo", ""]
+    rows = [(rand.choice(names), rand.choice(texts)) for _ in range(60)]
+    left, right = map(np.array, zip(*itertools.combinations(range(60), 2)))
+    decision = matching.threshold_decision(2, 0.7)
+
+    def books():
+        return [Codebook(np.array([column.index(row[i]) for row in rows]), column) for i, column in enumerate((names, texts))]
+
+    want = matching._matching(books(), left, right, decision)
+    tried = books()
+    for _ in range(2):
+        left_over = matching._matching(tried, left, right, decision, proof=True)
+        assert set(want) <= set(left_over) and len(left_over) < len(left) / 2
+    assert 0 < len(want)
+
+
 def test_long_texts_make_small_cells(spark):
     rand = random.Random(16)
     rows = [(n, "x", "y", "".join(rand.choice("abc ") for _ in range(2000))) for n in range(300)]
