@@ -369,6 +369,21 @@ def test_repeated_long_texts_are_told_apart_together():
     assert 0 < len(want)
 
 
+def test_few_short_texts_with_limits_take_no_time():
+    from tablewash.functions import similarity as sim
+
+    rand = random.Random(20)
+    left, right = varied(rand, "abcd ", 8, 40, kept=1)
+    left, right = [text + "y" * 60 for text in left], ["x" + text + "z" * 60 for text in right]
+    texts, position = sim.Texts([*left, *right]), np.arange(8)
+    want = sim.distances(texts, position, position + 8)
+    limits = np.array([int(n) + turn for n, turn in zip(want, [0, -1] * 4)])
+    begin = time.perf_counter()
+    got = sim.distances(texts, position, position + 8, limits)
+    assert time.perf_counter() - begin < 0.1
+    assert ((got <= limits) == (want <= limits)).all()
+
+
 def test_long_texts_make_small_cells(spark):
     rand = random.Random(16)
     rows = [(n, "x", "y", "".join(rand.choice("abc ") for _ in range(2000))) for n in range(300)]
