@@ -28,6 +28,8 @@ TILE = 1024
 TILE_TEXT, LEAST_TILE, MOST_TILES = 128, 64, 16
 # Most signatures in a tile of a whole table, and the least number of cells that its outsiders are dealt into.
 MOST_ROWS, LEAST_CELLS = 500_000, 128
+# Where groups of equal signatures meet a whole table: most of its rows in a cell, and the cells they are dealt into.
+GROUPED_ROWS, GROUPED_CELLS = 2_000_000, 32
 CELL = ["block", "kind", "row_tile", "col_tile", "side"]
 
 
@@ -148,6 +150,21 @@ def outside_cells(found: Candidates, outside: DataFrame, outsiders: int, size: i
     return placed.select("cell.*", "sid", "copies", *found.texts)
 
 
+def grouped_cells(found: Candidates, group: list[str]) -> DataFrame:
+    """Cells of a whole table in which all signatures equal in some texts (side 0) meet all others and themselves (side 1)."""
+    signatures = found.signatures.withColumn("block", F.lit(0).cast("long"))
+    columns = -(-signatures.count() // GROUPED_ROWS)
+
+    def dealt(own: Column, others: int, side: int) -> DataFrame:
+        return signatures.withColumn("tile", own.cast("int")).withColumn("cell", F.explode(F.transform(
+            F.sequence(F.lit(0), F.lit(others - 1)), lambda other: _cell(
+                "block", 1, other if side else F.col("tile"), F.col("tile") if side else other, F.lit(side)))))
+
+    placed = (dealt(F.pmod(F.xxhash64(*group), F.lit(GROUPED_CELLS)), columns, 0)
+              .unionByName(dealt(F.pmod(F.xxhash64("sid"), F.lit(columns)), GROUPED_CELLS, 1)))
+    return placed.select("cell.*", "sid", "copies", *found.texts)
+
+
 def _segment_cells(found: Candidates, size: int) -> DataFrame | None:
     """Cells of records that share a key of segments, or None if these hold more pairs than the whole table has.
 

@@ -369,6 +369,40 @@ def test_repeated_long_texts_are_told_apart_together():
     assert 0 < len(want)
 
 
+def test_whole_tables_are_counted_by_groups(spark, monkeypatch):
+    """Records equal in all columns but two meet the whole table at once, with the same counts as pair by pair."""
+    rand = random.Random(21)
+    rows = [(n, rand.choice(["hot bolt", "old ring", "cold gear", None, ""]), f"Brand#{rand.randrange(12)}",
+             rand.choice(["LARGE", "SMALL", "ECO"]), rand.randrange(9), rand.randrange(40) / 10 + 900) for n in range(2_500)]
+    df = spark.createDataFrame(rows + [(9_000 + n, *rows[n][1:]) for n in range(40)],
+                               "id long, a string, b string, c string, d int, e double").repartition(3)
+
+    def counted():
+        return sorted(map(tuple, matching.similarity_vectors(cand.candidates(df, "id")).collect()))
+
+    want = counted()
+    assert sum(row[-1] for row in want) == 2_540 * 2_539 // 2
+    monkeypatch.setattr(matching, "PAIR_COST", 10 ** 9)
+    met, meet = [], matching._grouped_vectors
+    monkeypatch.setattr(matching, "_grouped_vectors", lambda *a: met.append(1) or meet(*a))
+    assert counted() == want and met
+    monkeypatch.setattr(matching, "FACTOR_CELLS", 500)
+    monkeypatch.setattr(cand, "GROUPED_ROWS", 900)
+    assert counted() == want
+    monkeypatch.setattr(matching, "EXACT", 10)
+    monkeypatch.setattr(matching, "COUNT_TABLE", 10)
+    assert counted() == want
+
+
+def test_pairs_of_records_do_not_cost_their_number(spark):
+    """Twenty thousand different records of few texts make two hundred million pairs, but few groups."""
+    df = spark.range(24_000).selectExpr("id", "id % 2 a", "id div 2 % 3 b", "id div 6 % 40 c", "id div 240 d")
+    found = cand.candidates(df, "id")
+    assert matching._grouped_order(found) == [0, 1, 2, 3]
+    counts = matching.similarity_vectors(found)
+    assert counts.agg(F.sum("pair_count")).first()[0] == 24_000 * 23_999 // 2
+
+
 def test_few_short_texts_with_limits_take_no_time():
     from tablewash.functions import similarity as sim
 
