@@ -31,6 +31,19 @@ def test_one_hot_null_and_clash(spark):
         encode.one_hot_encode(df.withColumn("a", F.lit(1)), "v")
 
 
+def test_flags_are_read_back_without_an_array_for_each_row(spark, tmp_path):
+    from tablewash.acceptance import QUERIES
+
+    # Nothing to encode, and parts of three categories with rows of none.
+    for name, keys in (("none", [11, 22]), ("some", [1, 501, 2, 11, 3])):
+        rows_ = [(key, 10.0 * place) for place, key in enumerate(keys, 1)]
+        spark.createDataFrame(rows_, "l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        got = QUERIES["one_hot_many"](spark, f"{tmp_path}/{name}")
+        assert "array_position" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = [] if name == "none" else [("p1", 2, 30), ("p2", 1, 30), ("p3", 1, 50)]
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_one_hot_of_many_and_new_values(spark):
     values = [f"v{n}" for n in range(300)]
     df = spark.createDataFrame([(v,) for v in values for _ in range(2)] + [(None,)], "v string")
