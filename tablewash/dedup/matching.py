@@ -141,14 +141,19 @@ def _counts_by_groups(cell: pa.Table, texts: list[str], names: list[str], order:
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     known = [len(book.lengths) for book in books]
     group = np.ravel_multi_index([books[i].codes for i in few], [known[i] for i in few])
-    left = left[np.argsort(group[left], kind="stable")]
+    left = left[np.lexsort((books[some].codes[left], group[left]))]
     met, member = np.unique(group[right], return_inverse=True)
     met = np.unravel_index(met, [known[i] for i in few])
     inner = books[some].codes[right] * known[many] + books[many].codes[right]
     weights = None if (copies[right] == 1).all() else copies[right]
     found: dict[int, float] = {}
     totals = np.zeros(int(np.prod(sizes, dtype=np.int64))) if np.prod(sizes, dtype=float) <= COUNT_TABLE else None
-    starts = np.flatnonzero(np.append(True, np.diff(group[left]) != 0)) if len(left) else []
+    # Large groups are taken in pieces of so many texts of the column before the last that a product keeps its bound.
+    fresh = np.append(True, np.diff(group[left]) != 0)[:len(left)]
+    turns = np.cumsum(fresh | np.append(True, np.diff(books[some].codes[left]) != 0)[:len(left)])
+    turns -= np.maximum.accumulate(np.where(fresh, turns, 0))
+    piece = turns // max(1, FACTOR_CELLS // (known[some] * sizes[many]))
+    starts = np.flatnonzero(fresh | (np.append(0, np.diff(piece))[:len(left)] != 0))
     for start, end in zip(starts, [*starts[1:], len(left)]):
         members = left[start:end]
         # Side 1 by kinds: its similarities to the group in the few columns.
@@ -171,7 +176,7 @@ def _counts_by_groups(cell: pa.Table, texts: list[str], names: list[str], order:
         last = (tables[some][1][mine[used // len(seen)]].T * np.int64(strides[some])
                 + seen[used % len(seen)] * np.int64(strides[many]))
         places, last = np.unique(last, return_inverse=True)
-        step = max(1, FACTOR_CELLS // width)
+        step = max(1, FACTOR_CELLS // max(width, known[some] * len(used)))
         for first in range(0, len(kinds), step):
             taken = kind - first
             inside = (taken >= 0) & (taken < step)
